@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard import OP5_SQL, op5_jaccard_join
+from .language import op7_language
+from .mixing import op8_mix
 from .repetition import OP2_SQL, op2_repetition
+from .sharding import OP10_SQL, op10_shard
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_repetition)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op5_jaccard_join, op7_language, op8_mix, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_repetition": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_repetition": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op10_shard": OP10_SQL}
