@@ -282,7 +282,7 @@ def similar_documents(
     ties = dealt.withColumn("first", F.min("id").over(Window.partitionBy("part"))).filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
     regions = written(regions.select("id", F.xxhash64("component").alias("cell")), "regions")
-    again = source.join(regions, "id").dropDuplicates(["id"])
+    again = source.join(regions.hint("merge"), "id").dropDuplicates(["id"])  # by sorting at any size
     sets = append_column(again, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
     cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
     ready = divided(cells, similar, points, shingles_in).repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")

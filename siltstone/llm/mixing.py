@@ -8,7 +8,9 @@ source and the first blocks of one more.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -28,17 +30,14 @@ def token_count(text_col: str = "text") -> Column:
 
 
 def _measured(sources: DataFrame, exponents: list[float], total: int, budget: float) -> list[tuple[float, float]]:
-    """(entropy, most repeats of a source) for each exponent, in one aggregate."""
+    """(entropy, most repeats of a source) for each of a fixed number of exponents, in one aggregate."""
+    tried = sources.withColumn("a", F.explode(F.lit(exponents)))
     share = F.col("tokens") / F.lit(total)
-    aggs = []
-    for k, a in enumerate(exponents):
-        p = F.pow(share, F.lit(a))
-        aggs += [F.sum(p).alias(f"z{k}"), F.sum(p * F.lit(a) * F.ln(share)).alias(f"l{k}"), F.max(p / F.col("tokens")).alias(f"r{k}")]
-    row = sources.agg(*aggs).first()
+    p = F.pow(share, F.col("a"))
+    sums = tried.groupBy("a").agg(F.sum(p).alias("z"), F.sum(p * F.col("a") * F.ln(share)).alias("l"), F.max(p / F.col("tokens")).alias("r"))
     # H = ln z - sum(p^a ln p^a) / z
-    import math
-
-    return [(math.log(row[f"z{k}"]) - row[f"l{k}"] / row[f"z{k}"], budget * row[f"r{k}"] / row[f"z{k}"]) for k in range(len(exponents))]
+    found = {r["a"]: (math.log(r["z"]) - r["l"] / r["z"], budget * r["r"] / r["z"]) for r in sums.collect()}
+    return [found[a] for a in exponents]
 
 
 def find_exponent(sources: DataFrame, budget: float, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
@@ -49,8 +48,6 @@ def find_exponent(sources: DataFrame, budget: float, target_entropy: float = TAR
     bracketed by sections that shrink 32-fold a pass. If no exponent up to 1
     keeps the repetition limit, 1 is taken and the budget decides.
     """
-    import math
-
     total, n = sources.agg(F.sum("tokens"), F.count("*")).first()
     target = target_entropy * math.log(n)
 
@@ -91,10 +88,10 @@ def mix_sources(
     ``mix_*`` columns of ``docs`` are replaced; the others pass through.
 
     Only the block in which a source's budget ends is ordered row by row; all
-    other rows are decided by a lookup of (source, block). A hot source is so
-    spread over all its blocks.
+    other rows are decided by their source's row of the weights, so neither
+    texts nor a hot source are shuffled.
     """
-    names = {x: f"{prefix}{x}" for x in ("source", "tokens", "weight", "epochs", "rest", "block", "key", "epoch", "state", "left")}
+    names = {x: f"{prefix}{x}" for x in ("source", "tokens", "weight", "epochs", "rest", "block", "key", "epoch")}
     c = lambda x: F.col(names[x])
     out = docs.select([x for x in docs.columns if x not in names.values()]).withColumns({
         names["source"]: F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
@@ -113,26 +110,22 @@ def mix_sources(
         F.col("s").alias(names["source"]), (raised / F.lit(norm)).alias(names["weight"]),
         F.floor(share / F.col("tokens")).alias(names["epochs"]), F.floor(share - F.floor(share / F.col("tokens")) * F.col("tokens")).alias(names["rest"]),
     )
-    placed = _placed(out.join(weights, names["source"]), c("epochs"), id_col, seed, blocks, names)
-    # where in its last permutation each source's budget ends
-    from pyspark.sql import Window
-
-    sums = placed.groupBy(c("source"), c("block")).agg(F.sum(c("tokens")).alias("n"), F.first(c("rest")).alias("rest"))
+    # the block of its last permutation in which each source's budget ends, and what is left for it
+    narrow = out.select(names["source"], names["tokens"], id_col).join(weights, names["source"])
+    sums = _placed(narrow, c("epochs"), id_col, seed, blocks, names).groupBy(c("source"), c("block")).agg(F.sum(c("tokens")).alias("n"), F.first(c("rest")).alias("rest"))
     before = F.sum("n").over(Window.partitionBy(names["source"]).orderBy(names["block"])) - F.col("n")
-    edges = sums.withColumn("before", before).select(
-        names["source"], names["block"], (F.col("rest") - F.col("before")).alias(names["left"]),
-        F.when(F.col("rest") - F.col("before") >= F.col("n"), "all").when(F.col("rest") > F.col("before"), "some").otherwise("none").alias(names["state"]),
-    )
-    # rows of the last permutation: whole blocks, and those of the last block in order
-    last = placed.join(edges, [names["source"], names["block"]])
-    order = Window.partitionBy(names["source"], names["block"]).orderBy(names["key"], id_col).rowsBetween(Window.unboundedPreceding, -1)
-    some = last.filter(c("state") == "some").withColumn("_used", F.coalesce(F.sum(c("tokens")).over(order), F.lit(0)))
-    some = some.filter(F.col("_used") < c("left")).drop("_used")
-    partial = last.filter(c("state") == "all").unionByName(some).withColumn(names["epoch"], c("epochs"))
-    full = out.join(weights, names["source"]).filter(c("epochs") > 0).withColumn(names["epoch"], F.explode(F.sequence(F.lit(0).cast("long"), c("epochs") - 1)))
-    full = _placed(full, c("epoch"), id_col, seed, blocks, names)
+    ends = sums.withColumn("before", before).filter("before + n >= rest").groupBy(names["source"])
+    ends = ends.agg(F.min(F.struct(names["block"], (F.col("rest") - F.col("before")).alias("left"))).alias("end"))
+    weights = written(weights.join(ends, names["source"]), "mix-weights")
+    # whole permutations and the blocks before the end are decided row by row; the last block is walked in order
+    times = out.join(weights, names["source"]).withColumn(names["epoch"], F.explode(F.sequence(F.lit(0).cast("long"), c("epochs"))))
+    times = _placed(times, c("epoch"), id_col, seed, blocks, names)
+    at, last = c("block"), c("epoch") == c("epochs")
+    sure = times.filter(~last | (at < F.col(f"end.{names['block']}")))
+    order = Window.partitionBy(names["source"]).orderBy(names["key"], id_col).rowsBetween(Window.unboundedPreceding, -1)
+    some = times.filter(last & (at == F.col(f"end.{names['block']}"))).withColumn("_used", F.coalesce(F.sum(c("tokens")).over(order), F.lit(0)))
     keep = [*(x for x in docs.columns if x not in names.values()), *(names[x] for x in ("tokens", "weight", "epoch", "block", "key"))]
-    return full.select(keep).unionByName(partial.select(keep))
+    return sure.select(keep).unionByName(some.filter(F.col("_used") < F.col("end.left")).select(keep))
 
 
 def _placed(df: DataFrame, epoch: Column, id_col: str, seed: str, blocks: int, names: dict) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard_join
 from .language import op7_language
+from .licenses import op3_licenses
+from .lm import op6_lm
 from .mixing import op8_mix
+from .pii import op9_pii
 from .repetition import OP2_SQL, op2_repetition
+from .secrets import op4_secrets
 from .sharding import OP10_SQL, op10_shard
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op5_jaccard_join, op7_language, op8_mix, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op3_licenses, op4_secrets, op5_jaccard_join, op6_lm, op7_language, op8_mix, op9_pii, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
