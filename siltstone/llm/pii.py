@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .common import table
 from .spans import apart_from, described, in_order, match_spans
 
-#: The base patterns.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+#: The base patterns. A run of characters is tried from its start only (or from where a match ended),
+#: which finds the same and is linear in long runs; repeated groups are possessive, as Java needs stack for others.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ["email", "ip", "card", "phone"]
 #: Kinds and patterns of further candidates.
 PROPOSED = {
-    "mail_words": r"(?i)\b[a-z0-9._-]+ (?:\(at\)|\[at\]|at) [a-z0-9-]+ (?:\(dot\)|\[dot\]|dot) [a-z]{2,}\b",
+    "mail_words": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++ (?:\(at\)|\[at\]|at) [a-z0-9-]+ (?:\(dot\)|\[dot\]|dot) [a-z]{2,}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "number": r"\(?\b[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}\b",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import apart_from, described, in_order, match_spans
+from .spans import apart_from, described, in_order, let, match_spans
 
 #: The base patterns.
 ASSIGN = (
@@ -65,10 +65,10 @@ class Models:
 def mean_ratio(token: Column, ratios: str) -> Column:
     """Mean log-likelihood ratio, random against ordinary, of a token's character pairs."""
     table_ = F.split(F.lit(ratios), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    pair = lambda i: F.element_at(table_, place(i) * len(ALPHABET) + place(i + 1) + 1)
-    pairs = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + pair(i))
-    return pairs / (F.length(token) - 1)
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pair = lambda p, i: F.element_at(table_, p[i] * len(ALPHABET) + p[i + 1] + 1)
+    total = let(places, lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p) - 2), F.lit(0.0), lambda a, i: a + pair(p, i)))
+    return total / (F.length(token) - 1)
 
 
 def train_models(samples: DataFrame, false_alarms: float = FALSE_ALARMS) -> Models:
@@ -82,8 +82,6 @@ def train_models(samples: DataFrame, false_alarms: float = FALSE_ALARMS) -> Mode
     size = len(ALPHABET)
     firsts = {(k, a): sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (True, False) for a in ALPHABET}
     odds = lambda k, a, b: (counts.get((k, a + b), 0) + 1) / (firsts[k, a] + size)
-
-
     ratios = ",".join(f"{math.log(odds(True, a, b) / odds(False, a, b)):.6f}" for a in ALPHABET for b in ALPHABET)
     ordinary = samples.filter("not random").agg(F.percentile(mean_ratio(F.col("s"), ratios), F.lit(1 - false_alarms))).first()[0]
     return Models(ratios, max(float(ordinary or 0.0), 0.0))
