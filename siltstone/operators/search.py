@@ -91,13 +91,22 @@ def vectorless(docs: DataFrame, queries: DataFrame, k: int, snippet: int = fixed
     return top.join(docs.select("doc_id", F.left("text", F.lit(snippet)).alias("content")), "doc_id").select("query_id", "doc_id", "score", "rank", "content")
 
 
+def _squares(words: Column) -> Column:
+    """Sum of the squared counts of a word list: the n-th of equal neighbours in order adds 2 n - 1."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, w: Column) -> Column:
+        return let(F.when(a["last"] == w, a["run"] + 1).otherwise(1.0), lambda run: F.struct(w.alias("last"), run.alias("run"), (a["total"] + 2 * run - 1).alias("total")))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda a: a["total"])
+
+
 def counts_cosine(a: Column, b: Column) -> Column:
     """Cosine of the word counts of two word lists; 0 if either is empty."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x)).cast("double")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    squares = lambda xs: total(F.transform(F.array_distinct(xs), lambda x: count(xs, x) * count(xs, x)))
-    dot = total(F.transform(F.array_intersect(a, b), lambda x: count(a, x) * count(b, x)))
-    return F.coalesce(dot / F.nullif(F.sqrt(squares(a) * squares(b)), F.lit(0.0)), F.lit(0.0))
+    products = F.transform(F.array_intersect(a, b), lambda x: count(a, x) * count(b, x))
+    dot = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(dot / F.nullif(F.sqrt(_squares(a) * _squares(b)), F.lit(0.0)), F.lit(0.0))
 
 
 __all__ = ["bm25", "counts_cosine", "dot_product", "hash_dense", "let", "overlap", "query_terms", "ranked", "substring_search", "vector_topk", "vectorless"]
