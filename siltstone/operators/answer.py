@@ -27,7 +27,7 @@ def _joined(rows: DataFrame, block: Column, between: str, order: str, out: str)
 
 def format_context(results: DataFrame, order: str = "position") -> DataFrame:
     """(query_id, context) of rows with source, type, score and text."""
-    head = F.format_string("[Document %d | Source: %s | Type: %s | Score: %.3f]\n", F.col(order), F.coalesce(F.nullif("source", F.lit("")), F.format_string("Source %d", F.col(order))), F.coalesce("type", F.lit("unknown")), F.col("score"))
+    head = F.format_string("[Document %d | Source: %s | Type: %s | Score: %.3f]\n", F.col(order), F.coalesce(F.nullif("source", F.lit("")), F.format_string("Source %d", F.col(order))), F.coalesce("type", F.lit("unknown")), F.round("score", 3))
     return _joined(results, F.concat(head, F.trim("text"), F.lit("\n")), "\n---\n", order, "context")
 
 

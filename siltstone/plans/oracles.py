@@ -179,7 +179,7 @@ ORACLES = {
     "retrieve_linear": f"{lists(2 * K)}, {MERGED}, fr as (from {LINEAR(texts('md'))}) {RANKED('fr', K)}",
     "retrieve_maxmerge": f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}",
     "reorder_for_llm": f"{TOP} select query_id, doc_id, rank, position from {POS}",
-    "format_context": f"{TOP} select query_id, md5(string_agg(printf('[Document %d | Source: %s | Type: %s | Score: %.3f]', position, source, lang, score) || chr(10) || trim(text) || chr(10), chr(10) || '---' || chr(10) order by position)) digest from {POS} group by query_id",
+    "format_context": f"{TOP} select query_id, md5(string_agg(printf('[Document %d | Source: %s | Type: %s | Score: %.3f]', position, source, lang, round(score, 3)) || chr(10) || trim(text) || chr(10), chr(10) || '---' || chr(10) order by position)) digest from {POS} group by query_id",
     "build_prompt": f"{TOP} select query_id, md5('Context:' || chr(10) || string_agg('[Source ' || rank || ']' || chr(10) || trim(text), chr(10) || chr(10) order by rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || chr(10) || 'Answer:') digest from tt group by query_id",
     "answer_sources": f"{TOP} select query_id, string_agg(source, ',' order by r) sources from (select query_id, source, min(rank) r from tt where rank <= 4 group by all) group by query_id",
     "best_evidence": f"{TOP}, {EV} from ev",
