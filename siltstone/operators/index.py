@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +39,6 @@ def md5_bucket(term: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
 
 def hashed_words(words: DataFrame, term_col: str = "term", dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
     """(term, h: bucket and sign) by 8-byte BLAKE2b, once for each distinct word."""
-    import hashlib
-
-    import pandas as pd
 
     @F.pandas_udf("struct<bucket:int,sign:double>")
     def hashed(terms: pd.Series) -> pd.DataFrame:
