@@ -275,11 +275,10 @@ def similar_documents(
     key = ["n", "h1", "h2"]
     classes = written(known.filter("n > 0").groupBy(key).agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    # the first point of all that hold a part is the one that the others are tied to
     dealt = known.select("id", "parts").join(reps, "id", "left_semi").select("id", F.explode("parts").alias("part"))
-    from pyspark.sql import Window
-
-    ties = dealt.withColumn("first", F.min("id").over(Window.partitionBy("part"))).filter("id <> first")
+    # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
+    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    ties = dealt.join(firsts, "part").filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
     regions = written(regions.select("id", F.xxhash64("component").alias("cell")), "regions")
     again = source.join(regions.hint("merge"), "id").dropDuplicates(["id"])  # by sorting at any size
