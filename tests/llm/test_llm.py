@@ -82,23 +82,44 @@ def test_jaccard(spark, cells):
 def test_lm_gradients_and_mass():
     rng = np.random.default_rng(1)
     w = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in lm.first_weights(rng.integers(0, 9, lm.CLASSES)).items()}
+    shares = rng.random((5, lm.GROUPS, lm.SUB)) + 0.1
+    bias = (rng.standard_normal((5, lm.GROUPS)), np.log(shares / shares.sum(2, keepdims=True)).reshape(5, -1))
     h = rng.standard_normal((1, lm.WIDTH))
-    logp, _, _ = lm.predict(w, np.repeat(h, lm.CLASSES, 0), np.arange(lm.CLASSES))
+    logp, _, _ = lm.predict(w, np.repeat(h, lm.CLASSES, 0), np.arange(lm.CLASSES), bias, np.full(lm.CLASSES, 3))
     assert np.exp(logp).sum() == pytest.approx(1, abs=1e-6)
-    ids, classes = rng.integers(0, 4000, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
+    ids, classes = rng.integers(0, 4000, (3, lm.WINDOW)) | rng.integers(0, 5, (3, lm.WINDOW)) << 16, rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
     valid = np.ones(ids.shape, bool)
     valid[1, 20:] = False
-    g, _ = lm.gradients(w, ids, classes, valid)
-    for name in ("q", "v", "o", "group", "sub_bias", "place"):
+    g, _ = lm.gradients(w, ids, classes, valid, bias)
+    for name in ("embed", "q", "k", "v", "o", "group", "group_bias", "place"):
         at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         old, losses = w[name][at], []
         for step in (1e-5, -1e-5):
             w[name][at] = old + step
-            losses.append(lm.gradients(w, ids, classes, valid)[1])
+            losses.append(lm.gradients(w, ids, classes, valid, bias)[1])
         w[name][at] = old
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[name][at], rel=1e-3)
 
 
+def test_lm_bias(spark):
+    """Rows follow the words' counts, sum to one, and texts are their words' subwords between end marks."""
+    words = spark.createDataFrame([("the", 50), ("then", 7), ("zebrafish", 3)], "word string, c long")
+    split = lm.split_words(words, lm.VOCABULARY)
+    counts = lm.count_subwords(split)
+    counts[lm.END] = 4
+    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
+    pairs, bias = lm.word_bias(split, class_of, counts)
+    w = lm.first_weights(class_counts)
+    for row in (0, 1 + class_of[lm.encoder(lm.VOCABULARY).encode_ordinary(" the")[0]], len(bias[0]) - 1):
+        logp, _, _ = lm.predict(w, np.zeros((lm.CLASSES, lm.WIDTH)), np.arange(lm.CLASSES), bias, np.full(lm.CLASSES, row))
+        assert np.exp(logp.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
+    known = lm.Words(lm.VOCABULARY, lm.rows_of(pairs, class_of))
+    texts, sizes, _ = known.texts(["The zebrafish", None, "then the"])
+    encode = lm.encoder(lm.VOCABULARY).encode_ordinary
+    assert sizes.tolist() == [2, 0, 2]
+    assert [(t & 0xFFFF).tolist() for t in texts] == [[lm.END, *encode(" the"), *encode(" zebrafish"), lm.END], [lm.END, lm.END], [lm.END, *encode(" then"), *encode(" the"), lm.END]]
+
+
 def test_lm_scores_each_token_once():
     for n in (1, 31, 32, 33, 100):
         texts = [np.arange(n + 1, dtype=np.int32)]
