@@ -164,3 +164,18 @@ def test_sql(spark, name):
     cols = sorted(df.columns)
     want = con.execute(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(want)
+
+
+def test_lm_trains_on_all_documents(spark):
+    """Every round trains on each document; the windows overlap and the rounds are as many as at first."""
+    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
+    rows = [tuple(r) for r in some.collect()] + [(None, "one without an id"), (None, "another without an id"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = lm.split_words(lm.count_words(docs), lm.VOCABULARY)
+    counts = lm.count_subwords(split)
+    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
+    bias = spark.sparkContext.broadcast(lm.word_bias(split, class_of, counts))
+    w, trained = lm.train_model(docs, counts, lm.VOCABULARY, bias, id_col="doc_id", text_col="text")
+    assert trained == [len(rows)] * 3 and lm.OVERLAP == 8
+    first = lm.first_weights(class_counts)
+    assert all(np.abs(v - first[k]).max() > 0.05 for k, v in w.items())
