@@ -179,3 +179,40 @@ def test_lm_trains_on_all_documents(spark):
     assert trained == [len(rows)] * 3 and lm.OVERLAP == 8
     first = lm.first_weights(class_counts)
     assert all(np.abs(v - first[k]).max() > 0.05 for k, v in w.items())
+
+
+def test_lm_file_layout_does_not_count(spark):
+    """The same rows in one partition or many give the same weights, null ids included."""
+    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
+    rows = [tuple(r) for r in some.collect()] + [(None, "one without an id"), (None, "another without an id"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = lm.split_words(lm.count_words(docs), lm.VOCABULARY)
+    counts = lm.count_subwords(split)
+    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
+    bias = spark.sparkContext.broadcast(lm.word_bias(split, class_of, counts))
+    kinds = [docs.coalesce(1), docs.repartition(40), docs.orderBy(F.desc("doc_id")).repartition(3)]
+    got = [lm.train_model(d, counts, lm.VOCABULARY, bias, id_col="doc_id", text_col="text", part_bytes=1 << 16) for d in kinds]
+    first = lm.first_weights(class_counts)
+    for w, trained in got:
+        assert trained == [len(rows)] * lm.ROUNDS
+        for k, v in w.items():
+            assert np.abs(v - got[0][0][k]).max() < 1e-4
+            assert np.abs(v - first[k]).max() > 0.05
+
+
+def test_lm_batches_do_not_count():
+    """A part's training depends on its rows, not on where Arrow's batches end; parts start alike."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    class_of, start = np.arange(lm.END + 1) % lm.CLASSES, lm.first_weights(np.ones(lm.CLASSES))
+    bias = (np.zeros((1, lm.GROUPS), np.float32), np.zeros((1, lm.CLASSES), np.float32))
+    texts = [" ".join(map(str, rng.integers(0, 4000, 90))) for _ in range(12)]
+    rows = pa.RecordBatch.from_pydict({"part": [0] * 7 + [1] * 5, "text": texts})
+    ids = lambda ts: [np.array(t.split(), np.int32) for t in ts]
+    whole = lm.train_parts([rows], start, ids, class_of, bias)
+    cut = lm.train_parts([rows.slice(i, 2) for i in range(0, 12, 2)], start, ids, class_of, bias)
+    one, two = (lm.train_parts([rows.slice(*x)], start, ids, class_of, bias) for x in ((0, 7), (7, 5)))
+    assert whole[1:] == cut[1:] == (12 * 89, 12) and one[1] + two[1] == whole[1]
+    for k in start:
+        assert np.array_equal(whole[0][k], cut[0][k]) and np.allclose(one[0][k] + two[0][k], whole[0][k])
