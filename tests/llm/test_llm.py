@@ -12,6 +12,7 @@ from siltstone.llm import lm
 from siltstone.llm.decontaminate import find_contamination
 from siltstone.llm.jaccard import shingles, similar_documents, WordHashes
 from siltstone.llm.language import SuffixAutomaton, identify_language, learn_languages
+from siltstone.llm.licenses import classify_paragraphs, labelled_paragraphs, train_classifier
 from siltstone.llm.mixing import mix_sources
 from siltstone.llm.pii import base_spans
 from siltstone.llm.repetition import measure_repetition
@@ -216,3 +217,18 @@ def test_lm_batches_do_not_count():
     assert whole[1:] == cut[1:] == (12 * 89, 12) and one[1] + two[1] == whole[1]
     for k in start:
         assert np.array_equal(whole[0][k], cut[0][k]) and np.allclose(one[0][k] + two[0][k], whole[0][k])
+
+
+def test_licenses_across_lines(spark):
+    """Notices wrapped over lines are confirmed, once; those without a general word are found; blank lines part them."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mpl = "This Source Code Form is subject to the terms of\nthe Mozilla Public\nLicense, v. 2.0."
+    texts = [bsd, mpl, "GPLv3 or later", "CC BY-SA 4.0", "Apache-2.0", "Die Katze ist mit der Maus im Haus.", bsd.replace("\nmodification", "\n\nmodification"), None, "one\n\n" + "word " * 60 + "released under the MIT License. " + "word " * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(p["line"], p["family"], p["confirmed"]) for p in r["paragraphs"]] for r in classify_paragraphs(docs, train_classifier(labelled_paragraphs(spark))).collect()}
+    print(got)
+    assert got[0] == [(0, "bsd", True)] and [x[1:] for x in got[1]] == [("mpl", True)]
+    assert got[2] == [(0, "gpl", True)] and got[3] == [(0, "cc", True)] and got[4] == [(0, "apache", True)]
+    assert got[5] == [] and got[7] == []
+    assert not any(x[2] for x in got[6])
+    assert [x for x in got[8] if x[2]] == [(2, "mit", True)]
