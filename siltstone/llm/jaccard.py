@@ -260,45 +260,69 @@ def similar_documents(
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) for each row of ``docs``.
 
-    component_id is the smallest id that links reach, the row's own included;
-    n_links counts the different shingle sets that the row's set links with.
-    Null and empty texts, and those of white space only, have no shingles and
-    link with nothing. Equal sets share a component and aren't compared. Rows
-    with the same id count as one document for the component. Other columns of
-    ``docs`` aren't read.
+    component_id is the smallest id that links reach, the row's own included,
+    and null if they reach null ids only; n_links counts the different shingle
+    sets that the row's set links with. Null and empty texts, and those of
+    white space only, have no shingles and link with nothing. Equal sets share
+    a component and aren't compared. Ids may be null or repeat: only texts
+    link. Other columns of ``docs`` aren't read.
+    """
+    found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
+    component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
+    return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: int, points: int, shingles_in: int) -> DataFrame:
+    """(id, th, n, least, n_links) for each row; least is the first (none, id, th) of its component, null ids last.
+
+    th is the text's hash, and the least one of a class of equal sets numbers
+    it as a point, so ids only say which row comes first.
     """
     spark = docs.sparkSession
     python_ready(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     known = append_column(source, "point", POINT, lambda: lambda texts, k=WordHashes(): describe(texts, k, shingle, similar), ["text"])
-    known = written(known.select("id", "point.*"), "points")
+    known = written(known.select("id", "th", "point.*"), "points")
     key = ["n", "h1", "h2"]
-    classes = written(known.filter("n > 0").groupBy(key).agg(F.min("id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    dealt = known.select("id", "parts").join(reps, "id", "left_semi").select("id", F.explode("parts").alias("part"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.col("least.th")), "classes")
+    dealt = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
     # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
     firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     ties = dealt.join(firsts, "part").filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    regions = written(regions.select("id", F.xxhash64("component").alias("cell")), "regions")
-    again = source.join(regions.hint("merge"), "id").dropDuplicates(["id"])  # by sorting at any size
+    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.id").alias("at")), "rep")
+    regions = written(regions, "regions")
+    # the class's first row gives the text; by sorting at any size
+    again = source.join(regions.hint("merge"), (F.col("th") == F.col("rep")) & F.col("id").eqNullSafe(F.col("at"))).select("rep", "cell", "text").dropDuplicates(["rep"])
+    again = again.withColumnRenamed("rep", "id")
     sets = append_column(again, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
     cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
     ready = divided(cells, similar, points, shingles_in).repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
     links = written(ready.mapInArrow(lambda batches: _join_cells(batches, similar), "a long, b long, links long"), "links")
-    groups = components(links.filter("b is not null").select("a", "b"))
+    groups = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
+    linked = written(groups.join(classes.select("rep", "least"), "rep"), "linked")
+    reached = linked.groupBy("component").agg(F.min("least").alias("reached"))
+    reached = linked.join(reached, "component").select("rep", "reached")
     degree = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
-    classes = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select(*key, F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = known.select("id", *key).join(classes, key, "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.join(reached, "rep", "left").join(degree, "rep", "left").select(*key, F.coalesce("reached", "least").alias("least"), "n_links")
+    return known.select("id", "th", *key).join(classes, key, "left")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row for each id."""
-    found = similar_documents(docs, id_col=id_col, **how)
-    gone = found.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR,
+    points: int = CELL_POINTS, shingles_in: int = CELL_SHINGLES,
+) -> DataFrame:
+    """The first row of each component, by id, null ids last, then by text; rows of the same id and text count as one.
+
+    Rows with the same id or none stay if their texts don't link.
+    """
+    found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
+    first = F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.th") == F.col("th"))
+    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("id").alias("_id"), F.col("th").alias("_gone")).distinct()
+    rows = docs.withColumn("_th", F.xxhash64(text_col))
+    rows = rows.join(gone, (F.col("_th") == F.col("_gone")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return rows.dropDuplicates([id_col, "_th"]).drop("_th")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

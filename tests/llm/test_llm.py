@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from siltstone.llm import lm
 from siltstone.llm.decontaminate import find_contamination
-from siltstone.llm.jaccard import shingles, similar_documents, WordHashes
+from siltstone.llm.jaccard import one_of_each, shingles, similar_documents, WordHashes
 from siltstone.llm.language import SuffixAutomaton, identify_language, learn_languages
 from siltstone.llm.licenses import classify_paragraphs, labelled_paragraphs, train_classifier
 from siltstone.llm.mixing import mix_sources
@@ -232,3 +232,17 @@ def test_licenses_across_lines(spark):
     assert got[5] == [] and got[7] == []
     assert not any(x[2] for x in got[6])
     assert [x for x in got[8] if x[2]] == [(2, "mit", True)]
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    """Different texts with a null or shared id all stay; copies and near copies of them go, whatever their ids."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    near = lambda x: text(x) + " more"
+    rows = [(None, text("a")), (None, text("b")), (None, near("b")), (7, text("c")), (7, text("d")), (8, near("d")), (None, near("a")), (9, text("e")), (None, near("e")), (9, text("e")), (10, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in one_of_each(docs).collect()]
+    groups = sorted((str(i), (t or "")[:1]) for i, t in kept)
+    assert groups == sorted([("None", "a"), ("None", "b"), ("7", "c"), ("7", "d"), ("9", "e"), ("10", ""), ("None", "")])
+    found = similar_documents(docs)
+    assert found.count() == len(rows)
+    assert sorted((r["component_id"], r["n_links"]) for r in found.collect() if r["id"] in (7, 8)) == [(7, 0), (7, 1), (7, 1)]
