@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siltstone.llm import lm
+from siltstone.llm.common import python_ready
 from siltstone.llm.decontaminate import find_contamination
 from siltstone.llm.jaccard import one_of_each, shingles, similar_documents, WordHashes
 from siltstone.llm.language import SuffixAutomaton, identify_language, learn_languages
@@ -82,50 +83,72 @@ def test_jaccard(spark, cells):
 
 def test_lm_gradients_and_mass():
     rng = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in lm.first_weights(rng.integers(0, 9, lm.CLASSES)).items()}
-    shares = rng.random((5, lm.GROUPS, lm.SUB)) + 0.1
-    bias = (rng.standard_normal((5, lm.GROUPS)), np.log(shares / shares.sum(2, keepdims=True)).reshape(5, -1))
-    h = rng.standard_normal((1, lm.WIDTH))
-    logp, _, _ = lm.predict(w, np.repeat(h, lm.CLASSES, 0), np.arange(lm.CLASSES), bias, np.full(lm.CLASSES, 3))
-    assert np.exp(logp).sum() == pytest.approx(1, abs=1e-6)
-    ids, classes = rng.integers(0, 4000, (3, lm.WINDOW)) | rng.integers(0, 5, (3, lm.WINDOW)) << 16, rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
-    valid = np.ones(ids.shape, bool)
+    w = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in lm.first_weights().items()}
+    topics = np.ascontiguousarray(lm.first_topics(rng.random(lm.CLASSES)).T)
+    first, last, classes = rng.integers(0, lm.ROWS, (3, lm.WINDOW)), rng.integers(0, lm.ROWS, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
+    assert (lm.gated(w, lm._flat(lm.forward(w, first, last)[0])) @ topics.T).sum(1) == pytest.approx(1, abs=1e-6)
+    valid = np.ones(first.shape, bool)
     valid[1, 20:] = False
-    g, _ = lm.gradients(w, ids, classes, valid, bias)
-    for name in ("embed", "q", "k", "v", "o", "group", "group_bias", "place"):
+    g, part, _ = lm.gradients(w, first, last, classes, valid, topics)
+    assert part.sum(1) == pytest.approx(valid.ravel().astype(float), abs=1e-6)
+    assert set(g) == set(w)
+    for name in w:
         at = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         old, losses = w[name][at], []
         for step in (1e-5, -1e-5):
             w[name][at] = old + step
-            losses.append(lm.gradients(w, ids, classes, valid, bias)[1])
+            losses.append(lm.gradients(w, first, last, classes, valid, topics)[2])
         w[name][at] = old
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[name][at], rel=1e-3)
 
 
-def test_lm_bias(spark):
-    """Rows follow the words' counts, sum to one, and texts are their words' subwords between end marks."""
-    words = spark.createDataFrame([("the", 50), ("then", 7), ("zebrafish", 3)], "word string, c long")
+def test_lm_attention_is_causal():
+    w, rng = lm.first_weights(), np.random.default_rng(2)
+    first, last = rng.integers(0, lm.ROWS, (1, lm.WINDOW)), rng.integers(0, lm.ROWS, (1, lm.WINDOW))
+    one = lm.forward(w, first, last)[0]
+    first[0, 20:] = 5
+    two = lm.forward(w, first, last)[0]
+    assert np.array_equal(one[0, :20], two[0, :20]) and not np.array_equal(one[0, 20:], two[0, 20:])
+
+
+def test_lm_runs_sum_to_one(spark):
+    """What follows within a word has shares that sum to one after any context, also if only the most frequent runs are kept."""
+    words = spark.createDataFrame([(b"the", 50), (b"then", 7), (b"zebrafish", 3), (b"zebras", 2), (b"", 4)], "word binary, c long")
     split = lm.split_words(words, lm.VOCABULARY)
-    counts = lm.count_subwords(split)
-    counts[lm.END] = 4
-    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
-    pairs, bias = lm.word_bias(split, class_of, counts)
-    w = lm.first_weights(class_counts)
-    for row in (0, 1 + class_of[lm.encoder(lm.VOCABULARY).encode_ordinary(" the")[0]], len(bias[0]) - 1):
-        logp, _, _ = lm.predict(w, np.zeros((lm.CLASSES, lm.WIDTH)), np.arange(lm.CLASSES), bias, np.full(lm.CLASSES, row))
-        assert np.exp(logp.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
-    known = lm.Words(lm.VOCABULARY, lm.rows_of(pairs, class_of))
-    texts, sizes, _ = known.texts(["The zebrafish", None, "then the"])
-    encode = lm.encoder(lm.VOCABULARY).encode_ordinary
-    assert sizes.tolist() == [2, 0, 2]
-    assert [(t & 0xFFFF).tolist() for t in texts] == [[lm.END, *encode(" the"), *encode(" zebrafish"), lm.END], [lm.END, lm.END], [lm.END, *encode(" then"), *encode(" the"), lm.END]]
+    first, last = lm.count_ends(split)
+    assert first.sum() == last.sum() == 66 and first[lm.END] == 4 and first[lm.subwords(b"the", lm.VOCABULARY)[0]] == 50
+    for most in (1000, 6):
+        runs = lm.count_runs(split, most)
+        assert len(runs[0]) <= most
+        for word in (b"zebrafish", b"the"):
+            start = lm.subwords(word, lm.VOCABULARY)
+            for k in range(1, len(start) + 1):
+                ids = np.array([x for i in range(lm.END + 1) for x in (*start[:k], i)])
+                p = lm.shares_of(ids, np.full(lm.END + 1, k + 1), runs).reshape(-1, k + 2)
+                assert p[:, k].sum() == pytest.approx(1, abs=1e-6) and (p > 0).all() and (p[:, 0] == 1).all()
+
+
+def test_lm_texts_are_coded_whole():
+    known = lm.Words(lm.VOCABULARY)
+    texts = ["The zebrafish", None, "then the", "x " * 70_000]
+    number, sizes = known.numbers(texts)
+    assert sizes.tolist() == [2, 0, 2, 70_000]
+    ids = lambda w: lm.subwords(w, lm.VOCABULARY)
+    assert [(int(known.first[n]), int(known.last[n])) for n in number[:4]] == [(ids(w)[0], ids(w)[-1]) for w in (b"the", b"zebrafish", b"then", b"the")]
+    code = b"".join(np.r_[np.array([[n & 0xFFFF, n >> 16]], np.uint16), np.stack([known.first[x], known.last[x]], 1)].tobytes() for n, x in zip(sizes.tolist(), np.split(number, np.cumsum(sizes)[:-1]), strict=True))
+    first, last, lengths = lm.decoded(code)
+    assert lengths.tolist() == [3, 1, 3, 70_001]
+    assert np.array_equal(first, lm.marked(known.first[number], sizes, lm.END)) and np.array_equal(last, lm.marked(known.last[number], sizes, lm.END))
 
 
 def test_lm_scores_each_token_once():
-    for n in (1, 31, 32, 33, 100):
-        texts = [np.arange(n + 1, dtype=np.int32)]
-        got = np.concatenate([t[v] for _, t, v, _ in lm.batches_of(texts, 4)])
-        assert sorted(got.tolist()) == list(range(1, n + 1))
+    for overlap in (0, lm.OVERLAP):
+        for lengths in ([1], [31], [32], [33], [100, 1, 57]):
+            lengths, seen = np.array(lengths), []
+            for at, valid, which in lm.batches_of(lengths, overlap, 4):
+                seen += list(zip(which[np.nonzero(valid)[0]].tolist(), at[valid].tolist(), strict=True))
+            begin = np.cumsum(lengths + 1) - lengths - 1
+            assert sorted(seen) == [(k, int(begin[k]) + i) for k, n in enumerate(lengths.tolist()) for i in range(n)]
 
 
 def test_suffix_automaton():
@@ -167,56 +190,72 @@ def test_sql(spark, name):
     assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(want)
 
 
+def lm_rows(spark):
+    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
+    return [tuple(r) for r in some.collect()] + [(None, "one without an id"), (None, "another without an id"), (7, None)]
+
+
+def lm_trained(docs, part_bytes):
+    python_ready(docs.sparkSession)
+    vocabulary = lm.Vocabulary(*lm.count_ends(lm.split_words(lm.count_words(docs), lm.VOCABULARY)))
+    coded = lm.coded_parts(docs, 5, lm.VOCABULARY, id_col="doc_id", text_col="text", part_bytes=part_bytes)
+    return lm.train_model(coded, vocabulary)
+
+
 def test_lm_trains_on_all_documents(spark):
     """Every round trains on each document; the windows overlap and the rounds are as many as at first."""
-    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
-    rows = [tuple(r) for r in some.collect()] + [(None, "one without an id"), (None, "another without an id"), (7, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    split = lm.split_words(lm.count_words(docs), lm.VOCABULARY)
-    counts = lm.count_subwords(split)
-    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
-    bias = spark.sparkContext.broadcast(lm.word_bias(split, class_of, counts))
-    w, trained = lm.train_model(docs, counts, lm.VOCABULARY, bias, id_col="doc_id", text_col="text")
+    rows = lm_rows(spark)
+    (w, topics), trained = lm_trained(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 16)
     assert trained == [len(rows)] * 3 and lm.OVERLAP == 8
-    first = lm.first_weights(class_counts)
-    assert all(np.abs(v - first[k]).max() > 0.05 for k, v in w.items())
+    first = lm.first_weights()
+    assert all(np.abs(v - first[k]).max() > 0.02 for k, v in w.items())
+    assert topics.sum(1) == pytest.approx(1)
 
 
 def test_lm_file_layout_does_not_count(spark):
     """The same rows in one partition or many give the same weights, null ids included."""
-    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
-    rows = [tuple(r) for r in some.collect()] + [(None, "one without an id"), (None, "another without an id"), (7, None)]
+    rows = lm_rows(spark)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    split = lm.split_words(lm.count_words(docs), lm.VOCABULARY)
-    counts = lm.count_subwords(split)
-    class_of, _, class_counts = lm.classes_of(counts, lm.VOCABULARY)
-    bias = spark.sparkContext.broadcast(lm.word_bias(split, class_of, counts))
-    kinds = [docs.coalesce(1), docs.repartition(40), docs.orderBy(F.desc("doc_id")).repartition(3)]
-    got = [lm.train_model(d, counts, lm.VOCABULARY, bias, id_col="doc_id", text_col="text", part_bytes=1 << 16) for d in kinds]
-    first = lm.first_weights(class_counts)
-    for w, trained in got:
+    got = [lm_trained(d, 1 << 16) for d in (docs.coalesce(1), docs.repartition(40), docs.orderBy(F.desc("doc_id")).repartition(3))]
+    for (w, topics), trained in got:
         assert trained == [len(rows)] * lm.ROUNDS
-        for k, v in w.items():
-            assert np.abs(v - got[0][0][k]).max() < 1e-4
-            assert np.abs(v - first[k]).max() > 0.05
-
-
-def test_lm_batches_do_not_count():
-    """A part's training depends on its rows, not on where Arrow's batches end; parts start alike."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(5)
-    class_of, start = np.arange(lm.END + 1) % lm.CLASSES, lm.first_weights(np.ones(lm.CLASSES))
-    bias = (np.zeros((1, lm.GROUPS), np.float32), np.zeros((1, lm.CLASSES), np.float32))
-    texts = [" ".join(map(str, rng.integers(0, 4000, 90))) for _ in range(12)]
-    rows = pa.RecordBatch.from_pydict({"part": [0] * 7 + [1] * 5, "text": texts})
-    ids = lambda ts: [np.array(t.split(), np.int32) for t in ts]
-    whole = lm.train_parts([rows], start, ids, class_of, bias)
-    cut = lm.train_parts([rows.slice(i, 2) for i in range(0, 12, 2)], start, ids, class_of, bias)
-    one, two = (lm.train_parts([rows.slice(*x)], start, ids, class_of, bias) for x in ((0, 7), (7, 5)))
-    assert whole[1:] == cut[1:] == (12 * 89, 12) and one[1] + two[1] == whole[1]
-    for k in start:
-        assert np.array_equal(whole[0][k], cut[0][k]) and np.allclose(one[0][k] + two[0][k], whole[0][k])
+        assert np.abs(topics - got[0][0][1]).max() < 1e-4
+        assert all(np.abs(v - got[0][0][0][k]).max() < 1e-3 for k, v in w.items())
+
+
+@pytest.mark.parametrize("head_words", [lm.HEAD_WORDS, 40])
+def test_lm_base_by_brute_force(spark, head_words):
+    """base, n_tokens and n_known; with few words held by the workers too, so that most are joined; null, empty, repeated and awkward rows."""
+    rows = [(i, t, "x") for i, t in lm_rows(spark)] + [(500, "", "x"), (501, " \t\n", "x"), (502, "A a\x0bb\u00a0c \U0001f600 \x00", "x"), (502, "A a\x0bb\u00a0c \U0001f600 \x00", "x"), (503, "unseen " * 3000, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    training = docs.filter("doc_id is null or doc_id % 3 <> 0")
+    words = lambda t: [w.lower() if w.isascii() else w for w in re.findall("[^\x20\x09-\x0D]+", t or "")] + [None]
+    lower = lambda w: None if w is None else "".join(c.lower() if c.isascii() else c for c in w)
+    c = {}
+    for i, t, _ in rows:
+        if i is None or i % 3:
+            for w in map(lower, words(t)):
+                c[w] = c.get(w, 0) + 1
+    n = sum(c.values())
+    out, total = lm.score_texts(docs, training, head_words=head_words)
+    assert total == n and out.columns == ["doc_id", "text", "_row", "lm"]
+    got = sorted(((r["doc_id"], r["text"], r["lm"]["n_tokens"], r["lm"]["n_known"], r["lm"]["base"]) for r in out.collect()), key=str)
+    want = []
+    for i, t, _ in rows:
+        ws = [lower(w) for w in words(t)]
+        want.append((i, t, len(ws), sum(w in c for w in ws), sum(np.log10((c.get(w, 0) + 1) / (n + len(c) + 1)) for w in ws)))
+    want.sort(key=lambda r: str((r[0], r[1], r[2], r[3], 0)))
+    got.sort(key=lambda r: str((r[0], r[1], r[2], r[3], 0)))
+    assert [g[:4] for g in got] == [x[:4] for x in want]
+    assert [g[4] for g in got] == pytest.approx([x[4] for x in want], rel=1e-9)
+
+
+def test_lm_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    out, total = lm.score_texts(docs, docs.limit(0))
+    assert total == 0 and all(r["lm"]["n_known"] == 0 and np.isfinite(r["lm"]["score"]) for r in out.collect())
+    out, total = lm.score_texts(docs.limit(0), docs)
+    assert total == 4 and out.collect() == []
 
 
 def test_licenses_across_lines(spark):
