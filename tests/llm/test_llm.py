@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,17 +112,44 @@ def test_lm_attention_is_causal():
     assert np.array_equal(one[0, :20], two[0, :20]) and not np.array_equal(one[0, 20:], two[0, 20:])
 
 
+def ids_of(word):
+    return lm.encoder(lm.VOCABULARY).encode_ordinary(" " + word.decode("utf-8", "replace"))
+
+
+def test_lm_subwords_of_many_words():
+    """Words are split alike together and one by one, odd bytes, other spaces and very long ones too."""
+    words = [b"the", "zébré".encode(), "\u00a0x\u2003y".encode(), b"\xed\xa0\x80", b"\xff", "\U0001f600".encode(), b"x" * 5000, b"\x00", b"a", b"Hello,", "日本語".encode()]
+    ids, length = lm.subwords(words * 2, lm.VOCABULARY)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(length)[:-1])] == [ids_of(w) for w in words * 2]
+
+
+def test_lm_words_and_tables():
+    """Arrow's words are those of the contract; a table finds what was put in, and nothing else."""
+    odd = "".join(map(chr, range(0x3000))) + " \U0001f600\u3000x  Ab\x1cC\x85d  "
+    texts = [None, "", " ", odd, "A  b\tA\n", odd]
+    words, places, sizes = lm.distinct_words(pa.array(texts, pa.string()))
+    want = [lm.words_of(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and [words[i] for i in places] == [w for x in want for w in x]
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        table = lm.Table(keys, np.arange(len(keys)))
+        asked = np.r_[keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]
+        known = {int(k): i for i, k in enumerate(keys)}
+        assert table.get(asked, -1).tolist() == [known.get(int(k), -1) for k in asked]
+
+
 def test_lm_runs_sum_to_one(spark):
     """What follows within a word has shares that sum to one after any context, also if only the most frequent runs are kept."""
     words = spark.createDataFrame([(b"the", 50), (b"then", 7), (b"zebrafish", 3), (b"zebras", 2), (b"", 4)], "word binary, c long")
     split = lm.split_words(words, lm.VOCABULARY)
     first, last = lm.count_ends(split)
-    assert first.sum() == last.sum() == 66 and first[lm.END] == 4 and first[lm.subwords(b"the", lm.VOCABULARY)[0]] == 50
+    assert first.sum() == last.sum() == 66 and first[lm.END] == 4 and first[ids_of(b"the")[0]] == 50
     for most in (1000, 6):
         runs = lm.count_runs(split, most)
-        assert len(runs[0]) <= most
+        assert runs[0].size <= most
         for word in (b"zebrafish", b"the"):
-            start = lm.subwords(word, lm.VOCABULARY)
+            start = ids_of(word)
             for k in range(1, len(start) + 1):
                 ids = np.array([x for i in range(lm.END + 1) for x in (*start[:k], i)])
                 p = lm.shares_of(ids, np.full(lm.END + 1, k + 1), runs).reshape(-1, k + 2)
@@ -131,9 +159,9 @@ def test_lm_runs_sum_to_one(spark):
 def test_lm_texts_are_coded_whole():
     known = lm.Words(lm.VOCABULARY)
     texts = ["The zebrafish", None, "then the", "x " * 70_000]
-    number, sizes = known.numbers(texts)
+    number, sizes = known.numbers(pa.array(texts))
     assert sizes.tolist() == [2, 0, 2, 70_000]
-    ids = lambda w: lm.subwords(w, lm.VOCABULARY)
+    ids = ids_of
     assert [(int(known.first[n]), int(known.last[n])) for n in number[:4]] == [(ids(w)[0], ids(w)[-1]) for w in (b"the", b"zebrafish", b"then", b"the")]
     code = b"".join(np.r_[np.array([[n & 0xFFFF, n >> 16]], np.uint16), np.stack([known.first[x], known.last[x]], 1)].tobytes() for n, x in zip(sizes.tolist(), np.split(number, np.cumsum(sizes)[:-1]), strict=True))
     first, last, lengths = lm.decoded(code)
@@ -197,9 +225,9 @@ def lm_rows(spark):
 
 def lm_trained(docs, part_bytes):
     python_ready(docs.sparkSession)
-    vocabulary = lm.Vocabulary(*lm.count_ends(lm.split_words(lm.count_words(docs), lm.VOCABULARY)))
-    coded = lm.coded_parts(docs, 5, lm.VOCABULARY, id_col="doc_id", text_col="text", part_bytes=part_bytes)
-    return lm.train_model(coded, vocabulary)
+    coded = lm.coded_texts(docs, lm.VOCABULARY, id_col="doc_id", text_col="text")
+    vocabulary = lm.Vocabulary(*lm.count_ends(lm.split_words(lm.count_words(coded), lm.VOCABULARY)))
+    return lm.train_model(lm.joined_parts(coded, 5, part_bytes), vocabulary)
 
 
 def test_lm_trains_on_all_documents(spark):
