@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,8 +27,13 @@ _shipped: set[str] = set()
 
 
 def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Send this package to the executors; keep Arrow batches small, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Send this package to the executors; keep Arrow batches small, so that long texts don't add up in a worker.
+
+    The batch size is the session's, as plans read it when they run; a smaller one stays.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= rows:
+        spark.conf.set(size, str(rows))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
@@ -37,9 +43,11 @@ def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is named."""
+    """The cluster's checkpoint folder; one of our own only where none is named and all runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -80,6 +88,14 @@ def append_column(
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, dtype)]))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that ``df`` doesn't have."""
+    lead = ""
+    while {lead + n for n in names} & set(df.columns):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of the value as text, modulo ``by``: the folds of the held-out data."""
     return F.crc32(F.col(column).cast("string")) % F.lit(by)

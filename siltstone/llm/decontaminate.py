@@ -1,13 +1,18 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The normalised test questions and answers become word windows; an automaton
-over all windows scans each document once. Spans are mapped back to code
+The normalised test questions and answers are sequences of word numbers. A
+window of 13 words always holds one of the blocks of 7 into which its item is
+cut, so the automaton has these blocks only, about one state for each word of
+the benchmark; items of fewer words than a window are blocks of their own. Each
+document is scanned once; where a block occurs, the match is followed to both
+sides, and runs of a window or more are hits. Spans are mapped back to code
 points of the original text.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -18,43 +23,36 @@ from pyspark.sql import types as T
 from .common import append_column, python_ready, joined_sha256, table
 
 WINDOW = 13
-#: Characters of patterns in one automaton (about 60 bytes of memory each); more patterns are scanned in further blocks.
-BLOCK_CHARS = 4_000_000
+#: Words of benchmark in one automaton (about 100 bytes of memory each); a larger benchmark is scanned for in further blocks.
+BLOCK_WORDS = 4_000_000
 
 #: A-Z to a-z; every byte that is no part of a word to a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-FOUND = T.StructType([
-    T.StructField("n_words", T.LongType()),
-    T.StructField("words", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-    T.StructField("items", T.ArrayType(T.LongType())),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def windows_of(text: str | None, window: int) -> set[str]:
-    words = words_of(text)
-    return {(b" " + b" ".join(words[i : i + window]) + b" ").decode("latin-1") for i in range(max(1, len(words) - window + 1))} if words else set()
-
-
-def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int):
-    """Dicts of window -> item ids, each of at most ``block_chars`` characters and one item more."""
-    block: dict[str, set] = defaultdict(set)
-    chars = 0
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
+    """Dicts of text's words -> item ids, each of at most ``block_words`` words and one item more."""
+    block: dict[bytes, set] = defaultdict(set)
+    size = 0
     for item, text in benchmark.select(id_col, text_col).toLocalIterator():
-        for w in windows_of(text, window):
-            chars += len(w) if w not in block else 0
-            block[w].add(item)
-        if chars >= block_chars:
-            yield block
-            block, chars = defaultdict(set), 0
+        words = words_of(text)
+        if not words:
+            continue
+        key = b" ".join(words)
+        size += len(words) if key not in block else 0
+        block[key].add(item)
+        if size >= block_words:
+            yield dict(block)
+            block, size = defaultdict(set), 0
     if block:
-        yield block
+        yield dict(block)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -67,36 +65,86 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def scanner(patterns: dict, before: bool):
-    """A function that adds the hits of ``patterns`` to those of the blocks before."""
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for p, items in patterns.items():
-        machine.add_word(p, (p.count(" ") - 1, tuple(items)))
-    machine.make_automaton()
+class Items:
+    """The benchmark's texts as word numbers, and the automaton over their blocks."""
+
+    def __init__(self, texts: dict, window: int):
+        import ahocorasick
+
+        self.window, self.number = window, {}
+        self.texts = [tuple(self.number.setdefault(w, len(self.number) + 1) for w in key.split(b" ")) for key in texts]
+        self.ids = [tuple(i for i in ids if i is not None) for ids in texts.values()]
+        step = window // 2 + 1
+        places: dict[tuple, list] = defaultdict(list)
+        for k, words in enumerate(self.texts):
+            if len(words) < window:
+                places[words].append((k, 0))
+            else:
+                for at in range(0, len(words) - step + 1, step):
+                    places[words[at : at + step]].append((k, at))
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, found in places.items():
+            self.machine.add_word(block, (len(block), found))
+        if places:
+            self.machine.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """(ranges of words, ids) of all runs of a window or more, or of a whole shorter item, that an item shares."""
+        get = self.number.get
+        doc = tuple([get(w, 0) for w in words])
+        ranges, ids, done = set(), set(), set()
+        if not self.texts or not any(doc):
+            return [], ids
+        for last, (size, found) in self.machine.iter(doc):
+            first = last - size + 1
+            for k, at in found:
+                item = self.texts[k]
+                end = first + len(item) - at  # of the item, laid along the document here
+                if (k, end, first) in done:  # within a run that was followed before
+                    continue
+                low, high = 0, size
+                if len(item) >= self.window:
+                    while low > -at and first + low > 0 and doc[first + low - 1] == item[at + low - 1]:
+                        low -= 1
+                    while at + high < len(item) and first + high < len(doc) and doc[first + high] == item[at + high]:
+                        high += 1
+                    done.update((k, end, first + j) for j in range(0, high, size))
+                    if high - low < self.window:
+                        continue
+                ranges.add((first + low, first + high))
+                ids.update(self.ids[k])
+        return list(ranges), ids
+
+
+_built: dict[str, Items] = {}
+
+
+def built(name: str, texts: dict, window: int) -> Items:
+    """The automaton of that name; a worker builds it once."""
+    if name not in _built:
+        if len(_built) > 1:
+            _built.clear()
+        _built[name] = Items(texts, window)
+    return _built[name]
+
+
+def scanner(items: Items):
+    """A function that adds the hits of ``items`` to those of the blocks before."""
 
     def work(texts: list, earlier: list | None = None) -> list:
         out = []
         for k, text in enumerate(texts):
             words = words_of(text)
-            old = earlier[k] if before else None
-            hits = [(x["start"], x["end"]) for x in old["words"]] if old else []
-            items = set(old["items"]) if old else set()
-            found = list(machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1"))) if words else []
-            if found:
-                ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word is
-                last = np.searchsorted(ends, [at for at, _ in found]) + 1
-                for end, (_, (n, ids)) in zip(last.tolist(), found, strict=True):
-                    hits.append((end - n, end))
-                    items.update(i for i in ids if i is not None)
-            hits = merged(hits)
-            spans = []
+            old = earlier[k] if earlier else None
+            hits, ids = items.hits(words)
+            if old:
+                hits, ids = hits + [(x["start"], x["end"]) for x in old["words"]], ids | set(old["items"])
+            hits, spans = merged(hits), []
             if hits:
                 places = [m.span() for m in _WORD.finditer(text)]
                 spans = [(places[a][0], places[b - 1][1]) for a, b in hits]
             pair = lambda xs: [{"start": a, "end": b} for a, b in xs]
-            out.append({"n_words": len(words), "words": pair(hits), "items": sorted(items), "spans": pair(spans)})
+            out.append({"n_words": len(words), "words": pair(hits), "items": sorted(ids), "spans": pair(spans)})
         return out
 
     return work
@@ -104,25 +152,29 @@ def scanner(patterns: dict, before: bool):
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    out_col: str = "contamination", window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+    out_col: str = "contamination", window: int = WINDOW, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with a struct ``out_col``: n_words, hit word ranges, items, original spans.
 
     Null and empty texts have no words and no hits; so has everything if the
     benchmark is empty. An item without words makes no window. Repeated items
     and rows count as they stand; an item with a null id marks words but isn't
-    listed. Columns pass through; one named ``out_col`` is replaced. The
-    benchmark is the stated query set: its windows go to the executors in
-    blocks of bounded size, one narrow pass for each, without a shuffle.
+    listed; ids may have any type that sorts. Columns pass through; one named
+    ``out_col`` is replaced. The benchmark is the stated query set: it goes to
+    the executors in blocks of bounded size, of which collections of usual
+    size make one, with one narrow pass for each, without a shuffle.
     """
     spark = docs.sparkSession
     python_ready(spark)
+    found = T.StructType([
+        T.StructField("n_words", T.LongType()), T.StructField("words", _SPANS), T.StructField("items", T.ArrayType(benchmark.schema[item_col].dataType)), T.StructField("spans", _SPANS),
+    ])
     out = docs
-    for k, block in enumerate(pattern_blocks(benchmark, item_col, item_text_col, window, block_chars)):
-        sent = spark.sparkContext.broadcast(dict(block))
-        out = append_column(out, out_col, FOUND, lambda sent=sent, k=k: scanner(sent.value, k > 0), [text_col, out_col] if k else [text_col])
+    for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_words)):
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        out = append_column(out, out_col, found, lambda sent=sent, name=name: scanner(built(name, sent.value, window)), [text_col, out_col] if k else [text_col])
     if out is docs:
-        out = append_column(out, out_col, FOUND, lambda: scanner({" ": ()}, False), [text_col])
+        out = append_column(out, out_col, found, lambda: scanner(Items({}, window)), [text_col])
     return out
 
 

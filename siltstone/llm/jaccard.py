@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, python_ready, table, written
+from .common import append_column, fresh, python_ready, table, written
 from .components import components
 
 SHINGLE = 4
 #: Similarity in per cent: sets link if 100 * intersection >= SIMILAR * union.
 SIMILAR = 85
-#: Points, and shingles in all, of a cell that one task joins.
+#: Points, and shingles in all, of a cell that one task joins. Half the shingles at most are shared, so its bits take up to 2048 * 1,000,000 / 8 bytes, 256 MB.
 CELL_POINTS, CELL_SHINGLES = 2048, 2_000_000
 #: Pivots a cell, and times that it's divided at most before blocks are paired.
 PIVOTS, DEPTH = 8, 3
@@ -264,8 +264,9 @@ def similar_documents(
     and null if they reach null ids only; n_links counts the different shingle
     sets that the row's set links with. Null and empty texts, and those of
     white space only, have no shingles and link with nothing. Equal sets share
-    a component and aren't compared. Ids may be null or repeat: only texts
-    link. Other columns of ``docs`` aren't read.
+    a component and aren't compared. Ids may be null or repeat, and have any
+    type that sorts: only texts link. Other columns of ``docs`` aren't read; an
+    empty table gives no rows.
     """
     found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
     component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
@@ -280,7 +281,7 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar:
     """
     spark = docs.sparkSession
     python_ready(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     known = append_column(source, "point", POINT, lambda: lambda texts, k=WordHashes(): describe(texts, k, shingle, similar), ["text"])
     known = written(known.select("id", "th", "point.*"), "points")
     key = ["n", "h1", "h2"]
@@ -315,14 +316,16 @@ def one_of_each(
 ) -> DataFrame:
     """The first row of each component, by id, null ids last, then by text; rows of the same id and text count as one.
 
-    Rows with the same id or none stay if their texts don't link.
+    Rows with the same id or none stay if their texts don't link. Null and
+    empty texts link with nothing and stay. Columns pass through.
     """
     found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
     first = F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.th") == F.col("th"))
-    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("id").alias("_id"), F.col("th").alias("_gone")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(text_col))
-    rows = rows.join(gone, (F.col("_th") == F.col("_gone")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return rows.dropDuplicates([id_col, "_th"]).drop("_th")
+    th, drop, drop_id = fresh(docs, "_th", "_gone", "_id")
+    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("id").alias(drop_id), F.col("th").alias(drop)).distinct()
+    rows = docs.withColumn(th, F.xxhash64(text_col))
+    rows = rows.join(gone, (F.col(th) == F.col(drop)) & F.col(id_col).eqNullSafe(F.col(drop_id)), "left_anti")
+    return rows.dropDuplicates([id_col, th]).drop(th)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of a sample of each language's words gives longest-match
-lengths. A text's words, each with a space before and after, are cut greedily
-into the longest phrases that occur in the sample; the language that needs the
-fewest phrases, weighed by the bits that point into its sample, wins. Phrases
-don't cross words, so a word is parsed once and its counts are kept.
+lengths. A text's words, parted by spaces, are cut greedily into the longest
+phrases that occur in the sample, across words; the language that needs the
+fewest phrases, weighed by the bits that point into its sample, wins.
 """
 
 from __future__ import annotations
@@ -19,15 +18,12 @@ from pyspark.sql import types as T
 
 from .common import append_column, python_ready, remainder, table
 
-#: Bounds of the labelled sample: documents (on average) and characters a language, characters a document.
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 400, 100_000, 4_000
+#: Bounds of the labelled sample: documents (on average) and characters a language; rows of more characters aren't drawn if the language has others.
+SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 400, 100_000, 20_000
 #: A language is rejected if its phrases are shorter than this on average.
 MIN_PHRASE = 2.0
-#: Words whose counts a worker keeps.
-KNOWN_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BITS = 40  # of one language's count in a packed sum
 
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_chars", T.DoubleType())])
 
@@ -75,59 +71,53 @@ class SuffixAutomaton:
         return count + (state > 0)
 
 
-class Parser(dict):
-    """Word -> phrase counts of all languages, packed into one integer."""
-
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
-        super().__init__()
-        self.automata = [SuffixAutomaton(text) for _, text in samples]
-        self.weights = [math.log2(len(text) + 2) for _, text in samples]
-
-    def __missing__(self, word: str) -> int:
-        counts = 0
-        for k, a in enumerate(self.automata):
-            counts |= a.phrases(f" {word} ") << (_BITS * k)
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = counts
-        return counts
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in small letters; other characters that count as numbers, such as fractions, are none."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 @lru_cache(maxsize=2)
-def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+def automata(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, SuffixAutomaton, float]]:
+    """(language, automaton, bits that point into its sample) of each; a worker builds them once."""
+    return [(lang, SuffixAutomaton(text), math.log2(len(text) + 2)) for lang, text in samples]
 
 
-def identify(text: str | None, known: Parser, langs: list[str]) -> dict:
-    words = _WORD.findall(text.lower()) if text else []
-    if not words or not langs:
+def identify(text: str | None, known: list) -> dict:
+    words = words_of(text)
+    if not words or not known:
         return {"lang": "und", "score": 0.0, "phrase_chars": 0.0}
-    packed = sum(map(known.__getitem__, words))
-    counts = [packed >> (_BITS * k) & ((1 << _BITS) - 1) for k in range(len(langs))]
-    bits = [n * w for n, w in zip(counts, known.weights, strict=True)]
-    best = min(range(len(langs)), key=lambda k: (bits[k], langs[k]))
-    rest = min((b for k, b in enumerate(bits) if k != best), default=0.0)
-    score = 1 - bits[best] / rest if rest else 1.0
-    return {"lang": langs[best], "score": score, "phrase_chars": sum(len(w) + 2 for w in words) / counts[best]}
+    parsed = f" {' '.join(words)} "
+    found = sorted((n * bits, lang, n) for lang, n, bits in ((lang, a.phrases(parsed), bits) for lang, a, bits in known))
+    rest = found[1][0] if len(found) > 1 else 0.0
+    return {"lang": found[0][1], "score": 1 - found[0][0] / rest if rest else 1.0, "phrase_chars": len(parsed) / found[0][2]}
 
 
 def learn_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
-    """(language, sample of its words) from labelled rows; rows without label or text are passed over.
+    """(language, sample of its words) from labelled rows; rows without label or letters are passed over.
 
-    Rows are drawn by a hash of their id, at a rate that follows the language's
-    row count, so the sample is as large at any input size.
+    Whole rows are drawn by a hash of their id and text, at a rate that follows
+    the language's row count, so the sample is as large at any input size. Rows
+    of more than ROW_CHARS characters stand in only for a language that has no
+    others, by the shortest of them.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rates = {r[0]: min(1.0, SAMPLE_DOCS / r[1]) for r in labelled.groupBy(lang_col).count().collect()}
+    short = F.length(text_col) <= ROW_CHARS
+    rates = {r[0]: (min(1.0, SAMPLE_DOCS / r[1]) if r[1] else 0.0) for r in labelled.groupBy(lang_col).agg(F.count_if(short)).collect()}
     if not rates:
         return ()
     rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col(lang_col)]
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < rate * (1 << 30)
-    rows = labelled.filter(drawn).select(lang_col, F.xxhash64(id_col).alias("h"), F.left(text_col, F.lit(DOC_CHARS)).alias("t")).collect()
+    h = F.xxhash64(id_col, text_col)
+    rows = labelled.filter(short & (F.pmod(h, F.lit(1 << 30)) < rate * (1 << 30))).select(lang_col, h.alias("h"), F.col(text_col).alias("t")).collect()
+    if long := [lang for lang, r in rates.items() if not r]:
+        least = F.struct(F.length(text_col).alias("n"), h.alias("h"))
+        rows += labelled.filter(F.col(lang_col).isin(long)).groupBy(lang_col).agg(F.min(least)["h"].alias("h"), F.min_by(text_col, least).alias("t")).collect()
     samples: dict[str, str] = dict.fromkeys(sorted(rates), " ")
     for lang, _, text in sorted(rows, key=lambda r: (r[1], r[2])):
         if len(samples[lang]) < SAMPLE_CHARS:
-            samples[lang] += "".join(w + " " for w in _WORD.findall(text.lower()))
+            samples[lang] += "".join(w + " " for w in words_of(text))
     return tuple((k, v) for k, v in samples.items() if len(v) > 1)
 
 
@@ -145,8 +135,8 @@ def identify_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], *,
     sent = spark.sparkContext.broadcast(samples)
 
     def start():
-        known, langs = parser(sent.value), [k for k, _ in sent.value]
-        return lambda texts: [identify(t, known, langs) for t in texts]
+        known = automata(sent.value)
+        return lambda texts: [identify(t, known) for t in texts]
 
     return append_column(docs, out_col, FOUND, start, [text_col])
 
@@ -157,7 +147,7 @@ def is_rejected(found: str = "language", min_phrase: float = MIN_PHRASE) -> Colu
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))  # a null id isn't held out
     samples = learn_languages(docs.filter(~F.col("held_out")))
     found = identify_language(docs.select("doc_id", "text", "held_out"), samples)
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))

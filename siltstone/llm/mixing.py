@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: Part of the largest possible entropy that the mix is to have.
 TARGET_ENTROPY = 0.98
@@ -92,6 +92,7 @@ def mix_sources(
     texts nor a hot source are shuffled.
     """
     names = {x: f"{prefix}{x}" for x in ("source", "tokens", "weight", "epochs", "rest", "block", "key", "epoch")}
+    end, used = fresh(docs, "_end", "_used")
     c = lambda x: F.col(names[x])
     out = docs.select([x for x in docs.columns if x not in names.values()]).withColumns({
         names["source"]: F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
@@ -115,17 +116,17 @@ def mix_sources(
     sums = _placed(narrow, c("epochs"), id_col, seed, blocks, names).groupBy(c("source"), c("block")).agg(F.sum(c("tokens")).alias("n"), F.first(c("rest")).alias("rest"))
     before = F.sum("n").over(Window.partitionBy(names["source"]).orderBy(names["block"])) - F.col("n")
     ends = sums.withColumn("before", before).filter("before + n >= rest").groupBy(names["source"])
-    ends = ends.agg(F.min(F.struct(names["block"], (F.col("rest") - F.col("before")).alias("left"))).alias("end"))
+    ends = ends.agg(F.min(F.struct(names["block"], (F.col("rest") - F.col("before")).alias("left"))).alias(end))
     weights = written(weights.join(ends, names["source"]), "mix-weights")
     # whole permutations and the blocks before the end are decided row by row; the last block is walked in order
     times = out.join(weights, names["source"]).withColumn(names["epoch"], F.explode(F.sequence(F.lit(0).cast("long"), c("epochs"))))
     times = _placed(times, c("epoch"), id_col, seed, blocks, names)
     at, last = c("block"), c("epoch") == c("epochs")
-    sure = times.filter(~last | (at < F.col(f"end.{names['block']}")))
-    order = Window.partitionBy(names["source"]).orderBy(names["key"], id_col).rowsBetween(Window.unboundedPreceding, -1)
-    some = times.filter(last & (at == F.col(f"end.{names['block']}"))).withColumn("_used", F.coalesce(F.sum(c("tokens")).over(order), F.lit(0)))
+    sure = times.filter(~last | (at < F.col(f"{end}.{names['block']}")))
+    order = Window.partitionBy(names["source"]).orderBy(names["key"], id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    some = times.filter(last & (at == F.col(f"{end}.{names['block']}"))).withColumn(used, F.coalesce(F.sum(c("tokens")).over(order), F.lit(0)))
     keep = [*(x for x in docs.columns if x not in names.values()), *(names[x] for x in ("tokens", "weight", "epoch", "block", "key"))]
-    return sure.select(keep).unionByName(some.filter(F.col("_used") < F.col("end.left")).select(keep))
+    return sure.select(keep).unionByName(some.filter(F.col(used) < F.col(f"{end}.left")).select(keep))
 
 
 def _placed(df: DataFrame, epoch: Column, id_col: str, seed: str, blocks: int, names: dict) -> DataFrame:
