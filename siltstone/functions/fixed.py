@@ -26,5 +26,34 @@ HINTS = {
 #: Lines of a text that are no evidence, and how a sentence may begin in lower case.
 EVIDENCE_MARKERS = ["title:", "source:", "original_path:", "người ký:", "công báo/số"]
 LOWER_STARTS = ["luật này", "phòng", "chất", "người"]
-#: Questions about a penalty.
-PENALTY_HINTS = ["hình phạt", "hinh phat", "phạt tù", "phat tu", "tội ", "toi "]
+#: What a question with an intent holds, one word of each list; "prohibited" and "prohibited_acts" count as one.
+INTENTS = {
+    "overview": [["luật", "luat"], ["phòng chống ma", "phòng, chống ma", "phong chong ma"]],
+    "decree_summary": [["105"], ["nghị định", "nghi dinh"], ["tóm tắt", "tom tat", "nội dung", "noi dung", "quy định", "quy dinh"]],
+    "penalty": [["hình phạt", "hinh phat", "phạt tù", "phat tu", "tội ", "toi "]],
+    "prohibited": [["nghiêm cấm", "hành vi bị cấm"]],
+    "prohibited_acts": [["hành vi"], ["ma túy"]],
+    "storage": [["tàng trữ", "tang tru", "chất cấm", "chat cam", "tồn trữ", "bảo quản"]],
+    "crime": [["tội", "toi ", "truy tố", "khởi tố", "hình phạt", "xử phạt", "bị án", "bị xử", "quy vào"]],
+}
+#: Names of the criminal code; words of storage; words of sentences that give a rule or a case; the article on prohibited acts.
+CODE_EVIDENCE = ["bộ luật hình sự", "bo-luat-hinh-su", "điều 249"]
+STORAGE_MENTIONS = ["tàng trữ", "tang tru"]
+BASIS_WORDS = ["tàng trữ", "trái phép", "chất ma túy", "nghiêm cấm"]
+CASE_WORDS = ["tàng trữ", "truy tố", "khởi tố", "ma túy", "heroin", "thu giữ"]
+ARTICLE = "Điều 5"
+#: Evidence for a legal question, for one about news, and for a question on the law's own text, by its source.
+LEGAL_TERMS = ["luật", "luat", "hình phạt", "điều", "nghị định", "cai nghiện"]
+NEWS_TERMS = ["nghệ sĩ", "ca sĩ", "diễn viên", "rapper", "bị bắt"]
+LAW_SOURCE, LAW_TERMS = "luat-phong-chong-ma-tuy", ["phòng chống", "phòng, chống", "ma túy", "ma tuý"]
+#: Lines with one of these, in any case, are page furniture.
+NOISE = [
+    "THƯ VIỆN PHÁP LUẬT", "Trang Thông tin điện tử tổng hợp", "loại rủi ro pháp lý", "nắm cơ hội làm giàu", "Các gói", "dịch vụ", "Chính sách Pháp", "luật mới", "Liên hệ", "Danh mục",
+    "Văn bản và Tra cứu", "Tra cứu Pháp Luật mới", "Tra cứu Văn Bản trực tuyến", "Tra cứu Dự thảo", "Văn bản mới ban hành", "Tra cứu Tiêu Chuẩn", "Hỏi đáp pháp luật", "Đăng nhập", "Đăng ký",
+    "Tài khoản", "Quên mật khẩu", "Gửi câu hỏi", "Văn bản liên quan", "Lược đồ", "Tải về", "In văn bản", "Bản dịch này thuộc quyền sở hữu", "has the copyright on this translation",
+    "Mọi hành vi sao chép", "Copying or reposting",
+]
+#: Lines that end a legal text; words of its first lines.
+END_MARKERS = ["Văn bản liên quan", "Lược đồ", "Thông tin văn bản", "Văn bản bị thay thế", "Văn bản được căn cứ", "Văn bản hướng dẫn", "Hỏi đáp pháp luật", "Tin tức pháp luật"]
+GOVERNMENT, DECREE, FIRST_ARTICLE = ["chính phủ", "chinh phu"], ["nghị định", "nghi dinh"], ["điều 1", "dieu 1"]
+LEGAL_MIN, NEWS_MIN, LOOK_AHEAD, SECTION_MIN, LEAD_LINES = 5000, 500, 180, 80, 5

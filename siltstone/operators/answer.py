@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.frames import union
 from ..functions.text import answer_tokens, contains_any, evidence_sentences, keywords
 
 REFUSAL = "No sufficient evidence was found."
@@ -49,7 +50,7 @@ def answer_sources(results: DataFrame, most: int = fixed.EVIDENCE_LIMIT) -> Data
     return few.groupBy("query_id").agg(F.array_join(names, ",").alias("sources"))
 
 
-def best_evidence(results: DataFrame, limit: int = fixed.EVIDENCE_LIMIT, type_hints: dict[str, list[str]] = fixed.HINTS) -> DataFrame:
+def best_evidence(results: DataFrame, limit: int = fixed.EVIDENCE_LIMIT, legal: list[str] = fixed.LEGAL_TERMS, news: list[str] = fixed.NEWS_TERMS, law: list[str] = fixed.LAW_TERMS, law_source: str = fixed.LAW_SOURCE) -> DataFrame:
     """(query_id, sentence, source, score, rank) of rows with query, text, source, type, score and rank.
 
     Equal sentences count once, at the first result that has them.
@@ -59,9 +60,9 @@ def best_evidence(results: DataFrame, limit: int = fixed.EVIDENCE_LIMIT, type_hi
     first = F.row_number().over(Window.partitionBy("query_id", low).orderBy("rank", "at"))
     once = parts.withColumn("_n", first).filter("_n = 1")
     q, s = answer_tokens(F.col("query")), answer_tokens(F.col("sentence"))
-    bonus = F.lit(0.0)
-    for kind, hints in type_hints.items():
-        bonus = bonus + F.when((F.col("type") == kind) & contains_any(F.lower("query"), hints), 0.35).otherwise(0.0)
+    asked = F.lower("query")
+    bonus = F.when((F.col("type") == "legal") & contains_any(asked, legal), 0.35).otherwise(0.0) + F.when((F.col("type") == "news") & contains_any(asked, news), 0.35).otherwise(0.0)
+    bonus = bonus + F.when(F.lower("source").contains(law_source) & contains_any(asked, law), 0.30).otherwise(0.0)
     bonus = bonus + F.when(low.contains("luật này quy định"), 0.55).otherwise(0.0) + F.when(low.startswith("điều "), 0.25).otherwise(0.0)
     bonus = bonus + F.when(contains_any(low, ["phòng, chống ma túy là", "phòng, chống ma tuý là"]), 0.45).otherwise(0.0)
     score = F.size(F.array_intersect(q, s)) / F.greatest(F.size(q), F.lit(1)) + 0.15 * F.col("score") + bonus
@@ -145,3 +146,19 @@ def summary(evaluated: DataFrame, *by: str) -> DataFrame:
 
 def worst(evaluated: DataFrame, n: int = 3) -> DataFrame:
     return evaluated.orderBy("average", "query_id").limit(n)
+
+
+def report(evaluated: DataFrame) -> DataFrame:
+    """(line_no, line): means by ``config`` and the worst queries, as Markdown; both are few rows."""
+    cells = lambda first, names: F.concat(F.lit("| "), first, *(F.concat(F.lit(" | "), F.format_string("%.3f", F.col(x))) for x in names), F.lit(" |"))
+    names = ["faithfulness", "relevance", "recall", "precision", "average"]
+    head = evaluated.sparkSession.createDataFrame([(0, "", "| config | " + " | ".join(names) + " |"), (1, "", "|---" * 6 + "|"), (3, "", ""), (4, "", "| query | " + " | ".join(names) + " |"), (5, "", "|---" * 6 + "|")], "part int, key string, line string")
+    means = summary(evaluated, "config").select(F.lit(2).alias("part"), F.col("config").alias("key"), cells(F.col("config"), names).alias("line"))
+    low = worst(evaluated).select(F.lit(6).alias("part"), F.format_string("%.6f %012d", "average", "query_id").alias("key"), cells(F.col("query_id").cast("string"), names).alias("line"))
+    order = Window.orderBy("part", "key")
+    return union(head, means, low).select(F.row_number().over(order).cast("long").alias("line_no"), "line")
+
+
+def write_report(evaluated: DataFrame, folder: str) -> None:
+    """The report as one text file in ``folder``."""
+    report(evaluated).coalesce(1).sortWithinPartitions("line_no").select("line").write.text(folder)

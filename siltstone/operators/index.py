@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import tokens
+from .chunk import chunk_documents
+from .dense import Hasher
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,42 +33,60 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def md5_bucket(term: Column, dim: int = fixed.EMBEDDING_DIM) -> Column:
-    """(bucket, sign) of a word, from its MD5: any SQL engine can repeat it."""
-    part = lambda at, n: F.conv(F.substring(F.md5(term), at, n), 16, 10).cast("long")
-    return F.struct((part(1, 8) % dim).cast("int").alias("bucket"), F.when(part(9, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+def _hashed(docs: DataFrame, id_col: str, text_col: str, dim: int, blake2b: bool, rows_of, fields: list[T.StructField]) -> DataFrame:
+    """``rows_of`` (ids, unit vectors) gives the columns after the id's; nothing is shuffled."""
+    narrow = docs.select(id_col, tokens(F.col(text_col)).alias("words"))
+
+    def run(batches):
+        known = Hasher(dim, blake2b)
+        for b in batches:
+            yield rows_of(b.column(0), known(b.column(1)))
 
+    return narrow.mapInArrow(run, T.StructType([docs.schema[id_col], *fields]))
 
-def hashed_words(words: DataFrame, term_col: str = "term", dim: int = fixed.EMBEDDING_DIM) -> DataFrame:
-    """(term, h: bucket and sign) by 8-byte BLAKE2b, once for each distinct word."""
 
-    @F.pandas_udf("struct<bucket:int,sign:double>")
-    def hashed(terms: pd.Series) -> pd.DataFrame:
-        digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms]
-        return pd.DataFrame({"bucket": [int.from_bytes(d[:4], "big") % dim for d in digests], "sign": [1.0 if d[4] % 2 == 0 else -1.0 for d in digests]})
+def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = fixed.EMBEDDING_DIM, blake2b: bool = False) -> DataFrame:
+    """(id, bucket, weight): unit vectors without their zeros. A text without words has no rows: the zero vector.
 
-    return words.select(term_col).distinct().withColumn("h", hashed(term_col))
+    A word's place and sign come from its MD5, which any SQL engine can repeat, or its 8-byte BLAKE2b.
+    """
 
+    def rows_of(ids: pa.Array, vectors: np.ndarray) -> pa.RecordBatch:
+        row, bucket = np.nonzero(vectors)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(bucket, pa.int32()), pa.array(vectors[row, bucket])], [id_col, "bucket", "weight"])
 
-def hash_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = fixed.EMBEDDING_DIM, blake2b: bool = False) -> DataFrame:
-    """(id, bucket, weight): unit vectors without their zeros. A text without words has no rows: the zero vector."""
-    posts = postings(docs, id_col, text_col)
-    if blake2b:
-        posts = posts.join(hashed_words(posts, dim=dim), "term")
-    else:
-        posts = posts.withColumn("h", md5_bucket(F.col("term"), dim))
-    sums = posts.groupBy(id_col, "h.bucket").agg(F.sum(F.col("tf") * F.col("h.sign")).alias("w")).filter("w <> 0")
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, id_col).select(id_col, "bucket", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def write_index(chunks: DataFrame, folder: str, id_col: str = "chunk_id", text_col: str = "content") -> None:
-    """The four tables of the index, as Parquet; postings and vectors are laid out by the key that searches join on."""
+    return _hashed(docs, id_col, text_col, dim, blake2b, rows_of, [T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+
+def embedded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = fixed.EMBEDDING_DIM, blake2b: bool = False) -> DataFrame:
+    """(id, embedding): the same vectors with all their numbers; all zeros for a text without words."""
+
+    def rows_of(ids: pa.Array, vectors: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))
+        return pa.RecordBatch.from_arrays([ids, lists], [id_col, "embedding"])
+
+    return _hashed(docs, id_col, text_col, dim, blake2b, rows_of, [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+
+def write_index(chunks: DataFrame, folder: str, id_col: str = "chunk_id", text_col: str = "content", blake2b: bool = False) -> None:
+    """The four tables of the index, as Parquet; postings are laid out by the term that searches join on."""
     chunks.write.parquet(f"{folder}/chunks")
     postings(chunks, id_col, text_col).repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    hash_vectors(chunks, id_col, text_col).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(64))).write.parquet(f"{folder}/vectors")
+    embedded(chunks, id_col, text_col, blake2b=blake2b).write.parquet(f"{folder}/vectors")
     corpus_stats(chunks, text_col).write.parquet(f"{folder}/stats")
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "vectors", "stats")}
+
+
+def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
+    """Chunk documents, embed and write them, and read the index back; a chunk's id is its document's and its place."""
+    chunks = chunk_documents(docs, id_col=id_col, text_col=text_col)
+    write_index(chunks.select(F.concat_ws(":", id_col, "chunk_index").alias("chunk_id"), id_col, "chunk_index", "content"), folder)
+    return read_index(docs.sparkSession, folder)
+
+
+def index_join(index: dict[str, DataFrame], id_col: str = "chunk_id") -> DataFrame:
+    """Chunks with their vectors, by id."""
+    return index["chunks"].join(index["vectors"], id_col)

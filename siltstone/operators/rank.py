@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.frames import union
 from ..functions.text import classify, tokens, token_set, WORD
-from .search import bm25, counts_cosine, hash_dense, overlap, ranked, vectorless
+from .ranked import ranked
+from .search import bm25, counts_cosine, hash_dense, overlap, vectorless
 
 
 def _together(lists: list[DataFrame]) -> DataFrame:
     cols = ["query_id", "doc_id", "score", "rank"]
-    return reduce(DataFrame.unionByName, [x.select(*cols, F.lit(i).alias("list")) for i, x in enumerate(lists)])
+    return union(*(x.select(*cols, F.lit(i).alias("list")) for i, x in enumerate(lists)))
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = fixed.RRF_K) -> DataFrame:
@@ -46,9 +46,10 @@ def with_texts(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataF
 
 def rerank_formula(results: DataFrame, k: int) -> DataFrame:
     """Overlap, count cosine, old score and old rank, weighed; replaces ``score``. Needs text and query."""
-    d, q = tokens(F.col("text"), WORD), tokens(F.col("query"), WORD)
-    new = fixed.W_OVERLAP * overlap(F.array_distinct("_q"), F.array_distinct("_d")) + fixed.W_COSINE * counts_cosine(F.col("_q"), F.col("_d")) + fixed.W_ORIGINAL * F.col("score") + fixed.W_RANK / (fixed.RRF_K + F.col("rank"))
-    return ranked(results.withColumns({"_d": d, "_q": q}).withColumn("score", F.round(new, 6)).drop("_d", "_q"), k)
+    rows = results.withColumns({"_d": tokens(F.col("text"), WORD), "_q": tokens(F.col("query"), WORD)})
+    rows = counts_cosine(rows, "_q", "_d", ["query_id", "doc_id"], "_cosine")
+    new = fixed.W_OVERLAP * overlap(F.array_distinct("_q"), F.array_distinct("_d")) + fixed.W_COSINE * F.col("_cosine") + fixed.W_ORIGINAL * F.col("score") + fixed.W_RANK / (fixed.RRF_K + F.col("rank"))
+    return ranked(rows.withColumn("score", F.round(new, 6)).drop("_d", "_q", "_cosine"), k)
 
 
 def rerank_linear(results: DataFrame, k: int) -> DataFrame:
@@ -110,16 +111,16 @@ def domain_boost(results: DataFrame, hints: dict[str, list[str]] = fixed.HINTS,
     return ranked(results.withColumn("score", F.round(F.col("score") + F.when(wanted == F.col(type_col), boost).otherwise(0.0), 6)))
 
 
-def fallback_gate(results: DataFrame, fallback: DataFrame, threshold: float = fixed.THRESHOLD) -> DataFrame:
-    """The results of queries whose best score reaches the threshold; for the others those of ``fallback``.
+def fallback_gate(results: DataFrame, queries: DataFrame, fallback, threshold: float = fixed.THRESHOLD) -> DataFrame:
+    """The results of queries whose best score reaches the threshold; for the others those of ``fallback(refused queries)``.
 
-    ``fallback`` has a row for each query and document; its queries are cut to
-    the refused ones before the union. ``retrieval_source`` says which it was.
+    Only refused queries are searched for again. ``retrieval_source`` says which it was.
     """
     good = results.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= threshold).select("query_id")
     cols = ["query_id", "doc_id", "score", "rank"]
     kept = results.join(good, "query_id", "left_semi").select(*cols, F.lit("hybrid").alias("retrieval_source"))
-    return kept.unionByName(fallback.join(good, "query_id", "left_anti").select(*cols, F.lit("pageindex").alias("retrieval_source")))
+    again = fallback(queries.join(good, "query_id", "left_anti"))
+    return union(kept, again.select(*cols, F.lit("pageindex").alias("retrieval_source")))
 
 
 def retrieve_hybrid(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.THRESHOLD, reranking: bool = True, hints: dict = fixed.HINTS, type_col: str = "lang") -> DataFrame:
@@ -128,17 +129,31 @@ def retrieve_hybrid(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, t
     fused = rrf([hash_dense(docs, queries, many), bm25(docs, queries, many)], many)
     boosted = domain_boost(with_texts(fused, docs.select("doc_id", "text", F.col(type_col).alias("type")), queries), hints)
     final = rerank_formula(boosted, k) if reranking else boosted.filter(F.col("rank") <= k)
-    return fallback_gate(domain_boost(final, hints), vectorless(docs, queries, k), threshold)
+    return fallback_gate(domain_boost(final, hints), queries, lambda refused: vectorless(docs, refused, k), threshold)
 
 
 def retrieve_linear(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float | None = None) -> DataFrame:
-    """Both lists one after the other, reranked linearly, cut at the threshold."""
-    many = merge_dedupe([hash_dense(docs, queries, 2 * k), bm25(docs, queries, 2 * k)])
-    out = rerank_linear(with_texts(many, docs.select("doc_id", "text"), queries), k)
-    return (out if threshold is None else out.filter(F.col("score") >= threshold)).select("query_id", "doc_id", "score", "rank")
+    """(query_id, doc_id, score, rank, retrieval_source): both lists one after the other, reranked linearly, cut at the threshold.
+
+    Queries that keep fewer than k results get the lexical list, as the
+    vectorless search, put behind theirs, and the whole is reranked.
+    """
+    texts, cols = docs.select("doc_id", "text"), ["query_id", "doc_id", "score", "rank"]
+    lexical = bm25(docs, queries, 2 * k)
+    out = rerank_linear(with_texts(merge_dedupe([hash_dense(docs, queries, 2 * k), lexical]), texts, queries), 2 * k).select(*cols)
+    if threshold is not None:
+        out = out.filter(F.col("score") >= threshold)
+    enough = out.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    few = out.join(enough, "query_id", "left_anti")
+    more = merge_dedupe([few, lexical.join(enough, "query_id", "left_anti")])
+    topped = rerank_linear(with_texts(more, texts, queries), k).select(*cols)
+    own = few.select("query_id", "doc_id", F.lit("hybrid").alias("retrieval_source"))
+    topped = topped.join(own, ["query_id", "doc_id"], "left").withColumn("retrieval_source", F.coalesce("retrieval_source", F.lit("pageindex")))
+    kept = out.join(enough, "query_id", "left_semi").filter(F.col("rank") <= k).withColumn("retrieval_source", F.lit("hybrid"))
+    return union(kept, topped)
 
 
 def retrieve_maxmerge(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.THRESHOLD) -> DataFrame:
     lists = max_merge([hash_dense(docs, queries, k), bm25(docs, queries, k)])
     final = rerank_length_mod(with_texts(lists, docs.select("doc_id", "text"), queries), k)
-    return fallback_gate(final, vectorless(docs, queries, k), threshold)
+    return fallback_gate(final, queries, lambda refused: vectorless(docs, refused, k), threshold)

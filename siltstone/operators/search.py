@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import let, token_set, tokens
-from ..functions.vectors import cosine, dot_product
-from .index import corpus_stats, document_frequency, hash_vectors, idf, postings
-
-
-def ranked(scored: DataFrame, k: int | None = None, *, by: str = "score", id_col: str = "doc_id") -> DataFrame:
-    """``rank`` within each query by falling score, ties by id; the first ``k`` if given."""
-    order = Window.partitionBy("query_id").orderBy(F.col(by).desc(), F.col(id_col))
-    out = scored.withColumn("rank", F.row_number().over(order).cast("long"))
-    return out if k is None else out.filter(F.col("rank") <= k)
+from ..functions.text import token_set, tokens
+from .dense import hash_topk, substring_topk, vector_topk
+from .index import corpus_stats, document_frequency, embedded, idf, postings
+from .ranked import ranked
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -23,6 +17,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def _bm25(terms: DataFrame, posts: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float, positive: bool, id_col: str) -> DataFrame:
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
+    hits = terms.join(weights, "term").join(posts, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))  # stats is one row
+    return ranked(hits.filter("score > 0") if positive else hits, k, id_col=id_col)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, okapi: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25; only documents that hold a term of the query, with scores over 0.
 
@@ -30,50 +30,46 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = fixed.BM25_K1,
     over all words; no score is left out. Only postings of the queries' terms
     are built, so the other words aren't shuffled.
     """
-    terms = query_terms(queries)
-    n, avgdl = corpus_stats(docs).first()
-    wanted = terms.select("term").distinct()
+    terms, stats = query_terms(queries), corpus_stats(docs)
+    wanted, one = terms.select("term").distinct(), F.broadcast(stats.select("n"))
     if okapi:
         posts = postings(docs)
-        all_df = document_frequency(posts).withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-        mean = all_df.agg(F.avg("raw")).first()[0] or 0.0
-        weights = all_df.join(wanted, "term", "left_semi").select("term", F.when(F.col("raw") < 0, F.lit(0.25 * mean)).otherwise(F.col("raw")).alias("idf"))
+        all_df = document_frequency(posts).crossJoin(one).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        mean = F.broadcast(all_df.agg(F.coalesce(F.avg("raw"), F.lit(0.0)).alias("mean")))  # one row
+        weights = all_df.join(wanted, "term", "left_semi").crossJoin(mean).select("term", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
         posts = posts.join(wanted, "term", "left_semi")
     else:
         words = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
         posts = words.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-        weights = document_frequency(posts).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    hits = terms.join(weights, "term").join(posts, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(hits if okapi else hits.filter("score > 0"), k)
+        weights = document_frequency(posts).crossJoin(one).select("term", idf(F.col("n"), F.col("df")).alias("idf"))
+    return _bm25(terms, posts, weights, stats, k, k1, b, not okapi, "doc_id")
 
 
-def hash_dense(docs: DataFrame, queries: DataFrame, k: int, blake2b: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank) by the dot product of hashed unit vectors.
+def bm25_index(index: dict[str, DataFrame], queries: DataFrame, k: int, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score, rank) by BM25 from a read index: only the postings of the queries' terms are read on."""
+    terms = query_terms(queries)
+    posts = index["postings"].join(terms.select("term").distinct(), "term", "left_semi")
+    weights = document_frequency(posts).crossJoin(F.broadcast(index["stats"].select("n"))).select("term", idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
+    return _bm25(terms, posts, weights, index["stats"], k, k1, b, True, id_col)
 
-    Vectors meet bucket by bucket, which gives the dense product exactly. A
-    document that shares no bucket with a query would score 0 and isn't listed.
-    """
-    q = hash_vectors(queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text")), blake2b=blake2b)
-    q = q.select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("w"))
-    both = hash_vectors(docs, blake2b=blake2b).join(q, "bucket")
-    return ranked(both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("score")), k)
+
+def dense_index(index: dict[str, DataFrame], queries: DataFrame, k: int, blake2b: bool = False, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score, rank) by the dot product with the vectors of a read index."""
+    vectors = embedded(queries, "query_id", "query", blake2b=blake2b).select("query_id", F.col("embedding").alias("query_vec"))
+    return vector_topk(index["vectors"], vectors, k, id_col=id_col)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine: the stated queries (query_id, query_vec) against all rows."""
-    both = vectors.join(queries, F.lit(True))
-    score = F.round(cosine(F.col("embedding"), F.col("query_vec")), 6)
-    return ranked(both.select("query_id", "vec_id", score.alias("score")), k, id_col="vec_id")
+def hash_dense(docs: DataFrame, queries: DataFrame, k: int, blake2b: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank) by the dot product of hashed unit vectors; all documents count, also with scores of 0 and below."""
+    return hash_topk(docs, queries, k, blake2b=blake2b)
 
 
 def substring_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): how many distinct white-space terms of the query a text contains."""
-    terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != ""))
-    q = queries.select("query_id", terms.alias("terms"))
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    n = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t))).cast("long")
-    return ranked(low.join(q, F.lit(True)).select("query_id", "doc_id", n.alias("score")).filter("score > 0"), k)
+    """(query_id, doc_id, score, rank): how many white-space terms of the query, repeats counted, a text contains.
+
+    If no text contains any, the first texts are listed with a score of 0.
+    """
+    return substring_topk(docs, queries, k)
 
 
 def overlap(query_words: Column, doc_words: Column) -> Column:
@@ -91,22 +87,12 @@ def vectorless(docs: DataFrame, queries: DataFrame, k: int, snippet: int = fixed
     return top.join(docs.select("doc_id", F.left("text", F.lit(snippet)).alias("content")), "doc_id").select("query_id", "doc_id", "score", "rank", "content")
 
 
-def _squares(words: Column) -> Column:
-    """Sum of the squared counts of a word list: the n-th of equal neighbours in order adds 2 n - 1."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
-
-    def step(a: Column, w: Column) -> Column:
-        return let(F.when(a["last"] == w, a["run"] + 1).otherwise(1.0), lambda run: F.struct(w.alias("last"), run.alias("run"), (a["total"] + 2 * run - 1).alias("total")))
-
-    return F.aggregate(F.array_sort(words), start, step, lambda a: a["total"])
+def counts_cosine(results: DataFrame, a: str, b: str, keys: list[str], out: str) -> DataFrame:
+    """``results`` with the cosine of the word counts of two list columns; 0 if either is empty. ``keys`` tell rows apart.
 
-
-def counts_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the word counts of two word lists; 0 if either is empty."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x)).cast("double")
-    products = F.transform(F.array_intersect(a, b), lambda x: count(a, x) * count(b, x))
-    dot = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-    return F.coalesce(dot / F.nullif(F.sqrt(_squares(a) * _squares(b)), F.lit(0.0)), F.lit(0.0))
-
-
-__all__ = ["bm25", "counts_cosine", "dot_product", "hash_dense", "let", "overlap", "query_terms", "ranked", "substring_search", "vector_topk", "vectorless"]
+    The words are counted and joined by key, so lists may be long.
+    """
+    counted = lambda c, n: results.select(*keys, F.explode(c).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias(n))
+    both = counted(a, "x").join(counted(b, "y"), [*keys, "term"], "full").fillna(0.0, ["x", "y"])
+    sums = both.groupBy(*keys).agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))), F.lit(0.0))).alias(out))
+    return results.join(sums, keys, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))

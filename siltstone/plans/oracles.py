@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .queries import HINTS, K, MANY
+from ..operators.grounded import BASIS as BASIS_HEAD
+from ..operators.grounded import CASES as CASES_HEAD
+from ..operators.grounded import CLOSING, INSUFFICIENT, LEAD, NEAREST, NO_SOURCE
+from .queries import ARTICLE, BASIS, CASES, CODE, DOMAINS, EVIDENCE as EVIDENCE_RULES, HINTS, INTENTS, K, MANY, NOISE, SECTION, STORAGE, THRESHOLD
 
 _quoted = lambda xs: "(" + ", ".join("'" + x + "'" for x in xs) + ")"
 IW, W = r"'[\p{L}\p{N}_À-ỹ]+'", r"'[\p{L}\p{N}_]+'"
@@ -63,7 +66,7 @@ def vecs(name: str, src: str, key: str) -> str:
     return f"{name}_w as (select {key}, {_h('term', 1, 8)} % {fixed.EMBEDDING_DIM} bucket, sum(case when {_h('term', 9, 2)} % 2 = 0 then 1.0::double else -1.0::double end) w from {src} group by all having w <> 0), {name} as (select {key}, bucket, w / sqrt(sum(w * w) over (partition by {key})) weight from {name}_w)"
 
 
-DENSE = vecs("dv", "(select doc_id, unnest(t) term from tk)", "doc_id") + ", " + vecs("qv", "qt", "query_id") + ", ds as (select query_id, doc_id, round(sum(dv.weight * qv.weight), 6) score from dv join qv using (bucket) group by query_id, doc_id)"
+DENSE = vecs("dv", "(select doc_id, unnest(t) term from tk)", "doc_id") + ", " + vecs("qv", "qt", "query_id") + ", dp as (select query_id, doc_id, sum(dv.weight * qv.weight) s from dv join qv using (bucket) group by query_id, doc_id), ds as (select query_id, doc_id, round(coalesce(s, 0), 6) + 0.0 score from (select query_id, doc_id from q, documents) left join dp using (query_id, doc_id))"
 BASE = f"with {QUERY}, {TOK}, {QT}, {BM}"
 BOTH = f"{BASE}, {DENSE}"
 
@@ -80,8 +83,12 @@ COS = f"coalesce(coalesce(list_sum(list_transform(list_intersect(qw, dw), lambda
 CASE_TYPE = "case " + " ".join("when " + " or ".join(f"contains(lower(query), '{p}')" for p in ps) + f" then '{k}'" for k, ps in HINTS.items()) + " end"
 
 
+KIND = "case when lang = 'en' then 'legal' when lang in ('fr', 'de') then 'news' else lang end"
+has = lambda c, words: "(" + " or ".join(f"contains(lower({c}), '{w.lower()}')" for w in words) + ")"
+
+
 def texts(src: str) -> str:
-    return f"(select r.*, d.text, d.lang, d.source, q.query, {tok('q.query', W)} qw, {tok('d.text', W)} dw from {src} r join documents d using (doc_id) join q using (query_id))"
+    return f"(select r.*, d.text, d.lang, d.source, {KIND} typ, q.query, {tok('q.query', W)} qw, {tok('d.text', W)} dw from {src} r join documents d using (doc_id) join q using (query_id))"
 
 
 FORMULA = lambda src: f"(select query_id, doc_id, lang, query, round({fixed.W_OVERLAP} * {OVERLAP('qw', 'dw')} + {fixed.W_COSINE} * {COS} + {fixed.W_ORIGINAL} * score + {fixed.W_RANK} / (60 + rank), 6) score from {src})"
@@ -89,18 +96,28 @@ BOOST = lambda src: f"(select * replace (round(score + case when {CASE_TYPE} = l
 FIRST = lambda src: f"(select * exclude (pn) from (select *, row_number() over (partition by query_id, left(text, 300) order by rank) pn from {src}) where pn = 1)"
 LINEAR = lambda src: f"(select query_id, doc_id, round(0.7 * score + 0.3 * {OVERLAP('qw', 'dw')}, 6) score from {FIRST(src)})"
 LENGTH = lambda src: f"(select query_id, doc_id, round(score + (length(text) % 10) * 0.01, 6) score from {src})"
-FALLBACK = f"vs as (select query_id, doc_id, round(count(*) / any_value(m)::double, 6) score from (select query_id, unnest(list_distinct({tok('query', W)})) term, len(list_distinct({tok('query', W)})) m from q) join (select doc_id, unnest(list_distinct({tok('text', W)})) term from documents) using (term) group by query_id, doc_id), vt as ({RANKED('vs', K)})"
+def fallback(k: int = K) -> str:
+    return f"vs as (select query_id, doc_id, round(count(*) / any_value(m)::double, 6) score from (select query_id, unnest(list_distinct({tok('query', W)})) term, len(list_distinct({tok('query', W)})) m from q) join (select doc_id, unnest(list_distinct({tok('text', W)})) term from documents) using (term) group by query_id, doc_id), vt as ({RANKED('vs', k)})"
+
+
+FALLBACK = fallback()
 GATED = f"g as (select query_id from fin group by query_id having max(score) >= {fixed.THRESHOLD}) select query_id, doc_id, score, rank, 'hybrid' retrieval_source from fin where query_id in (from g) union all select query_id, doc_id, score, rank, 'pageindex' from vt where query_id not in (from g)"
 MERGED = "md as (select query_id, doc_id, score, row_number() over (partition by query_id order by list, rank) rank from (select *, row_number() over (partition by query_id, doc_id order by list, rank) n from al) where n = 1)"
 TOP = f"{BASE}, lt as ({RANKED('bs', K)}), tt as (select * from {texts('lt')})"
 CAND = f"{BASE}, lt as ({RANKED('bs', MANY)}), tt as (select * from {texts('lt')})"
 PICK = "select query_id, doc_id, score, rank from"
 POS = "(select *, row_number() over (partition by query_id order by case when c <= 2 or rank % 2 = 1 then rank else 2 * c + 2 - rank end) position from (select *, count(*) over (partition by query_id) c from tt))"
-BONUS = " + ".join(f"case when lang = '{k}' and (" + " or ".join(f"contains(lower(query), '{p}')" for p in ps) + ") then 0.35 else 0 end" for k, ps in fixed.HINTS.items())
-EV = f"""ev0 as (select query_id, query, rank r, source, score cs, lang, i, s[i] sentence from (select *, s, unnest(range(1, len(s) + 1)) i from (select *, {EVIDENCE} s from tt))),
+BONUS = f"case when typ = 'legal' and {has('query', EVIDENCE_RULES['legal'])} then 0.35 else 0 end + case when typ = 'news' and {has('query', EVIDENCE_RULES['news'])} then 0.35 else 0 end + case when contains(lower(source), '{EVIDENCE_RULES['law_source']}') and {has('query', EVIDENCE_RULES['law'])} then 0.30 else 0 end"
+
+
+def evidence(src: str = "tt", at: str = "rank", bonus: str = BONUS) -> str:
+    return f"""ev0 as (select query_id, query, {at} r, source, score cs, typ, i, s[i] sentence from (select *, s, unnest(range(1, len(s) + 1)) i from (select *, {EVIDENCE} s from {src}))),
 ev1 as (select *, row_number() over (partition by query_id, lower(sentence) order by r, i) n from ev0),
-ev2 as (select query_id, sentence, source, r, i, round(case when len({answer_tokens('sentence')}) > 0 then {shared(answer_tokens('query'), answer_tokens('sentence'))} / greatest(len({answer_tokens('query')}), 1)::double + 0.15 * cs + {BONUS} else 0 end, 6) score from ev1 where n = 1),
+ev2 as (select query_id, sentence, source, r, i, round(case when len({answer_tokens('sentence')}) > 0 then {shared(answer_tokens('query'), answer_tokens('sentence'))} / greatest(len({answer_tokens('query')}), 1)::double + 0.15 * cs + {bonus} else 0 end, 6) score from ev1 where n = 1),
 ev as (select query_id, sentence, source, score, rank from (select *, row_number() over (partition by query_id order by score desc, r, i) rank from ev2 where score > 0) where rank <= {fixed.EVIDENCE_LIMIT})"""
+
+
+EV = evidence()
 REFUSE = "'No sufficient evidence was found.'"
 ANSWER_TEMPLATE = "case when t.source is null then " + REFUSE + r" else 'According to [' || regexp_replace(t.source, '\.[A-Za-z0-9]+$', '') || '].' end"
 
@@ -138,6 +155,73 @@ f as (select doc_id, ps, 1 k, []::varchar[] o, '' cur from pc union all
 r as (select doc_id, case when cur <> '' then list_append(o, cur) else o end o from f where k = len(ps) + 1)
 select doc_id, i - 1 chunk_index, {strip('o[i]')} "content" from (select doc_id, o, unnest(range(1, len(o) + 1)) i from r) where {strip('o[i]')} <> ''"""
 
+def intents(c: str = "query") -> dict[str, str]:
+    out = {name: " and ".join(has(c, words) for words in lists) for name, lists in INTENTS.items()}
+    out["prohibited"] = f"({out['prohibited']}) or ({out.pop('prohibited_acts')})"
+    out["mixed"] = f"(({out['storage']}) or ({out['crime']}))"
+    return out
+
+
+MIXED = intents()["mixed"]
+INTENT_COLUMNS = ", ".join(f"{c} {k}" for k, c in intents("q.query").items())
+evidence_of_code = lambda src: f"(select query_id, bool_or({has(chr(99) + 'oncat_ws(chr(32), source, text)', CODE)}) code_evidence from {src} group by query_id)"
+QUOTA = f"""{CAND}, q1 as (select *, typ = 'legal' and text <> '' lg, typ = 'news' nw, {MIXED} mx, typ = 'news' and {has('text', STORAGE)} sn from tt),
+q2 as (select *, min(case when lg then rank end) over (partition by query_id) a, max(sn) over (partition by query_id) an from q1),
+q3 as (select x.*, y.text ft from q2 x left join q2 y on x.query_id = y.query_id and y.rank = x.a),
+q4 as (select *, case when coalesce(lg and (rank = a or not contains(ft, left(text, 300))), false) then 0 when coalesce(mx and case when an then sn else nw end, false) then 1 else 2 end grp from q3),
+q5 as (select *, min(grp) over (partition by query_id) < 2 sm from q4),
+q6 as (select *, row_number() over (partition by query_id order by grp, rank) r2 from q5 where grp < 2 or not sm),
+q7 as (select *, row_number() over (partition by query_id, left(text, 300) order by r2) n from q6 where r2 <= {K})
+select query_id, doc_id, row_number() over (partition by query_id order by r2) rank from q7 where n = 1"""
+_keyword_sentences = lambda words, most: rf"list_filter(string_split(regexp_replace({collapse('text')}, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 30 and regexp_matches(lower(s), '{'|'.join(words)}'))[1:{most}]"
+_nl = "chr(10) || chr(10)"
+STRUCTURED = f"""sa as (select *, {MIXED} mx, {has('text', STORAGE)} mn from tt),
+sl as (select query_id, string_agg('{BASIS_HEAD} [Source ' || rank || ']:' || chr(10) || array_to_string(list_transform(s, lambda x: '- ' || x), chr(10)), chr(10) order by rank) legal from (select *, {_keyword_sentences(BASIS, 3)} s from sa where mx and typ = 'legal' and (mn or contains(text, '{ARTICLE}'))) where len(s) > 0 group by query_id),
+sk as (select query_id, rank, ss[i] s, row_number() over (partition by query_id order by rank, i) n from (select query_id, rank, ss, unnest(range(1, len(ss) + 1)) i from (select *, {_keyword_sentences(CASES, 2)} ss from sa where mx and mn))),
+sc as (select query_id, string_agg('- [Source ' || rank || '] ' || s, chr(10) order by n) cases from sk where n <= 5 group by query_id),
+sn as (select query_id, string_agg('[Source ' || rank || '] ' || coalesce(nullif(source, ''), 'unknown') || chr(10) || case when length(trim(text)) > 500 then left(trim(text), 500) || '...' else trim(text) end, chr(10) order by rank) nearest from sa where not mx and rank <= 3 group by query_id),
+so as (select q.query_id, case when m.mx is null then {{refuse}} when m.mx then concat_ws({_nl}, '{LEAD}', legal, '{CASES_HEAD}' || chr(10) || cases, '{CLOSING}') else concat_ws({_nl}, '{NEAREST}', nearest) end answer
+  from q left join (select query_id, bool_or(mx) mx from sa group by query_id) m using (query_id) left join sl using (query_id) left join sc using (query_id) left join sn using (query_id))""".replace("{refuse}", REFUSE)
+INSUFFICIENT_SQL = lambda src, at: f"(select q.query_id, '{INSUFFICIENT.replace(chr(39), chr(39) * 2)}' || coalesce(nullif(names, ''), '{NO_SOURCE}') || '.' answer from q left join (select query_id, string_agg(source, ', ' order by r) names from (select query_id, source, min({at}) r from {src} where {at} <= 4 group by all) group by query_id) using (query_id))"
+
+
+def hybrid(k: int, hints: dict, kind: str) -> str:
+    """CTEs up to ``rh``, the rows of the hybrid retrieval."""
+    wanted = "case " + " ".join("when " + has("query", ps) + f" then '{t}'" for t, ps in hints.items()) + " end"
+    boost = lambda src: f"(select * replace (round(score + case when {wanted} = {kind} then {fixed.DOMAIN_BOOST} else 0 end, 6) as score) from {src})"
+    formula = lambda src: FORMULA(src).replace("doc_id, lang, query", "doc_id, lang, typ, query")
+    many = k * fixed.OVER_FETCH
+    return f"{lists(many)}, {RRF}, rk as ({RANKED('rs', many)}), b1 as (from {boost(texts('rk'))}), b2 as ({RANKED('(select * exclude (rank) from b1)', 0)}), b3 as ({RANKED(formula('b2'), k)}), fin as ({RANKED('(select * exclude (rank) from ' + boost('b3') + ')', 0)}), {fallback(k)}, rh as (with {GATED})"
+
+
+GENERATED = f"""{hybrid(8, DOMAINS, 'typ')}, tt as (select *, row_number() over (partition by query_id order by case when c <= 2 or rank % 2 = 1 then rank else 2 * c + 2 - rank end) pos from (select *, count(*) over (partition by query_id) c from {texts('rh')})),
+{evidence('tt', 'pos', f"case when typ = 'legal' and {has('query', fixed.LEGAL_TERMS)} then 0.35 else 0 end")},
+ga as (select query_id, string_agg('- ' || sentence || ' [' || source || ']', chr(10) order by rank) a from ev group by query_id),
+gs as (select query_id, string_agg(doc_id, ',' order by rank) sources, min_by(retrieval_source, rank) retrieval_source from rh group by query_id)
+select q.query_id, md5(case when gs.sources is null then {REFUSE} when {intents('q.query')['penalty']} and not code_evidence then i.answer else coalesce('{LEAD}' || chr(10) || a || chr(10) || '{CLOSING}', {REFUSE}) end) digest, coalesce(sources, '') sources, coalesce(retrieval_source, 'none') retrieval_source
+from q left join ga using (query_id) left join gs using (query_id) left join {evidence_of_code('tt')} using (query_id) left join {INSUFFICIENT_SQL('tt', 'pos')} i using (query_id)"""
+
+clean_text = lambda c: strip(rf"regexp_replace(regexp_replace(regexp_replace({unescape(c)}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+_noise = lambda c: f"(length({c}) <= 2 or regexp_matches({c}, '^[0-9]{{1,3}}$') or {has(c, NOISE)})"
+LINES = f"""ln as (select page_id, i - 1 line_no, {collapse(clean_text('ls[i]'))} line from (select page_id, ls, unnest(range(1, len(ls) + 1)) i from (select page_id, string_split(regexp_replace({CODE_FREE}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)) ls from pages))),
+lc as (select page_id, line_no, line from (select *, lag(line) over (partition by page_id order by line_no) b from ln where not {_noise('line')}) where line is distinct from b)"""
+_near = lambda words: f"max({has('line', words)}) over (partition by page_id order by line_no rows between current row and {fixed.LOOK_AHEAD - 1} following)"
+SECTIONS = f"""{LINES}, s1 as (select *, row_number() over (partition by page_id order by line_no) n, {_near(['is'])} nn, {_near(SECTION['decree'])} nd, {_near(SECTION['first'])} nf from lc),
+s2 as (select *, coalesce(min(case when {has('line', SECTION['government'])} and nn and nd and nf then n end) over (partition by page_id),
+  min(case when {has('line', ['is'])} and nd and nf then greatest(1, n - {SECTION['lead']}) end) over (partition by page_id), min(case when {has('line', SECTION['decree'])} and nf then greatest(1, n - {SECTION['lead']}) end) over (partition by page_id), 1) st from s1),
+s3 as (select *, min(case when {has('line', SECTION['ends'])} and n >= st + {SECTION['least']} then n end) over (partition by page_id) en from s2),
+sx as (select page_id, line_no, line from s3 where n >= st and (en is null or n < en)),
+lt as (select page_id, case when length(c) < 200 and length(f) > length(c) then f else c end text from (select page_id, coalesce(c, '') c, coalesce(f, '') f from pages left join (select page_id, string_agg(line, chr(10) order by line_no) f from lc group by 1) using (page_id) left join (select page_id, string_agg(line, chr(10) order by line_no) c from sx group by 1) using (page_id)))"""
+_news_markdown = f"'---' || chr(10) || 'title: ' || {TITLE} || chr(10) || 'source: ' || url || chr(10) || 'type: news' || chr(10) || '---' || chr(10) || chr(10) || '# ' || {TITLE} || chr(10) || chr(10) || body"
+CHUNKED = f"select doc_id || ':' || chunk_index doc_id, doc_id d, chunk_index, \"content\" \"text\" from ({CHUNKS})"
+ON_CHUNKS = lambda sql: sql.replace("from documents)", "from cdocs)").replace(f"with {QUERY}", f"with {QUERY}, cdocs as ({CHUNKED})").replace("from q, documents)", "from q, cdocs)")
+TOPPED = f"""{lists(2 * K)}, {MERGED}, f0 as (select * from ({RANKED(LINEAR(texts('md')), 2 * K)}) where score >= {THRESHOLD}), en as (select query_id from f0 group by query_id having count(*) >= {K}),
+fa as (select query_id, doc_id, score, rank, 0 list from f0 where query_id not in (from en) union all select query_id, doc_id, score, rank, 1 list from l1 where query_id not in (from en)),
+fm as (select query_id, doc_id, score, list, row_number() over (partition by query_id order by list, rank) rank from (select *, row_number() over (partition by query_id, doc_id order by list, rank) n from fa) where n = 1), fr as ({RANKED(LINEAR(texts('fm')), K)})
+select query_id, doc_id, score, rank, 'hybrid' retrieval_source from f0 where rank <= {K} and query_id in (from en) union all select query_id, doc_id, fr.score, fr.rank, case when list = 0 then 'hybrid' else 'pageindex' end from fr join fm using (query_id, doc_id)"""
+
+RETRIEVED_MAX = f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}"
+
 ORACLES = {
     "tokenize": words(tok("text")),
     "token_set": words(f"list_sort(list_distinct({tok('text', W)}))"),
@@ -162,7 +246,7 @@ ORACLES = {
     "bm25_search": f"{BASE} {RANKED('bs', MANY)}",
     "bm25_okapi": f"with {QUERY}, {TOK}, {QT}, ra as (select term, ln(n - df + 0.5) - ln(df + 0.5) raw from dfs, st), me as (select avg(raw) mean from ra), wi as (select term, case when raw < 0 then 0.25 * mean else raw end idf from ra, me), bs as (select query_id, doc_id, {_bm('idf')} score from qt join tf using (term) join wi using (term) join dl using (doc_id), st group by query_id, doc_id) {RANKED('bs', MANY)}",
     "dense_search": f"{BOTH} {RANKED('ds', MANY)}",
-    "substring_search": rf"with {QUERY}, ss as (select query_id, doc_id, len(list_filter(terms, lambda t: contains(lower(text), t))) score from (select query_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda t: t <> '')) terms from q), documents), sp as (select * from ss where score > 0) {RANKED('sp', K)}",
+    "substring_search": rf"with {QUERY}, ss as (select query_id, doc_id, cast(len(list_filter(terms, lambda t: contains(lower(text), t))) as double) score from (select query_id, list_filter(regexp_split_to_array(lower(query), '\s+'), lambda t: t <> '') terms from q), documents), sp as (select * exclude (m) from (select *, max(score) over (partition by query_id) m from ss) where score > 0 or m = 0) {RANKED('sp', K)}",
     "vectorless_search": f"with {QUERY}, {FALLBACK} select vt.*, left(text, {fixed.SNIPPET}) \"content\" from vt join documents using (doc_id)",
     "vector_topk": f"with v as (select vec_id, embedding::double[] e from embeddings), s as (select b.vec_id query_id, a.vec_id, round(case when sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) > 0 then list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) else 0 end, 6) score from v a, v b where b.vec_id % 50 = 0) {RANKED('s', 10, 'vec_id')}",
     "dot_product": "select vec_id, round(list_dot_product(embedding::double[], embedding::double[]), 4) dot, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 4) norm from embeddings",
@@ -176,10 +260,32 @@ ORACLES = {
     "classify_query": f"with {QUERY} select query_id, {CASE_TYPE} \"type\" from q",
     "domain_boost": f"{CAND}, fr as (select query_id, doc_id, score from {BOOST('tt')}) {RANKED('fr', 0)}",
     "retrieve_hybrid": f"{lists(MANY)}, {RRF}, rk as ({RANKED('rs', MANY)}), b1 as (from {BOOST(texts('rk'))}), b2 as ({RANKED('(select * exclude (rank) from b1)', 0)}), b3 as ({RANKED(FORMULA('b2'), K)}), fin as ({RANKED('(select * exclude (rank) from ' + BOOST('b3') + ')', 0)}), {FALLBACK}, {GATED}",
-    "retrieve_linear": f"{lists(2 * K)}, {MERGED}, fr as (from {LINEAR(texts('md'))}) {RANKED('fr', K)}",
-    "retrieve_maxmerge": f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}",
+    "retrieve_linear": TOPPED,
+    "result_key": "select doc_id, md5(case when doc_id % 5 = 0 and doc_id % 7 = 0 then text else concat_ws('::', case when doc_id % 5 > 0 then source else '' end, case when doc_id % 7 > 0 then cast(doc_id as varchar) else '' end, left(text, 120)) end) digest from documents",
+    "classify_intent": f"{TOP} select q.query_id, {INTENT_COLUMNS}, coalesce(code_evidence, false) code_evidence from q left join {evidence_of_code('tt')} using (query_id)",
+    "chunk_predicates": f"select doc_id, coalesce({KIND} = 'legal', false) legal, coalesce({KIND} = 'news', false) news, coalesce({has('text', STORAGE)}, false) storage from documents",
+    "quota_selection": QUOTA,
+    "insufficient_answer": f"{TOP} from {INSUFFICIENT_SQL('tt', 'rank')}",
+    "structured_answer": f"{TOP}, {STRUCTURED} select query_id, md5(answer) digest from so",
+    "offline_answer": f"{TOP}, {STRUCTURED} select query_id, md5(answer) digest, coalesce(s, '') sources, 'offline_fallback' model from so left join (select query_id, string_agg(source, ',' order by rank) s from tt group by query_id) using (query_id)",
+    "replace_refusals": f"{TOP}, {STRUCTURED}, us as (select query_id, bool_or(mx or mn or (typ = 'legal' and contains(text, '{ARTICLE}'))) u from sa group by query_id) select query_id, md5(case when query_id % 2 = 0 and coalesce(u, false) then answer when query_id % 2 = 0 then {REFUSE} else 'It is so.' end) digest, query_id % 2 = 0 and coalesce(u, false) replaced from so left join us using (query_id)",
+    "generate": GENERATED,
+    "conversion_report": f"with {BODIES} select 'news' kind, method, status, count(*) n, cast(sum(chars) as bigint) chars, cast(sum(bytes) as bigint) bytes from (select case when body <> '' then 'paragraphs' else 'html_text' end \"method\", length(t) chars, strlen(t) bytes, case when length(t) >= {fixed.NEWS_MIN} then 'ok' else 'short_content_warning' end status from (select *, case when body <> '' then body else {clean_text(plain(CODE_FREE))} end t from bodies)) group by all",
+    "dedupe_consecutive_lines": f"with {LINES} from lc",
+    "noise_lines": f"select page_id, cast(sum(case when {_noise('line')} then 1 else 0 end) as bigint) noise, count(*) n from (select page_id, {collapse(clean_text('r'))} line from (select page_id, unnest(string_split(html, chr(10))) r from pages)) group by page_id",
+    "clean_text": f"select page_id, md5({clean_text('html')}) digest from pages",
+    "legal_section": f"with {SECTIONS} from sx",
+    "legal_texts": f"with {SECTIONS} select page_id, text, length(text) chars, case when length(text) >= 200 then 'ok' else 'too_short' end status from lt",
+    "convert_all": f"with {BODIES}, {SECTIONS} select 'legal' kind, page_id, md5('---' || chr(10) || 'title: ' || {TITLE_REGEX} || chr(10) || 'source: ' || url || chr(10) || 'type: legal' || chr(10) || '---' || chr(10) || chr(10) || text) digest from lt join pages using (page_id) where page_id % 3 = 0 union all select 'news', page_id, md5({_news_markdown}) from bodies where page_id % 3 <> 0",
+    "preferred_sources": f"with {BODIES}, {SECTIONS} select page_id, case when length(body) >= {fixed.NEWS_MIN} then 'paragraphs' else 'lines' end \"method\", md5(case when length(body) >= {fixed.NEWS_MIN} then body else text end) digest from bodies join lt using (page_id)",
+    "index_join": f"with cdocs as ({CHUNKED}), {TOK.replace('from documents)', 'from cdocs)')}, {vecs('dv', '(select doc_id, unnest(t) term from tk)', 'doc_id')} select c.doc_id chunk_id, d doc_id, chunk_index, coalesce(n, 0) n, md5(text) digest from cdocs c left join (select doc_id, count(*) n from dv group by doc_id) using (doc_id)",
+    "embed_chunks": f"with cdocs as ({CHUNKED}), {TOK.replace('from documents)', 'from cdocs)')}, {vecs('dv', '(select doc_id, unnest(t) term from tk)', 'doc_id')} select c.doc_id chunk_id, coalesce(greatest(m, case when n < {fixed.EMBEDDING_DIM} then 0 else m end), 0) most, coalesce(n, 0) n from cdocs c left join (select doc_id, count(*) n, max(round(weight, 6)) m from dv group by doc_id) using (doc_id)",
+    "bm25_indexed": ON_CHUNKS(f"{BASE} select query_id, doc_id chunk_id, score, rank from ({RANKED('bs', K)})"),
+    "dense_indexed": ON_CHUNKS(f"{BOTH} select query_id, doc_id chunk_id, score, rank from ({RANKED('ds', K)})"),
+    "retrieve_maxmerge": RETRIEVED_MAX,
+    "normalize_source": f"select query_id, doc_id, retrieval_source source from ({RETRIEVED_MAX})",
     "reorder_for_llm": f"{TOP} select query_id, doc_id, rank, position from {POS}",
-    "format_context": f"{TOP} select query_id, md5(string_agg(printf('[Document %d | Source: %s | Type: %s | Score: %.3f]', position, source, lang, round(score, 3)) || chr(10) || trim(text) || chr(10), chr(10) || '---' || chr(10) order by position)) digest from {POS} group by query_id",
+    "format_context": f"{TOP} select query_id, md5(string_agg(printf('[Document %d | Source: %s | Type: %s | Score: %.3f]', position, source, typ, round(score, 3)) || chr(10) || trim(text) || chr(10), chr(10) || '---' || chr(10) order by position)) digest from {POS} group by query_id",
     "build_prompt": f"{TOP} select query_id, md5('Context:' || chr(10) || string_agg('[Source ' || rank || ']' || chr(10) || trim(text), chr(10) || chr(10) order by rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) || chr(10) || chr(10) || 'Answer:') digest from tt group by query_id",
     "answer_sources": f"{TOP} select query_id, string_agg(source, ',' order by r) sources from (select query_id, source, min(rank) r from tt where rank <= 4 group by all) group by query_id",
     "best_evidence": f"{TOP}, {EV} from ev",

@@ -6,22 +6,46 @@ document's language stands in for its type.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import answer, chunk, index, rank, search
+from ..functions.frames import union
+from ..operators import answer, chunk, dense, grounded, index, rank, search
 from ..sources import ingest
 from ..sources.ingest import table
 
 #: Words that tell the driver tables' languages apart, in place of the hints of a legal corpus.
 HINTS = {"en": [" the ", " and "], "fr": [" les ", " des "], "de": [" der ", " und "], "es": [" los ", " que "]}
 K, MANY = 5, 20
+#: Likewise for intents, evidence and selection; English counts as legal texts, French and German as news.
+INTENTS = {"overview": [["ing "], [" and "]], "decree_summary": [["tion"], [" in "], [" by ", " at "]], "penalty": [[" of "]], "prohibited": [["ble "]], "prohibited_acts": [["er "], ["ly "]], "storage": [["ment", "hand"]], "crime": [["tion ", "sh "]]}
+CODE, STORAGE, BASIS, CASES, ARTICLE = ["src3", "thereon"], ["tion"], ["the", "ing"], ["and", "is"], "Th"
+EVIDENCE = {"legal": [" the "], "news": [" der ", " les "], "law": [" of "], "law_source": "src1"}
+NOISE = ["menu", "the and", "ing."]
+SECTION = {"government": ["the"], "decree": ["and"], "first": ["of"], "ends": ["ble", "tion"], "least": 2, "lead": 1}
+THRESHOLD = 0.25
+DOMAINS = {"legal": [" the ", " and "], "news": [" der ", " les "]}
 
 REGISTRY: dict = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where all runs in this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def query(f):
     REGISTRY[f.__name__] = f
     return f
@@ -79,7 +103,6 @@ _pages("safe_filename", name=lambda u, h: T.safe_filename(u))
 _pages("page_title", title=lambda u, h: ingest.page_title(h))
 _pages("page_title_regex", title=lambda u, h: ingest.page_title_regex(h))
 _pages("page_body", body=lambda u, h: ingest.page_body(h))
-_pages("longest_region", region=lambda u, h: ingest.longest_region(h))
 _pages("metadata_header", header=lambda u, h: T.metadata_header(ingest.page_title_regex(h), u, F.lit("news"), extra=F.lit(None).cast("string")))
 
 
@@ -88,14 +111,61 @@ def standardize_pages(spark, d):
     return ingest.standardize(table(spark, d, "pages")).select("page_id", "markdown")
 
 
+@query
+def longest_region(spark, d):
+    return ingest.longest_region(table(spark, d, "pages"))
+
+
 @query
 def conversion_report(spark, d):
-    return ingest.conversion_status(table(spark, d, "pages")).groupBy("status").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return ingest.conversion_summary(ingest.conversion_status(table(spark, d, "pages")).withColumn("kind", F.lit("news")))
 
 
 @query
 def dedupe_consecutive_lines(spark, d):
-    return ingest.clean_lines(table(spark, d, "pages"), "page_id", "html")
+    return ingest.clean_lines(table(spark, d, "pages"), "page_id", "html", NOISE)
+
+
+@query
+def noise_lines(spark, d):
+    lines = table(spark, d, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("raw")).select("page_id", ingest.normalize_line(F.col("raw")).alias("line"))
+    return lines.groupBy("page_id").agg(F.sum(ingest.is_noise(F.col("line"), NOISE).cast("long")).alias("noise"), F.count("*").alias("n"))
+
+
+@query
+def clean_text(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.clean_markup_text(F.col("html"))).alias("digest"))
+
+
+def _legal(spark, d):
+    return ingest.legal_texts(table(spark, d, "pages"), "page_id", "html", F.lit("is"), shortest=200, patterns=NOISE, **SECTION)
+
+
+@query
+def legal_section(spark, d):
+    lines = ingest.clean_lines(table(spark, d, "pages"), "page_id", "html", NOISE)
+    return ingest.section(lines, "page_id", F.lit("is"), **SECTION)
+
+
+@query
+def legal_texts(spark, d):
+    return _legal(spark, d)
+
+
+@query
+def convert_all(spark, d):
+    pages = table(spark, d, "pages")
+    laws = _legal(spark, d).filter("page_id % 3 = 0").join(pages.select("page_id", "url", ingest.page_title_regex(F.col("html")).alias("title")), "page_id")
+    return ingest.convert_all(laws, pages.filter("page_id % 3 <> 0")).select("kind", "page_id", F.md5("markdown").alias("digest"))
+
+
+@query
+def preferred_sources(spark, d):
+    """Texts by paragraphs stand for those by lines where there are any."""
+    pages = table(spark, d, "pages")
+    good = pages.select("page_id", ingest.page_body(F.col("html")).alias("text"), F.lit("paragraphs").alias("method")).filter(F.length("text") >= ingest.SHORT)
+    rest = _legal(spark, d).select("page_id", "text", F.lit("lines").alias("method"))
+    return ingest.preferred(good, rest, "page_id").select("page_id", "method", F.md5("text").alias("digest"))
 
 
 @query
@@ -109,6 +179,11 @@ def chunk_recursive(spark, d):
     return chunk.chunk_documents(docs_of(spark, d))
 
 
+@query
+def chunk_large(spark, d):
+    return chunk.chunk_large(docs_of(spark, d))
+
+
 @query
 def chunk_fixed(spark, d):
     return chunk.chunk_fixed(docs_of(spark, d))
@@ -136,6 +211,42 @@ def hash_embedding(spark, d):
     return index.hash_vectors(docs_of(spark, d)).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+@query
+def hash_embedding_blake2b(spark, d):
+    return index.hash_vectors(docs_of(spark, d), blake2b=True).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query
+def embed_chunks(spark, d):
+    """Of each chunk's vector its largest number and its place, and how many aren't 0."""
+    chunks = chunk.chunk_documents(docs_of(spark, d)).withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
+    v = index.embedded(chunks, "chunk_id", "content")
+    most = F.array_max(F.transform("embedding", lambda x: F.round(x, 6)))
+    return v.select("chunk_id", most.alias("most"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n"))
+
+
+def _index(spark, d):
+    """An index in the shared folder, written and read back."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    return index.build_index(docs_of(spark, d), folder)
+
+
+@query
+def index_join(spark, d):
+    rows = index.index_join(_index(spark, d))
+    return rows.select("chunk_id", "doc_id", "chunk_index", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+@query
+def bm25_indexed(spark, d):
+    return search.bm25_index(_index(spark, d), queries_of(spark, d), K)
+
+
+@query
+def dense_indexed(spark, d):
+    return search.dense_index(_index(spark, d), queries_of(spark, d), K)
+
+
 @query
 def bm25_search(spark, d):
     return search.bm25(docs_of(spark, d), queries_of(spark, d), MANY)
@@ -168,7 +279,7 @@ def _vectors(spark, d):
 
 @query
 def vector_topk(spark, d):
-    return search.vector_topk(*_vectors(spark, d), 10)
+    return dense.vector_topk(*_vectors(spark, d), 10)
 
 
 @query
@@ -180,7 +291,7 @@ def dot_product(spark, d):
 @query
 def mmr(spark, d):
     v, q = _vectors(spark, d)
-    top = search.vector_topk(v, q, MANY).join(v.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
+    top = dense.vector_topk(v, q, MANY).join(v.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
     return rank.mmr(top)
 
 
@@ -246,7 +357,18 @@ def retrieve_hybrid(spark, d):
 
 @query
 def retrieve_linear(spark, d):
-    return rank.retrieve_linear(docs_of(spark, d), queries_of(spark, d))
+    return rank.retrieve_linear(docs_of(spark, d), queries_of(spark, d), K, THRESHOLD)
+
+
+@query
+def result_key(spark, d):
+    rows = docs_of(spark, d).select("doc_id", grounded.result_key(F.when(F.col("doc_id") % 5 > 0, F.col("source")), F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")), F.col("text")).alias("key"))
+    return rows.select("doc_id", F.md5("key").alias("digest"))
+
+
+@query
+def normalize_source(spark, d):
+    return rank.retrieve_maxmerge(docs_of(spark, d), queries_of(spark, d)).select("query_id", "doc_id", grounded.normalize_source(F.col("retrieval_source")).alias("source"))
 
 
 @query
@@ -254,9 +376,62 @@ def retrieve_maxmerge(spark, d):
     return rank.retrieve_maxmerge(docs_of(spark, d), queries_of(spark, d))
 
 
-def _top(spark, d):
+def _kind():
+    return F.when(F.col("lang") == "en", "legal").when(F.col("lang").isin("fr", "de"), "news").otherwise(F.col("lang"))
+
+
+def _top(spark, d, k=K):
     docs, q = docs_of(spark, d), queries_of(spark, d)
-    return q, rank.with_texts(search.bm25(docs, q, K), docs.withColumn("type", F.col("lang")), q)
+    return q, rank.with_texts(search.bm25(docs, q, k), docs.withColumn("type", _kind()), q)
+
+
+@query
+def classify_intent(spark, d):
+    return grounded.classify_intent(*_top(spark, d), INTENTS, CODE)
+
+
+@query
+def chunk_predicates(spark, d):
+    c = F.col
+    rows = docs_of(spark, d).withColumn("type", _kind())
+    return rows.select("doc_id", grounded.is_legal(c("type"), c("source")).alias("legal"), grounded.is_news(c("type"), c("source")).alias("news"), grounded.mentions(c("text"), STORAGE).alias("storage"))
+
+
+@query
+def quota_selection(spark, d):
+    return grounded.quota_selection(_top(spark, d, MANY)[1], K, INTENTS, STORAGE).select("query_id", "doc_id", "rank")
+
+
+@query
+def insufficient_answer(spark, d):
+    return grounded.insufficient_answer(*_top(spark, d))
+
+
+def _rules():
+    return {"hints": INTENTS, "storage": STORAGE, "basis": BASIS, "cases": CASES, "article": ARTICLE}
+
+
+@query
+def structured_answer(spark, d):
+    return grounded.structured_answer(*_top(spark, d), **_rules()).select("query_id", F.md5("answer").alias("digest"))
+
+
+@query
+def offline_answer(spark, d):
+    return grounded.offline_answer(*_top(spark, d), **_rules()).select("query_id", F.md5("answer").alias("digest"), "sources", "model")
+
+
+@query
+def replace_refusals(spark, d):
+    q, top = _top(spark, d)
+    given = q.select("query_id", F.when(F.col("query_id") % 2 == 0, answer.REFUSAL).otherwise("It is so.").alias("answer"))
+    return grounded.replace_refusals(given, q, top, **_rules()).select("query_id", F.md5("answer").alias("digest"), "replaced")
+
+
+@query
+def generate(spark, d):
+    out = grounded.generate(docs_of(spark, d).withColumn("lang", _kind()), queries_of(spark, d), K, hints=INTENTS, code=CODE, domain=DOMAINS)
+    return out.select("query_id", F.md5("answer").alias("digest"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "retrieval_source")
 
 
 @query
@@ -282,13 +457,13 @@ def answer_sources(spark, d):
 
 @query
 def best_evidence(spark, d):
-    return answer.best_evidence(_top(spark, d)[1])
+    return answer.best_evidence(_top(spark, d)[1], **EVIDENCE)
 
 
 @query
 def extractive_answer(spark, d):
     q, top = _top(spark, d)
-    return answer.extractive_answer(q, answer.best_evidence(top))
+    return answer.extractive_answer(q, answer.best_evidence(top, **EVIDENCE))
 
 
 @query
@@ -312,7 +487,7 @@ def eval_compare(spark, d):
         top = rank.with_texts(found, docs, q)
         answers = answer.with_sources(answer.template_answer(q, top).join(q, "query_id"), top).withColumn("expected", F.col("query"))
         out.append(answer.evaluate(answers).withColumn("config", F.lit(config)))
-    return answer.summary(out[0].unionByName(out[1]), "config")
+    return answer.summary(union(*out), "config")
 
 
 @query

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions.frames import union
 from ..functions.text import clean_markup_text, collapse, contains_any, metadata_header, strip, unescape
 
-#: Lines that are page furniture, not text.
-NOISE = ["cookie", "subscribe", "advert", "all rights reserved", "share this", "sign in", "read more"]
 #: Texts shorter than this are reported.
-SHORT = 500
+SHORT = fixed.NEWS_MIN
 NEWS = "url string, title string, date_crawled string, content_markdown string"
 
 
@@ -84,39 +87,132 @@ def page_body(html: Column) -> Column:
     return F.array_join(page_paragraphs(html), "\n\n")
 
 
-def longest_region(html: Column, least: int = SHORT) -> Column:
-    """The longest text among article, main, content division and body if over ``least`` characters, else all text."""
-    code_free = without_code(html)
-    regions = [plain(F.regexp_extract(code_free, rx, 1)) for rx in (r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<main\b[^>]*>(.*?)</main>", r'(?is)<div\b[^>]*class="[^"]*content[^"]*"[^>]*>(.*?)</div>', r"(?is)<body\b[^>]*>(.*?)</body>")]
-    best = F.array_max(F.transform(F.filter(F.array(*regions), lambda r: F.length(r) > least), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    return F.coalesce(best, plain(code_free))
+#: Classes of the elements that hold an article, besides ``article`` and ``body``.
+REGIONS = ["detail-content", "detail__content", "content", "news-content", "article-body", "main-content"]
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_HIDDEN = {"script", "style", "noscript", "iframe", "svg"}
+
+
+class _Regions(HTMLParser):
+    """Texts of the regions of a page, nested ones too, and of the whole page."""
+
+    def __init__(self, classes: list[str]):
+        super().__init__(convert_charrefs=True)
+        self.classes, self.open, self.parts, self.found, self.hidden = set(classes), [], [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _VOID:
+            return
+        names = set((dict(attrs).get("class") or "").split())
+        self.hidden += tag in _HIDDEN
+        self.open.append((tag, len(self.parts) if tag in ("article", "body") or names & self.classes else None))
+
+    def handle_endtag(self, tag):
+        if not any(t == tag for t, _ in self.open):
+            return
+        while True:
+            t, start = self.open.pop()
+            self.hidden -= t in _HIDDEN
+            if start is not None:
+                self.found.append((start, len(self.parts)))
+            if t == tag:
+                return
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+    def regions(self) -> list[str]:
+        self.found += [(start, len(self.parts)) for _, start in self.open if start is not None]
+        return ["\n".join(self.parts[a:b]) for a, b in sorted(self.found)]
+
+
+def longest_region(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = SHORT, classes: list[str] = REGIONS) -> DataFrame:
+    """(id, region): the longest text of an article, a content element or the body if over ``least`` characters, else all text.
+
+    Elements may be nested. A page without text, or null, gives an empty region.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for html in b.column(1).to_pylist():
+                page = _Regions(classes)
+                page.feed(html or "")
+                page.close()
+                out.append(page.regions() + ["\n".join(page.parts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [id_col, "regions"])
 
+    found = pages.select(id_col, html_col).mapInArrow(run, T.StructType([pages.schema[id_col], T.StructField("regions", T.ArrayType(T.StringType()))]))
+    texts = F.transform("regions", clean_markup_text)
+    some = F.filter(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda r: F.length(r) > least)
+    best = F.array_max(F.transform(some, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
+    return found.select(id_col, F.coalesce(best, F.element_at(texts, -1)).alias("region"))
 
-def is_noise(line: Column) -> Column:
-    return (F.length(line) <= 2) | line.rlike(r"^\d{1,3}$") | contains_any(F.lower(line), NOISE)
 
+def is_noise(line: Column, patterns: list[str] = fixed.NOISE) -> Column:
+    """Two characters or fewer, a number of up to three digits, or page furniture."""
+    return (F.length(line) <= 2) | line.rlike(r"^\d{1,3}$") | contains_any(F.lower(line), [p.lower() for p in patterns])
 
-def clean_lines(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+
+def normalize_line(line: Column) -> Column:
+    return collapse(clean_markup_text(line))
+
+
+def clean_lines(pages: DataFrame, id_col: str, html_col: str, patterns: list[str] = fixed.NOISE) -> DataFrame:
     """(id, line_no, line): a page's lines without tags and noise; of equal neighbours the first stays."""
-    text = unescape(F.regexp_replace(without_code(F.col(html_col)), r"(?s)<[^>]*>", "\n"))
-    lines = pages.select(id_col, F.posexplode(F.split(text, r"\n")).alias("line_no", "raw")).select(id_col, "line_no", collapse(F.col("raw")).alias("line")).filter(~is_noise(F.col("line")))
+    text = F.regexp_replace(without_code(F.col(html_col)), r"(?s)<[^>]*>", "\n")
+    lines = pages.select(id_col, F.posexplode(F.split(text, r"\n")).alias("line_no", "raw")).select(id_col, "line_no", normalize_line(F.col("raw")).alias("line")).filter(~is_noise(F.col("line"), patterns))
     before = F.lag("line").over(Window.partitionBy(id_col).orderBy("line_no"))
     return lines.withColumn("_before", before).filter(~F.col("line").eqNullSafe(F.col("_before"))).select(id_col, F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-def section(lines: DataFrame, id_col: str, start: str, end: str, look_ahead: int = 180, least: int = 80) -> DataFrame:
-    """Lines from the first that holds ``start`` with ``end`` among the next ``look_ahead``, to the first ``end`` at least ``least`` lines on.
+def section(lines: DataFrame, id_col: str, number: Column, *, government: list[str] = fixed.GOVERNMENT, decree: list[str] = fixed.DECREE, first: list[str] = fixed.FIRST_ARTICLE, ends: list[str] = fixed.END_MARKERS, look_ahead: int = fixed.LOOK_AHEAD, least: int = fixed.SECTION_MIN, lead: int = fixed.LEAD_LINES) -> DataFrame:
+    """Lines (id, line_no, line) of the legal text with the given number, by three rules for its start, the first that fits:
 
-    Without such a start, all lines stay; without such an end, all from the start.
+    a line of ``government`` with number, decree and first article within the
+    next ``look_ahead`` lines; a line with the number, with decree and first
+    article; a line of ``decree`` with a first article. The last two begin
+    ``lead`` lines earlier. Without any, the first line. The text ends before
+    the first line of ``ends`` that is ``least`` lines on or more, or at the end.
     """
     order = Window.partitionBy(id_col).orderBy("line_no")
-    at = lines.withColumn("_n", F.row_number().over(order))
-    near = F.max(F.col("line").contains(end)).over(order.rowsBetween(0, look_ahead - 1))
-    at = at.withColumn("_start", F.when(F.col("line").contains(start) & near, F.col("_n")))
-    whole = Window.partitionBy(id_col)
-    at = at.withColumn("_start", F.coalesce(F.min("_start").over(whole), F.lit(1)))
-    stop = F.min(F.when(F.col("line").contains(end) & (F.col("_n") >= F.col("_start") + least), F.col("_n"))).over(whole)
-    return at.withColumn("_end", stop).filter((F.col("_n") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("_n") < F.col("_end")))).drop("_n", "_start", "_end")
+    ahead, whole = order.rowsBetween(0, look_ahead - 1), Window.partitionBy(id_col)
+    low = F.lower("line")
+    marks = {"_number": low.contains(F.lower(number)), "_government": contains_any(low, government), "_decree": contains_any(low, decree), "_first": contains_any(low, first)}
+    at = lines.withColumns({**marks, "_n": F.row_number().over(order)})
+    near = {k: F.max(k).over(ahead) for k in ("_number", "_decree", "_first")}
+    begin = lambda test, back: F.min(F.when(test, F.greatest(F.lit(1), F.col("_n") - back)))
+    at = at.withColumns({f"_near{k}": v for k, v in near.items()})
+    c = F.col
+    starts = [
+        begin(c("_government") & c("_near_number") & c("_near_decree") & c("_near_first"), 0).over(whole), begin(c("_number") & c("_near_decree") & c("_near_first"), lead).over(whole),
+        begin(c("_decree") & c("_near_first"), lead).over(whole),
+    ]
+    at = at.withColumn("_start", F.coalesce(*starts, F.lit(1)))
+    stop = F.min(F.when(contains_any(low, [e.lower() for e in ends]) & (c("_n") >= c("_start") + least), c("_n"))).over(whole)
+    return at.withColumn("_end", stop).filter((c("_n") >= c("_start")) & (c("_end").isNull() | (c("_n") < c("_end")))).select(*lines.columns)
+
+
+def _joined_lines(lines: DataFrame, id_col: str, out: str) -> DataFrame:
+    """A page's lines, which came from one text, joined again."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy(id_col).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias(out))
+
+
+def legal_texts(pages: DataFrame, id_col: str, html_col: str, number: Column, shortest: int = fixed.LEGAL_MIN, patterns: list[str] = fixed.NOISE, **rules) -> DataFrame:
+    """(id, text, chars, status): the legal text of each page, or all its clean lines if that is shorter than ``shortest`` and they're longer.
+
+    A page without lines has an empty text. The status is ``ok``, or
+    ``too_short`` below ``shortest`` characters.
+    """
+    lines = clean_lines(pages, id_col, html_col, patterns)
+    cut, full = _joined_lines(section(lines, id_col, number, **rules), id_col, "cut"), _joined_lines(lines, id_col, "full")
+    both = pages.select(id_col).join(full, id_col, "left").join(cut, id_col, "left").fillna("", ["full", "cut"])
+    text = F.when((F.length("cut") < shortest) & (F.length("full") > F.length("cut")), F.col("full")).otherwise(F.col("cut"))
+    rows = both.select(id_col, text.alias("text"))
+    chars = F.length("text").cast("long")
+    return rows.select(id_col, "text", chars.alias("chars"), F.when(chars >= shortest, "ok").otherwise("too_short").alias("status"))
 
 
 def standardize(pages: DataFrame) -> DataFrame:
@@ -126,13 +222,44 @@ def standardize(pages: DataFrame) -> DataFrame:
     return rows.withColumn("markdown", F.concat(header, F.lit("\n\n# "), "title", F.lit("\n\n"), "body"))
 
 
+def standardize_news(news: DataFrame) -> DataFrame:
+    """``news`` (url, title, date_crawled, content_markdown) with ``markdown``: front matter, heading, source and date lines, text; absent dates are left out."""
+    header = metadata_header(F.coalesce("title", F.lit("Unknown title")), F.coalesce("url", F.lit("")), F.lit("news"), date_crawled=F.col("date_crawled"))
+    told = F.concat_ws("\n", F.concat(F.lit("**Source:** "), F.coalesce("url", F.lit(""))), F.concat(F.lit("**Crawled:** "), "date_crawled"))
+    return news.withColumn("markdown", F.concat_ws("\n\n", header, F.concat(F.lit("# "), F.coalesce("title", F.lit("Unknown title"))), told, F.nullif(strip(F.coalesce("content_markdown", F.lit(""))), F.lit(""))))
+
+
 def conversion_status(pages: DataFrame, least: int = SHORT) -> DataFrame:
-    """(page_id, chars, status): ``ok``, or a warning for short texts; a page without paragraphs gives its longest region."""
-    body = F.coalesce(F.nullif(page_body(F.col("html")), F.lit("")), clean_markup_text(plain(without_code(F.col("html")))))
-    rows = pages.select("page_id", F.length(body).cast("long").alias("chars"))
+    """(page_id, method, chars, bytes, status): ``ok``, or a warning for short texts; a page without paragraphs gives all its text."""
+    body, whole = F.nullif(page_body(F.col("html")), F.lit("")), clean_markup_text(plain(without_code(F.col("html"))))
+    rows = pages.select("page_id", F.when(body.isNotNull(), "paragraphs").otherwise("html_text").alias("method"), F.coalesce(body, whole).alias("text"))
+    rows = rows.select("page_id", "method", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
     return rows.withColumn("status", F.when(F.col("chars") >= least, "ok").otherwise("short_content_warning"))
 
 
+def conversion_summary(reports: DataFrame) -> DataFrame:
+    """(kind, method, status, n, chars, bytes) of reports with these columns."""
+    return reports.groupBy("kind", "method", "status").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("bytes").alias("bytes"))
+
+
+def preferred(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All keys of both; a row of ``first`` stands for that of ``second`` with the same key."""
+    return union(first, second.join(first.select(key), key, "left_anti").select(first.columns))
+
+
+def convert_all(legal: DataFrame, news: DataFrame) -> DataFrame:
+    """(kind, page_id, markdown) of legal texts (page_id, title, url, text) and pages (page_id, url, html)."""
+    header = metadata_header(F.col("title"), F.col("url"), F.lit("legal"))
+    laws = legal.select(F.lit("legal").alias("kind"), "page_id", F.concat(header, F.lit("\n\n"), "text").alias("markdown"))
+    return union(laws, standardize(news).select(F.lit("news").alias("kind"), "page_id", "markdown"))
+
+
 def write_markdown(standardized: DataFrame, folder: str) -> None:
     """Markdown texts, with the page's id, as Parquet; a file for each row doesn't scale."""
     standardized.select("page_id", "markdown").write.parquet(folder)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query, expected) of a JSON array of questions with expected answers, numbered in order."""
+    rows = spark.read.schema("question string, expected_answer string").option("multiLine", True).json(path)
+    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("query_id"), F.col("question").alias("query"), F.col("expected_answer").alias("expected"))
