@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union
 from .common import written
 
 
@@ -21,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     moves = []
     while edges.head(1):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = union(edges, edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("to"))).alias("m"))
         to = F.when(F.col("m.h") < F.xxhash64("id"), F.col("m.to")).otherwise(F.col("id"))
         move = written(near.select("id", to.alias("to")), "moves")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import union
 from .common import append_column, fresh, python_ready, table, written
 from .components import components
 
@@ -248,10 +249,7 @@ def divided(cells: DataFrame, similar: int = SIMILAR, points: int = CELL_POINTS,
         block = F.pmod(F.xxhash64("id", F.lit("block")), k).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(j, F.col("b")).alias("low"), F.greatest(j, F.col("b")).alias("high"), F.col("b").alias("block")))
         out.append(stuck.withColumn("b", block).withColumn("at", F.explode(pairs)).select(*cols, "at"))
-    all_ = out[0]
-    for more in out[1:]:
-        all_ = all_.unionByName(more)
-    return all_.select("cell", "at.low", "at.high", "id", "counted", "at.block", "points")
+    return union(*out).select("cell", "at.low", "at.high", "id", "counted", "at.block", "points")
 
 
 def similar_documents(

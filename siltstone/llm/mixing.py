@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union
 from .common import fresh, table, written
 
 #: Part of the largest possible entropy that the mix is to have.
@@ -126,7 +127,7 @@ def mix_sources(
     order = Window.partitionBy(names["source"]).orderBy(names["key"], id_col, F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
     some = times.filter(last & (at == F.col(f"{end}.{names['block']}"))).withColumn(used, F.coalesce(F.sum(c("tokens")).over(order), F.lit(0)))
     keep = [*(x for x in docs.columns if x not in names.values()), *(names[x] for x in ("tokens", "weight", "epoch", "block", "key"))]
-    return sure.select(keep).unionByName(some.filter(F.col(used) < F.col(f"{end}.left")).select(keep))
+    return union(sure.select(keep), some.filter(F.col(used) < F.col(f"{end}.left")).select(keep))
 
 
 def _placed(df: DataFrame, epoch: Column, id_col: str, seed: str, blocks: int, names: dict) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import union
 from .common import table
 from .spans import apart_from, described, in_order, let, match_spans
 
@@ -66,7 +67,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
         shown = F.when(look == k, form).otherwise(shown)
     number = F.when(drawn(F.lit("number")) % 3 == 0, F.substring(drawn(F.lit("digits")).cast("string"), F.lit(1), drawn(F.lit("width")) % 4 + 1)).otherwise("")
     ordinary = at.select("id", F.lit(False).alias("random"), F.concat(shown, number).alias("s"))
-    return random.unionByName(ordinary).filter(F.length("s") >= 16)
+    return union(random, ordinary).filter(F.length("s") >= 16)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import union
 from .common import fresh, table, written
 
 SHARD_BYTES = 16 << 20
@@ -71,10 +72,7 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         over = leaves.filter("leaf is null").select("prefix")
         small = small.withColumn("prefix", F.substring("bits", 1, known)).join(over, "prefix", "left_semi").drop("prefix")
         depth = known
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return _dealt(out, shard, total, size, bits, limit)
+    return _dealt(union(*done), shard, total, size, bits, limit)
 
 
 def _dealt(out: DataFrame, shard: str, total: str, size: str, bits: str, limit: int) -> DataFrame:
@@ -84,7 +82,7 @@ def _dealt(out: DataFrame, shard: str, total: str, size: str, bits: str, limit:
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col(size))).cast("long")
     split = out.filter(over).withColumn(shard, F.concat(F.col(shard), F.lit("-"), F.floor((number - 1) / each).cast("string")))
     split = split.withColumn(total, F.sum(size).over(Window.partitionBy(bits, shard)))
-    return out.filter(~over).unionByName(split).drop(bits)
+    return union(out.filter(~over), split).drop(bits)
 
 
 def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard") -> None:
