@@ -73,7 +73,14 @@ def test_fusion_and_gate(spark):
     assert got[0]["score"] == round(2 / 61, 6) and got[0]["raw"] == 5.0 and got[1]["doc_id"] == 8
     assert [r["score"] for r in rank.merge_dedupe([a, b]).orderBy("rank").collect()] == [0.9, 2.0]
     other = ranked(spark, [(1, 1, 0.1, 1), (2, 1, 0.1, 1)])
-    gated = {(r["query_id"], r["retrieval_source"]) for r in rank.fallback_gate(a, other).collect()}
+    qs, asked = spark.createDataFrame([(1,), (2,)], "query_id long"), []
+
+    def fallback(refused):
+        asked.append({r[0] for r in refused.collect()})
+        return other.join(refused, "query_id", "left_semi")
+
+    gated = {(r["query_id"], r["retrieval_source"]) for r in rank.fallback_gate(a, qs, fallback).collect()}
+    assert asked == [{2}]  # only refused queries are searched for again
     assert gated == {(1, "hybrid"), (2, "pageindex")}
     with pytest.raises(ValueError):
         rank.rerank(a, 1, "no")
