@@ -1 +1 @@
-"""Incremental indexing with Structured Streaming."""
+"""Indexing of documents as they arrive, with Structured Streaming."""
