@@ -136,14 +136,20 @@ def metrics(src: str) -> str:
       from (select *, {text} ctx, {e} ek, {qk} qk from {src})))"""
 
 
-TURNS = "(select conv_id, turn, text query, a expected, a answer, list_filter([b1, b2], lambda x: x is not null) bodies, list_transform(list_filter([b1, b2], lambda x: x is not null), lambda x: 'turn') names from (select *, lead(text) over w a, lead(role) over w nr, lag(text, 1) over w b1, lag(text, 2) over w b2 from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant')"
+TURNS = "(select conv_id, turn, text query, e expected, a answer, list_filter([b1, b2], lambda x: x is not null) bodies, list_transform(list_filter([b1, b2], lambda x: x is not null), lambda x: 'turn') names from (select *, last_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and unbounded following) e, lead(text) over w a, lead(role) over w nr, lag(text, 1) over w b1, lag(text, 2) over w b2 from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant')"
 EM = f"select conv_id, turn, faithfulness, relevance, recall, \"precision\", average from {metrics(TURNS)}"
 
 
 def compared(config: str, src: str) -> str:
-    return f"select '{config}' config, * from {metrics(f'(select q.query_id, query, query expected, {ANSWER_TEMPLATE} answer, coalesce(b, []) bodies, coalesce(nm, []) names from q left join (select query_id, list(text order by rank) b, list(source order by rank) nm from {texts(src)} group by query_id) s using (query_id) left join (select query_id, source from {texts(src)} where rank = 1) t using (query_id))')}"
+    return f"select '{config}' config, * from {metrics(f'(select q.query_id, query, expected, {ANSWER_TEMPLATE} answer, coalesce(b, []) bodies, coalesce(nm, []) names from q left join (select query_id, list(text order by rank) b, list(source order by rank) nm from {texts(src)} group by query_id) s using (query_id) left join (select query_id, source from {texts(src)} where rank = 1) t using (query_id))')}"
 
 
+_HALVES = "string_split(coalesce(text, ''), ' ')"
+GOLDEN = f"q as (select item_id query_id, array_to_string({_HALVES}[1:len({_HALVES}) // 2], ' ') query, array_to_string({_HALVES}[len({_HALVES}) // 2 + 1:], ' ') expected from benchmark)"
+COMPARED = f"{lists(K)}, evals as ({compared('lexical', 'l1')} union all {compared('dense', 'l0')})".replace(QUERY, GOLDEN)
+MEANS = ", ".join(f"round(avg({x}), 5) {x}" for x in ("faithfulness", "relevance", "recall", '"precision"', "average"))
+_cells = " || ".join(f"printf(' | %.3f', {x})" for x in ("faithfulness", "relevance", "recall", '"precision"', "average")) + " || ' |'"
+
 _sql_pieces = f"""pc as (select doc_id, list_filter(list_transform(case when length(t) <= 500 then [t] when contains(t, chr(10) || chr(10)) then string_split(t, chr(10) || chr(10)) when contains(t, chr(10)) then string_split(t, chr(10))
   when contains(t, '. ') then string_split(t, '. ') when contains(t, ' ') then string_split(t, ' ') else list_transform(range(1, length(t) + 1, 500), lambda i: substring(t, i, 500)) end, lambda x: {strip('x')}), lambda x: x <> '') ps from (select doc_id, {strip('text')} t from documents))"""
 CHUNKS = f"""with recursive {_sql_pieces},
@@ -292,7 +298,11 @@ ORACLES = {
     "extractive_answer": f"{TOP}, {EV} select query_id, coalesce(a, {REFUSE}) answer from q left join (select query_id, string_agg('- ' || sentence || ' [' || source || ']', chr(10) order by rank) a from ev group by query_id) using (query_id)",
     "template_answer": f"{TOP} select q.query_id, {ANSWER_TEMPLATE} answer from q left join (select query_id, source from tt where rank = 1) t using (query_id)",
     "eval_metrics": EM,
-    "eval_compare": f"{lists(K)} select config, {', '.join(f'round(avg({x}), 5) {x}' for x in ('faithfulness', 'relevance', 'recall', chr(34) + 'precision' + chr(34), 'average'))} from ({compared('lexical', 'l1')} union all {compared('dense', 'l0')}) group by config",
+    "eval_compare": f"{COMPARED} select config, {MEANS} from evals group by config",
+    "evaluation_report": f"""{COMPARED}, mean as (select config, {MEANS} from evals group by config), low as (select * from evals order by average, query_id limit 3),
+rl as (select 0 p, '' k, '| config | faithfulness | relevance | recall | precision | average |' line union all select 1, '', '|---|---|---|---|---|---|' union all select 2, config, '| ' || config || {_cells} from mean
+  union all select 3, '', '' union all select 4, '', '| query | faithfulness | relevance | recall | precision | average |' union all select 5, '', '|---|---|---|---|---|---|' union all select 6, printf('%.6f %012d', average, query_id), '| ' || query_id || {_cells} from low)
+select row_number() over (order by p, k) line_no, line from rl""",
     "worst_performers": f"select conv_id, turn, average from ({EM}) order by average, conv_id * 1000 + turn limit 3",
     "chat_history": "select conv_id, turn, role, row_number() over w place, lag(role) over w \"before\", length(text) n from conversations window w as (partition by conv_id order by turn)",
 }

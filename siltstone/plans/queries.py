@@ -60,13 +60,14 @@ def queries_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    """(conv_id, turn, question, answer, sources): user turns that the next turn answers; the two turns before are the sources."""
+    """(conv_id, turn, question, answer, expected, sources): user turns that the next turn answers; the conversation's last answer is expected, and the two turns before are the sources."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, d, "conversations")
     before = F.filter(F.array(F.lag("text", 1).over(w), F.lag("text", 2).over(w)), lambda x: x.isNotNull())
-    rows = c.withColumns({"answer": F.lead("text").over(w), "next": F.lead("role").over(w), "before": before}).filter("role = 'user' and next = 'assistant'")
+    last = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = c.withColumns({"expected": last, "answer": F.lead("text").over(w), "next": F.lead("role").over(w), "before": before}).filter("role = 'user' and next = 'assistant'")
     sources = F.transform("before", lambda x: F.struct(F.lit("turn").alias("source"), x.alias("text")))
-    return rows.select("conv_id", "turn", F.col("text").alias("question"), "answer", sources.alias("sources"))
+    return rows.select("conv_id", "turn", F.col("text").alias("question"), "answer", "expected", sources.alias("sources"))
 
 
 def _digest(words):
@@ -474,20 +475,38 @@ def template_answer(spark, d):
 @query
 def eval_metrics(spark, d):
     t = turns(spark, d)
-    rows = t.select("conv_id", "turn", F.col("question").alias("query"), F.col("answer").alias("expected"), "answer", "sources")
+    rows = t.select("conv_id", "turn", F.col("question").alias("query"), "expected", "answer", "sources")
     return answer.evaluate(rows).drop("query", "expected", "answer", "sources")
 
 
+def golden(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, query, expected): the first half of an item's words asks for the second."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"), half.alias("n"))
+    return rows.select("query_id", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("query"), F.array_join(F.slice("w", F.col("n") + 1, F.size("w") - F.col("n")), " ").alias("expected"))
+
+
+def _evaluated(spark, d):
+    """Template answers over the lexical and over the dense list alone, with their metrics."""
+    docs, q = docs_of(spark, d), golden(spark, d)
+    asked, out = q.select("query_id", "query"), []
+    for config, found in (("lexical", search.bm25(docs, asked, K)), ("dense", search.hash_dense(docs, asked, K))):
+        top = rank.with_texts(found, docs, asked)
+        answers = answer.with_sources(answer.template_answer(asked, top).join(q, "query_id"), top)
+        out.append(answer.evaluate(answers).withColumn("config", F.lit(config)))
+    return union(*out)
+
+
 @query
 def eval_compare(spark, d):
     """Mean metrics of template answers over the lexical and over the dense list alone."""
-    docs, q = docs_of(spark, d), queries_of(spark, d)
-    out = []
-    for config, found in (("lexical", search.bm25(docs, q, K)), ("dense", search.hash_dense(docs, q, K))):
-        top = rank.with_texts(found, docs, q)
-        answers = answer.with_sources(answer.template_answer(q, top).join(q, "query_id"), top).withColumn("expected", F.col("query"))
-        out.append(answer.evaluate(answers).withColumn("config", F.lit(config)))
-    return answer.summary(union(*out), "config")
+    return answer.summary(_evaluated(spark, d), "config")
+
+
+@query
+def evaluation_report(spark, d):
+    return answer.report(_evaluated(spark, d))
 
 
 @query
