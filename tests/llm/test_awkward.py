@@ -18,7 +18,7 @@ from siltstone.llm import jaccard, pii
 from siltstone.llm.decontaminate import find_contamination, is_contaminated, n_hit
 from siltstone.llm.jaccard import WordHashes, shingles, similar_documents
 from siltstone.llm.language import identify_language, learn_languages
-from siltstone.llm.licenses import classify_paragraphs, labelled_paragraphs, train_classifier
+from siltstone.llm.licenses import HELD_OUT, TEMPLATES, classify_paragraphs, labelled_paragraphs, train_classifier
 from siltstone.llm.mixing import find_exponent, mix_sources
 from siltstone.llm.secrets import find_secrets, labelled_samples, mean_ratio, train_models
 from siltstone.llm.sharding import OP10_SQL, SHARD_BYTES, assign_shards
@@ -310,6 +310,23 @@ def test_licenses_awkward(spark):
     assert classify_paragraphs(docs.limit(0), model).collect() == []
 
 
+def test_licenses_not_trained_on(spark):
+    """Families of notices that didn't train; licences of no family are unknown or none, and never confirmed; prose isn't a notice."""
+    model = train_classifier(labelled_paragraphs(spark))
+    family = {t: f for f, ts in TEMPLATES.items() for t in ts}
+    known = [(family[t], t) for t in HELD_OUT] + [("mit", "Licensed under MIT, see LICENSE for details"), ("apache", "This file is Apache 2.0 licensed"), ("gpl", "It is free software under the GNU General Public License, version 2"), ("bsd", "Use is subject to a BSD-style license found in the LICENSE file"), ("cc", "Text under a Creative Commons Attribution 4.0 license")]
+    other = ["Licensed under the Eclipse Public License 2.0", "Distributed under the Boost Software License, Version 1.0", "under the European Union Public Licence", "This font is licensed under the SIL Open Font License", "Released under the WTFPL, a permissive licence", "licensed under the Artistic License 2.0", "Licensed under the Academic Free License", "under the Zope Public License"]
+    prose = ["He renewed his fishing licence in May", "The copyright lawyer spoke at length", "Permission was given to cross the field", "A warranty card lay in the box", "The general public was invited", "mit dem Hund"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for _, t in known), *other, *prose])], "doc_id long, text string")
+    got = {r["doc_id"]: [(p["family"], p["confirmed"]) for p in r["paragraphs"]] for r in classify_paragraphs(docs, model).collect()}
+    right = sum(any(f == want for f, _ in got[i]) for i, (want, _) in enumerate(known))
+    unknown = [got[len(known) + i] for i in range(len(other))]
+    flagged = [got[len(known) + len(other) + i] for i in range(len(prose))]
+    print("licences: known", right, "of", len(known), [got[i] for i in range(len(known))], "other", unknown, "prose", flagged)
+    assert right >= 0.8 * len(known) and not any(c for x in unknown + flagged for _, c in x)
+    assert sum(all(f == "unknown" for f, _ in x) for x in unknown) >= 0.5 * len(other) and sum(bool(x) and any(f != "unknown" for f, _ in x) for x in flagged) <= 1
+
+
 AWKWARD = [(k, f"the thing of and that in for with {'the and of ' * 8} number {k} {' '.join(f'the{k}x{j}' for j in range(30))}", "en", "src0" if k % 3 else "src1", 10) for k in range(12)]
 AWKWARD += [(20, None, "en", "src0", 0), (21, "", None, None, None), (22, "123 456", "en", "src0", 7), (None, AWKWARD[3][1], "en", "src2", 1), (None, "the and of " * 40 + "another text without an id " * 3, "en", "src2", 1), (30, AWKWARD[4][1] + " more", "en", "src1", 1), (30, AWKWARD[5][1], "en", "src1", 1)]
 
