@@ -1,9 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of a sample of each language's words gives longest-match
-lengths. A text's words, parted by spaces, are cut greedily into the longest
-phrases that occur in the sample, across words; the language that needs the
-fewest phrases, weighed by the bits that point into its sample, wins.
+lengths. A text's words, each with a space before and after, are cut greedily
+into the longest phrases that occur in the sample; the language that needs the
+fewest phrases, weighed by the bits that point into its sample, wins. Phrases
+don't cross words, so a word is parsed once and its counts are kept.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .common import append_column, python_ready, remainder, table
 SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 400, 100_000, 20_000
 #: A language is rejected if its phrases are shorter than this on average.
 MIN_PHRASE = 2.0
+#: Words whose counts a worker keeps.
+KNOWN_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_BITS = 40  # of one language's count in a packed sum
 
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_chars", T.DoubleType())])
 
@@ -79,20 +83,39 @@ def words_of(text: str | None) -> list[str]:
     return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
+class Parser(dict):
+    """Word -> phrase counts of all languages, packed into one integer."""
+
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
+        super().__init__()
+        self.langs, self.automata = [k for k, _ in samples], [SuffixAutomaton(text) for _, text in samples]
+        self.weights = [math.log2(len(text) + 2) for _, text in samples]
+
+    def __missing__(self, word: str) -> int:
+        counts = 0
+        for k, a in enumerate(self.automata):
+            counts |= a.phrases(f" {word} ") << (_BITS * k)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = counts
+        return counts
+
+
 @lru_cache(maxsize=2)
-def automata(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, SuffixAutomaton, float]]:
-    """(language, automaton, bits that point into its sample) of each; a worker builds them once."""
-    return [(lang, SuffixAutomaton(text), math.log2(len(text) + 2)) for lang, text in samples]
+def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
+    """A worker builds it once."""
+    return Parser(samples)
 
 
-def identify(text: str | None, known: list) -> dict:
+def identify(text: str | None, known: Parser) -> dict:
     words = words_of(text)
-    if not words or not known:
+    if not words or not known.langs:
         return {"lang": "und", "score": 0.0, "phrase_chars": 0.0}
-    parsed = f" {' '.join(words)} "
-    found = sorted((n * bits, lang, n) for lang, n, bits in ((lang, a.phrases(parsed), bits) for lang, a, bits in known))
+    packed = sum(map(known.__getitem__, words))
+    counts = [packed >> (_BITS * k) & ((1 << _BITS) - 1) for k in range(len(known.langs))]
+    found = sorted(zip([n * w for n, w in zip(counts, known.weights, strict=True)], known.langs, counts, strict=True))
     rest = found[1][0] if len(found) > 1 else 0.0
-    return {"lang": found[0][1], "score": 1 - found[0][0] / rest if rest else 1.0, "phrase_chars": len(parsed) / found[0][2]}
+    return {"lang": found[0][1], "score": 1 - found[0][0] / rest if rest else 1.0, "phrase_chars": sum(len(w) + 2 for w in words) / found[0][2]}
 
 
 def learn_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
@@ -135,7 +158,7 @@ def identify_language(docs: DataFrame, samples: tuple[tuple[str, str], ...], *,
     sent = spark.sparkContext.broadcast(samples)
 
     def start():
-        known = automata(sent.value)
+        known = parser(sent.value)
         return lambda texts: [identify(t, known) for t in texts]
 
     return append_column(docs, out_col, FOUND, start, [text_col])
