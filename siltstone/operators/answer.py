@@ -26,8 +26,10 @@ def _joined(rows: DataFrame, block: Column, between: str, order: str, out: str)
     return rows.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), between).alias(out))
 
 
-def format_context(results: DataFrame, order: str = "position") -> DataFrame:
-    """(query_id, context) of rows with source, type, score and text."""
+def format_context(results: DataFrame, order: str = "position", extension: bool = True) -> DataFrame:
+    """(query_id, context) of rows with source, type, score and text; sources may be named without their ``extension``."""
+    if not extension:
+        results = results.withColumn("source", F.regexp_replace("source", r"\.[A-Za-z0-9]+$", ""))
     head = F.format_string("[Document %d | Source: %s | Type: %s | Score: %.3f]\n", F.col(order), F.coalesce(F.nullif("source", F.lit("")), F.format_string("Source %d", F.col(order))), F.coalesce("type", F.lit("unknown")), F.round("score", 3))
     return _joined(results, F.concat(head, F.trim("text"), F.lit("\n")), "\n---\n", order, "context")
 
@@ -38,9 +40,17 @@ def format_context_source(results: DataFrame) -> DataFrame:
     return _joined(some, F.concat(F.format_string("[Source %d]\n", F.col("rank")), F.trim("text")), "\n\n", "rank", "context")
 
 
-def build_prompt(contexts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, prompt)."""
-    return contexts.join(queries, "query_id").select("query_id", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "query", F.lit("\n\nAnswer:")).alias("prompt"))
+#: Rules that a prompt can begin with.
+RULES = {
+    "cite": "Answer from the context only and name a source in brackets after each statement. Say so if the context doesn't suffice.",
+    "combine": "Answer from the context only, with sources in brackets. If it holds both rules and cases, give the rule first, then the cases.",
+}
+
+
+def build_prompt(contexts: DataFrame, queries: DataFrame, rules: str | None = None) -> DataFrame:
+    """(query_id, prompt); ``rules`` names what it begins with."""
+    lead = f"{RULES[rules]}\n\n" if rules else ""
+    return contexts.join(queries, "query_id").select("query_id", F.concat(F.lit(f"{lead}Context:\n"), "context", F.lit("\n\nQuestion: "), "query", F.lit("\n\nAnswer:")).alias("prompt"))
 
 
 def answer_sources(results: DataFrame, most: int = fixed.EVIDENCE_LIMIT) -> DataFrame:

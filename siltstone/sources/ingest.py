@@ -22,16 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, source, type, content) of all Markdown files below ``folder``; blank ones are left out.
+def load_markdown(spark: SparkSession, folder: str, stripped: bool = True, blank: bool = False, by_parent: bool = False) -> DataFrame:
+    """(path, source, stem, type, content) of all Markdown files below ``folder``; blank ones are left out unless ``blank``.
 
-    The type is the part of the path that says ``legal`` or ``news``, else ``unknown``.
+    The type is the part of the path that says ``legal`` or ``news``, else
+    ``unknown``; ``by_parent`` it's the file's folder. The stem is the name
+    without its extension.
     """
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
     path = F.col("_metadata.file_path")
     kind = F.when(path.contains("/legal/"), "legal").when(path.contains("/news/"), "news").otherwise("unknown")
-    rows = files.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("source"), kind.alias("type"), strip(F.col("value")).alias("content"))
-    return rows.filter("content <> ''")
+    name, content = F.element_at(F.split(path, "/"), -1), strip(F.col("value")) if stripped else F.col("value")
+    rows = files.select(path.alias("path"), name.alias("source"), F.regexp_replace(name, r"\.md$", "").alias("stem"), (F.element_at(F.split(path, "/"), -2) if by_parent else kind).alias("type"), content.alias("content"))
+    return rows if blank else rows.filter(strip(F.col("content")) != "")
 
 
 def load_news(spark: SparkSession, folder: str) -> DataFrame:

@@ -221,6 +221,8 @@ def test_folders(spark, tmp_path):
         (tmp_path / "md" / path).write_text(text)
     got = {(r["source"], r["type"], r["content"]) for r in ingest.load_markdown(spark, str(tmp_path / "md")).collect()}
     assert got == {("a.md", "legal", "law"), ("b.md", "news", "news"), ("c.md", "unknown", "x")}
+    whole = {(r["stem"], r["type"], r["content"]) for r in ingest.load_markdown(spark, str(tmp_path / "md"), stripped=False, blank=True, by_parent=True).collect()}
+    assert {(s, t, c.rstrip("\n")) for s, t, c in whole} == {("a", "legal", " law "), ("b", "news", "news"), ("blank", "news", " "), ("c", "md", "x")}
     (tmp_path / "files").mkdir()
     for name, size in (("a.PDF", 2000), ("b.docx", 1025), ("c.txt", 9000), ("d.doc", 1024)):
         (tmp_path / "files" / name).write_bytes(b"x" * size)
@@ -240,6 +242,15 @@ def test_folders(spark, tmp_path):
     assert [tuple(r) for r in ingest.read_golden(spark, str(tmp_path / "golden.json")).orderBy("query_id").collect()] == [(1, "q1", "e1"), (2, "q2", "e2")]
 
 
+def test_prompts(spark):
+    rows = spark.createDataFrame([(1, 1, "a.b.md", "news", 0.5, "text")], "query_id long, position long, source string, type string, score double, text string")
+    context = answer.format_context(rows, extension=False)
+    assert context.first()["context"] == "[Document 1 | Source: a.b | Type: news | Score: 0.500]\ntext\n"
+    q = spark.createDataFrame([(1, "why?")], "query_id long, query string")
+    assert answer.build_prompt(context, q, "cite").first()["prompt"].startswith(answer.RULES["cite"] + "\n\nContext:\n[Document 1")
+    assert answer.build_prompt(context, q).first()["prompt"].startswith("Context:\n")
+
+
 def test_report(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 0.5, 0.5, 0.5, 0.5, 0.5), ("b", 2, 1.0, 1.0, 1.0, 1.0, 1.0)], "config string, query_id long, faithfulness double, relevance double, recall double, precision double, average double")
     answer.write_report(rows, str(tmp_path / "report"))
