@@ -42,6 +42,9 @@ PIVOTS, DEPTH = 8, 3
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 1_000_000
 
+#: A part's key has 48 bits: keys that clash only add a tie between regions, and two bytes less are shuffled.
+PART_KEY = np.uint64((1 << 48) - 1)
+
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,7 +114,7 @@ def parts_of(points: np.ndarray, similar: int = SIMILAR) -> list[int]:
         sizes = np.diff(np.r_[at, n])
         key = mixed(np.add.reduceat(mixed(points[order]), at) + part[at] * _B + np.uint64(lv))
         first = np.lexsort((key, -np.minimum(sizes, 4)))[: changes + 1]
-        keys += key[first].view(np.int64).tolist()
+        keys += (key[first] & PART_KEY).view(np.int64).tolist()
     return keys
 
 
@@ -274,8 +277,8 @@ def similar_documents(
 def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: int, points: int, shingles_in: int) -> DataFrame:
     """(id, th, n, least, n_links) for each row; least is the first (none, id, th) of its component, null ids last.
 
-    th is the text's hash, and the least one of a class of equal sets numbers
-    it as a point, so ids only say which row comes first.
+    th is the text's hash. A class of equal sets is a point, whatever the ids
+    of its rows, which only say which row comes first.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -284,16 +287,16 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar:
     known = written(known.select("id", "th", "point.*"), "points")
     key = ["n", "h1", "h2"]
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.col("least.th")), "classes")
+    classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # small numbers take less room in the shuffles than hashes
     dealt = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
     # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
     firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     ties = dealt.join(firsts, "part").filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.id").alias("at")), "rep")
+    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.id").alias("at"), F.col("least.th").alias("rth")), "rep")
     regions = written(regions, "regions")
     # the class's first row gives the text; by sorting at any size
-    again = source.join(regions.hint("merge"), (F.col("th") == F.col("rep")) & F.col("id").eqNullSafe(F.col("at"))).select("rep", "cell", "text").dropDuplicates(["rep"])
+    again = source.join(regions.hint("merge"), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("at"))).select("rep", "cell", "text").dropDuplicates(["rep"])
     again = again.withColumnRenamed("rep", "id")
     sets = append_column(again, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
     cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
