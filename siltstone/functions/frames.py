@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: More partitions than any part of a union has.
 MOST = 1 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once a session's application: functions on Arrow batches import it there."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{top.name}", "zip", top.parent, top.name))
+        _shipped.add(context.applicationId)
+
+
 def union(*frames: DataFrame) -> DataFrame:
     """All rows of frames with the same columns, by name.
 

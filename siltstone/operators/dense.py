@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.frames import union
+from ..functions.frames import ship, union
 from ..functions.text import tokens
 from .ranked import ranked
 
@@ -92,6 +92,7 @@ def topk(rows: DataFrame, blocks, k: int, *, id_col: str, value: Column, prepare
     places. Every row counts, also with scores of 0 and below; ties go by id.
     """
     spark, kind = rows.sparkSession, rows.schema[id_col].dataType
+    ship(spark)
     narrow = rows.select(F.col(id_col).alias("id"), value.alias("value"))
     out = None
     for ids, block in blocks:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions.frames import ship
 from ..functions.text import tokens
 from .chunk import chunk_documents
 from .dense import Hasher
@@ -35,6 +36,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, dim: int, blake2b: bool, rows_of, fields: list[T.StructField]) -> DataFrame:
     """``rows_of`` (ids, unit vectors) gives the columns after the id's; nothing is shuffled."""
+    ship(docs.sparkSession)
     narrow = docs.select(id_col, tokens(F.col(text_col)).alias("words"))
 
     def run(batches):

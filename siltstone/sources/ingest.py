@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.frames import union
+from ..functions.frames import ship, union
 from ..functions.text import clean_markup_text, collapse, contains_any, metadata_header, strip, unescape
 
 #: Texts shorter than this are reported.
@@ -146,6 +146,7 @@ def longest_region(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
                 out.append(page.regions() + ["\n".join(page.parts)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [id_col, "regions"])
 
+    ship(pages.sparkSession)
     found = pages.select(id_col, html_col).mapInArrow(run, T.StructType([pages.schema[id_col], T.StructField("regions", T.ArrayType(T.StringType()))]))
     texts = F.transform("regions", clean_markup_text)
     some = F.filter(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda r: F.length(r) > least)
