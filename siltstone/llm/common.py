@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.frames import ship
+
 #: Rows in one Arrow batch; with the byte limit it bounds what a Python worker holds.
 BATCH_ROWS = 512
 
@@ -23,9 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
 def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Send this package to the executors; keep Arrow batches small, so that long texts don't add up in a worker.
 
@@ -34,12 +31,7 @@ def python_ready(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(size)) <= rows:
         spark.conf.set(size, str(rows))
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        to = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{top.name}", "zip", top.parent, top.name)
-        context.addPyFile(to)
-        _shipped.add(context.applicationId)
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
