@@ -290,7 +290,7 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar:
     classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # small numbers take less room in the shuffles than hashes
     dealt = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
     # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
-    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("points")).filter("points > 1").drop("points")  # a point has a part once; counts of 1 take no room
     ties = dealt.join(firsts, "part").filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
     regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.id").alias("at"), F.col("least.th").alias("rth")), "rep")
