@@ -12,10 +12,12 @@ from .pii import op9_pii
 from .repetition import OP2_SQL, op2_repetition
 from .secrets import op4_secrets
 from .sharding import OP10_SQL, op10_shard
+from .toxicity import op11_toxicity
+from .whitening import op13_whitening
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op3_licenses, op4_secrets, op5_jaccard_join, op6_lm, op7_language, op8_mix, op9_pii, op10_shard)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op3_licenses, op4_secrets, op5_jaccard_join, op6_lm, op7_language, op8_mix, op9_pii, op10_shard, op11_toxicity, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

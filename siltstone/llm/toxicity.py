@@ -4,10 +4,10 @@ A word is the bag of its character n-grams and of itself, each of which has a
 vector by its hash; a misspelling that was never seen shares most n-grams, and
 so the vector, of what it was made from. Words' vectors are averaged and go into a
 linear softmax; vectors and softmax are trained jointly, in numpy, on long
-passages of labelled texts. A whole text is as toxic as the worst window of a
-few words in it, so that a long text can't hide a passage; windows begin at
-every word. How the worst window's log-odds become the text's score is fitted
-on labelled texts that didn't train.
+passages of labelled texts. A whole text has log-odds by the worst of its short
+and of its longer windows, which begin at every word, so that a long text can't
+hide a passage, and by the whole. How these become a score is fitted on
+labelled texts that didn't train.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from .common import append_column, fresh, python_ready, remainder, table
 
 #: Bounds of the labelled sample: rows of each label, and characters of a row; longer rows aren't drawn.
 SAMPLE_ROWS, ROW_CHARS = {0: 3000, 1: 1500}, 10_000
-#: Words of a window; lengths of n-grams; buckets that n-grams are hashed to; width of the vectors.
-WINDOW, GRAMS, BUCKETS, WIDTH = 8, (3, 4, 5), 1 << 17, 12
+#: Words of the windows, the last of which is the whole text; lengths of n-grams; buckets that n-grams are hashed to; width of the vectors.
+WINDOWS, GRAMS, BUCKETS, WIDTH = (8, 64, None), (3, 4, 5, 6), 1 << 17, 12
 #: Texts of the sample in which a subword must occur to have a vector; others count as zeros.
 LEAST_TEXTS = 3
 #: Words of a passage to train on; passages drawn in all, within the least and most passes over the texts; passages a step; step size; decay of what a step touches.
 PASSAGE, DRAWN, PASSES, BATCH, STEP, DECAY = 256, 18_000, (6, 40), 64, 0.5, 1e-4
-#: One in so many labelled texts calibrates and doesn't train.
-CALIBRATES = 4
+#: One in so many labelled texts calibrates and doesn't train; what draws the slopes of the calibration to 0.
+CALIBRATES, SHRINK = 4, 0.3
 #: Words whose scores a worker keeps.
 KNOWN_WORDS = 400_000
 #: What is cut from the ends of a word.
@@ -40,21 +40,24 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ToxicModel(NamedTuple):
-    """Vectors of buckets, weights and biases of the two labels, and how the worst window's log-odds become a score."""
+    """Vectors of buckets, weights and biases of the two labels, and how the windows' log-odds become a score."""
 
     vectors: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    slope: float
+    slopes: np.ndarray
     offset: float
 
+    def scores(self) -> WordScores:
+        return WordScores(self.vectors @ (self.weights[:, 1] - self.weights[:, 0]), float(self.bias[1] - self.bias[0]), self.slopes, self.offset)
+
 
 class WordScores(NamedTuple):
     """What scoring needs of a model: a bucket's part of the log-odds, as all that is done with vectors is linear."""
 
     parts: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
 
@@ -94,15 +97,13 @@ def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, ends[:-1]) / np.diff(ends).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def worst_window(scores: np.ndarray, window: int = WINDOW) -> tuple[int, float]:
-    """The first window whose mean is largest, and that mean; fewer words are one window, none give 0."""
+def worst_windows(scores: np.ndarray, widths: tuple[int | None, ...] = WINDOWS) -> list[float]:
+    """For each width, the largest mean of so many neighbours; fewer are one window, and none give 0."""
     n = len(scores)
-    if n <= window:
-        return 0, float(scores.mean()) if n else 0.0
+    if not n:
+        return [0.0] * len(widths)
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    means = (sums[window:] - sums[:-window]) / window
-    at = int(np.argmax(means))
-    return at, float(means[at])
+    return [float(sums[-1] / n if w is None or n <= w else (sums[w:] - sums[:-w]).max() / w) for w in widths]
 
 
 class Trainer:
@@ -198,19 +199,21 @@ def _summed(keys: np.ndarray, rows: np.ndarray, use: np.ndarray | None = None) -
     return k[first], np.add.reduceat(rows[at], first)
 
 
-def calibrated(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic regression, by Newton's steps; the slope isn't below 0."""
-    a, c, prior = 1.0, 0.0, 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * odds + c, -30, 30)))
-        g, h = weights * (p - labels), weights * p * (1 - p) + 1e-9
-        grad = np.array([(g * odds).sum() + prior * (a - 1), g.sum() + prior * c])
-        hess = np.array([[(h * odds * odds).sum() + prior, (h * odds).sum()], [(h * odds).sum(), h.sum() + prior]])
-        move = np.clip(np.linalg.solve(hess, grad), -2, 2)
-        a, c = max(0.0, a - move[0]), c - move[1]
-        if np.abs(move).max() < 1e-6:
+def calibrated(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a weighted logistic regression, by Newton's steps; no slope is below 0."""
+    size = np.maximum(odds.std(0), 1e-9)
+    x = np.concatenate([odds / size, np.ones((len(odds), 1))], 1)
+    a, prior = np.zeros(x.shape[1]), np.append(np.full(odds.shape[1], SHRINK), 1e-6)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        hess = (x.T * (weights * p * (1 - p))) @ x + np.diag(prior + 1e-9)
+        new = a - np.clip(np.linalg.solve(hess, x.T @ (weights * (p - labels)) + prior * a), -2, 2)
+        new[:-1] = np.maximum(new[:-1], 0)
+        done = np.abs(new - a).max() < 1e-6
+        a = new
+        if done:
             break
-    return float(a), float(c)
+    return a[:-1] / size, float(a[-1])
 
 
 def train_toxicity(sample: list[tuple[int, int, str]], shares: dict[int, float] | None = None) -> ToxicModel:
@@ -223,18 +226,20 @@ def train_toxicity(sample: list[tuple[int, int, str]], shares: dict[int, float]
     labels = np.array([r[1] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         sure = 30.0 if len(labels) and labels[0] else -30.0
-        return ToxicModel(np.zeros((BUCKETS, WIDTH)), np.zeros((WIDTH, 2)), np.zeros(2), 1.0, sure)
+        return ToxicModel(np.zeros((BUCKETS, WIDTH)), np.zeros((WIDTH, 2)), np.zeros(2), np.zeros(len(WINDOWS)), sure)
     texts = [words_of(r[2]) for r in rows]
     apart = _turns(labels) % CALIBRATES == CALIBRATES - 1
     some = [i for i in range(len(rows)) if not apart[i]]
     t = Trainer([texts[i] for i in some], labels[some])
     t.train()
-    scorer = Scorer(WordScores(t.vectors @ (t.weights[:, 1] - t.weights[:, 0]), float(t.bias[1] - t.bias[0]), 1.0, 0.0))
+    trained = ToxicModel(t.vectors, t.weights, t.bias, np.zeros(len(WINDOWS)), 0.0)
+    scorer = Scorer(trained.scores())
     use = np.flatnonzero(apart) if len(set(labels[apart].tolist())) > 1 else np.arange(len(rows))
     odds = np.array([scorer.log_odds(rows[i][2]) for i in use])
     own = np.bincount(labels[use], minlength=2) / len(use)
     weights = np.array([shares.get(k, own[k]) / own[k] for k in labels[use].tolist()])
-    return ToxicModel(t.vectors, t.weights, t.bias, *calibrated(odds, labels[use], weights))
+    slopes, offset = calibrated(odds, labels[use], weights)
+    return trained._replace(slopes=slopes, offset=offset)
 
 
 class Scorer(dict):
@@ -256,24 +261,24 @@ class Scorer(dict):
             scores.update(zip(part, _means(self.model.parts[grams], ends).tolist(), strict=True))
         self.update((x, scores.get(w)) for x, w in clean.items())
 
-    def log_odds(self, text: str | None) -> float:
-        """Of the worst window; the bias alone for a text without words."""
+    def log_odds(self, text: str | None) -> np.ndarray:
+        """Of the worst windows; the bias alone for a text without words."""
         tokens = text.lower().split() if text else []
         if new := set(tokens) - self.keys():
             self.learn(new)
             if len(self) < len(set(tokens)):  # the store was cleared for them
                 self.learn(set(tokens))
         scores = [s for s in map(self.__getitem__, tokens) if s is not None]
-        return worst_window(np.array(scores))[1] + self.model.bias
+        return np.array(worst_windows(np.array(scores))) + self.model.bias
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.model.slope * self.log_odds(text) + self.model.offset, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.log_odds(text) @ self.model.slopes + self.model.offset, -30, 30))))
 
 
 @lru_cache(maxsize=2)
-def _scorer(key: bytes, slope: float, offset: float, bias: float) -> Scorer:
-    """A worker builds it once, from the parts' bytes."""
-    return Scorer(WordScores(np.frombuffer(key, np.float64), bias, slope, offset))
+def _scorer(parts: bytes, slopes: bytes, bias: float, offset: float) -> Scorer:
+    """A worker builds it once."""
+    return Scorer(WordScores(np.frombuffer(parts), bias, np.frombuffer(slopes), offset))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[tuple[int, int, str]], dict[int, float]]:
@@ -297,7 +302,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """``docs`` with ``out_col``, from 0 to 1: how likely the text is toxic, by its worst window of WINDOW words.
+    """``docs`` with ``out_col``, from 0 to 1: how likely the text is toxic, by its worst windows.
 
     Whole texts are scored. Null and empty texts and those without words have
     the score of no words at all, which the bias alone gives. Repeated rows
@@ -305,8 +310,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text"
     """
     spark = docs.sparkSession
     python_ready(spark)
-    parts = (model.vectors @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float64)
-    sent = spark.sparkContext.broadcast((parts.tobytes(), model.slope, model.offset, float(model.bias[1] - model.bias[0])))
+    m = model.scores()
+    sent = spark.sparkContext.broadcast((m.parts.tobytes(), m.slopes.tobytes(), m.bias, m.offset))
 
     def start():
         known = _scorer(*sent.value)

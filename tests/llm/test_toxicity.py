@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import toxicity
-from siltstone.llm.toxicity import WINDOW, Scorer, Trainer, WordScores, labelled_sample, op11_toxicity, score_toxicity, subwords, train_toxicity, words_of, worst_window
+from siltstone.llm.toxicity import WINDOWS, Scorer, Trainer, labelled_sample, op11_toxicity, score_toxicity, subwords, train_toxicity, words_of, worst_windows
 
 SF = "/root/testdata/sf0.01"
 BAD = ["gromblet", "snarfing", "vilewort", "quaggish"]
@@ -28,7 +28,7 @@ def model():
 
 
 def scorer(m):
-    return Scorer(WordScores(m.vectors @ (m.weights[:, 1] - m.weights[:, 0]), float(m.bias[1] - m.bias[0]), m.slope, m.offset))
+    return Scorer(m.scores())
 
 
 def test_gradient():
@@ -63,12 +63,12 @@ def test_scores_by_brute_force(model):
     rng = random.Random(6)
     parts = model.vectors @ (model.weights[:, 1] - model.weights[:, 0])
     s = scorer(model)
-    for text in [made_up(rng, n, bad) for n, bad in ((1, 0), (WINDOW, 1), (WINDOW + 1, 1), (200, 3))] + [None, "", " ... !"]:
+    for text in [made_up(rng, n, bad) for n, bad in ((1, 0), (8, 1), (9, 1), (200, 3))] + [None, "", " ... !"]:
         words = [np.mean(parts[subwords([w])[0]]) for w in words_of(text)]
-        odds = max((np.mean(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))), default=0.0) if words else 0.0
-        want = 1 / (1 + np.exp(-(model.slope * (odds + model.bias[1] - model.bias[0]) + model.offset)))
-        assert abs(s.score(text) - want) < 1e-9
-    assert worst_window(np.array([0.0] * 20 + [9.0] + [0.0] * 20))[0] == 21 - WINDOW
+        of = lambda w: max(np.mean(words[i : i + w]) for i in range(max(1, len(words) - w + 1))) if words else 0.0  # noqa: B023, E731
+        odds = np.array([of(w or len(words)) for w in WINDOWS]) + model.bias[1] - model.bias[0]
+        assert abs(s.score(text) - 1 / (1 + np.exp(-(odds @ model.slopes + model.offset)))) < 1e-9
+    assert worst_windows(np.array([0.0] * 20 + [9.0] + [0.0] * 20), (3, None)) == [3.0, 9 / 41]
 
 
 def test_unseen_misspellings_and_long_texts(model):
@@ -109,7 +109,7 @@ def test_odd_tables(spark, model):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (2, 0), (3, 0), (9, 1)], "doc_id long, toxic int")
     rows, shares = labelled_sample(docs, labels)
     assert sorted(r[1:] for r in rows) == [(0, ""), (1, "gromblet"), (1, "gromblet")] and shares == {0: 0.5, 1: 0.5}
-    assert train_toxicity(rows).slope >= 0
+    assert (train_toxicity(rows).slopes >= 0).all()
     assert scorer(train_toxicity([(1, 1, "a"), (2, 1, "b")])).score("c") > 0.99
 
 
