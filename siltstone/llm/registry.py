@@ -13,12 +13,13 @@ from .repetition import OP2_SQL, op2_repetition
 from .secrets import op4_secrets
 from .sharding import OP10_SQL, op10_shard
 from .toxicity import op11_toxicity
+from .trie import OP12_SQL, op12_prefix_trie
 from .whitening import op13_whitening
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op3_licenses, op4_secrets, op5_jaccard_join, op6_lm, op7_language, op8_mix, op9_pii, op10_shard, op11_toxicity, op13_whitening)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_repetition, op3_licenses, op4_secrets, op5_jaccard_join, op6_lm, op7_language, op8_mix, op9_pii, op10_shard, op11_toxicity, op12_prefix_trie, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_repetition": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op10_shard": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_repetition": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op10_shard": OP10_SQL, "op12_prefix_trie": OP12_SQL}

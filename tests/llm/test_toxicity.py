@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 BAD = ["gromblet", "snarfing", "vilewort", "quaggish"]
 
 
-def made_up(rng, n=30, bad=0):
+def made_up(rng, n=40, bad=0):
     words = ["".join(rng.choice(["la", "me", "to", "ri", "su", "ne", "po", "ka"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
     for _ in range(bad):
         words[rng.randrange(n)] = rng.choice(BAD)
@@ -23,7 +23,7 @@ def made_up(rng, n=30, bad=0):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(5)
-    rows = [(k, int(k % 4 == 0), made_up(rng, bad=2 * (k % 4 == 0))) for k in range(400)]
+    rows = [(k, int(k % 4 == 0), made_up(rng, bad=2 * (k % 4 == 0))) for k in range(1200)]
     return train_toxicity(rows)
 
 
