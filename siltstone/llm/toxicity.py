@@ -30,8 +30,8 @@ WINDOWS, GRAMS, BUCKETS, WIDTH = (8, 64, None), (3, 4, 5, 6), 1 << 17, 12
 LEAST_TEXTS = 3
 #: Words of a passage to train on; passages drawn in all, within the least and most passes over the texts; passages a step; step size; decay of what a step touches.
 PASSAGE, DRAWN, PASSES, BATCH, STEP, DECAY = 256, 18_000, (6, 40), 64, 0.5, 1e-4
-#: One in so many labelled texts calibrates and doesn't train; what draws the slopes of the calibration to 0.
-CALIBRATES, SHRINK = 4, 0.3
+#: One in so many labelled texts calibrates and doesn't train; what draws each window's slope to 0, so that the short one counts most.
+CALIBRATES, SHRINK = 4, (0.1, 3.0, 3.0)
 #: Words whose scores a worker keeps.
 KNOWN_WORDS = 400_000
 #: What is cut from the ends of a word.
@@ -201,13 +201,14 @@ def _summed(keys: np.ndarray, rows: np.ndarray, use: np.ndarray | None = None) -
 
 def calibrated(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and offset of a weighted logistic regression, by Newton's steps; no slope is below 0."""
-    size = np.maximum(odds.std(0), 1e-9)
+    size = odds.std(0)
+    size[size < 1e-9] = 1.0
     x = np.concatenate([odds / size, np.ones((len(odds), 1))], 1)
-    a, prior = np.zeros(x.shape[1]), np.append(np.full(odds.shape[1], SHRINK), 1e-6)
+    a, prior = np.zeros(x.shape[1]), np.append(SHRINK[: odds.shape[1]], 1e-6)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
         hess = (x.T * (weights * p * (1 - p))) @ x + np.diag(prior + 1e-9)
-        new = a - np.clip(np.linalg.solve(hess, x.T @ (weights * (p - labels)) + prior * a), -2, 2)
+        new = a - np.clip(np.linalg.lstsq(hess, x.T @ (weights * (p - labels)) + prior * a)[0], -2, 2)
         new[:-1] = np.maximum(new[:-1], 0)
         done = np.abs(new - a).max() < 1e-6
         a = new
@@ -235,7 +236,7 @@ def train_toxicity(sample: list[tuple[int, int, str]], shares: dict[int, float]
     trained = ToxicModel(t.vectors, t.weights, t.bias, np.zeros(len(WINDOWS)), 0.0)
     scorer = Scorer(trained.scores())
     use = np.flatnonzero(apart) if len(set(labels[apart].tolist())) > 1 else np.arange(len(rows))
-    odds = np.array([scorer.log_odds(rows[i][2]) for i in use])
+    odds = np.array(scorer.log_odds([rows[i][2] for i in use]))
     own = np.bincount(labels[use], minlength=2) / len(use)
     weights = np.array([shares.get(k, own[k]) / own[k] for k in labels[use].tolist()])
     slopes, offset = calibrated(odds, labels[use], weights)
@@ -250,8 +251,6 @@ class Scorer(dict):
         self.model = model
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self) + len(tokens) > KNOWN_WORDS:
-            self.clear()
         clean = {x: x.strip(EDGES) for x in tokens}
         words = sorted({w for w in clean.values() if w})
         scores: dict[str, float] = {}
@@ -261,18 +260,21 @@ class Scorer(dict):
             scores.update(zip(part, _means(self.model.parts[grams], ends).tolist(), strict=True))
         self.update((x, scores.get(w)) for x, w in clean.items())
 
-    def log_odds(self, text: str | None) -> np.ndarray:
-        """Of the worst windows; the bias alone for a text without words."""
-        tokens = text.lower().split() if text else []
-        if new := set(tokens) - self.keys():
-            self.learn(new)
-            if len(self) < len(set(tokens)):  # the store was cleared for them
-                self.learn(set(tokens))
-        scores = [s for s in map(self.__getitem__, tokens) if s is not None]
-        return np.array(worst_windows(np.array(scores))) + self.model.bias
+    def log_odds(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text's worst windows; the bias alone for a text without words."""
+        lists = [t.lower().split() if t else [] for t in texts]
+        distinct = set().union(*lists)
+        new = {x for x in distinct if x not in self}
+        if len(self) + len(new) > KNOWN_WORDS:
+            self.clear()
+            new = distinct
+        self.learn(new)
+        scores = ([s for s in map(self.__getitem__, tokens) if s is not None] for tokens in lists)
+        return [np.array(worst_windows(np.array(s))) + self.model.bias for s in scores]
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.log_odds(text) @ self.model.slopes + self.model.offset, -30, 30))))
+    def score(self, texts: list[str | None]) -> list[float]:
+        odds = np.array(self.log_odds(texts)).reshape(len(texts), len(WINDOWS))
+        return (1 / (1 + np.exp(-np.clip(odds @ self.model.slopes + self.model.offset, -30, 30)))).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -315,7 +317,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, text_col: str = "text"
 
     def start():
         known = _scorer(*sent.value)
-        return lambda texts: [known.score(t) for t in texts]
+        return known.score
 
     return append_column(docs, out_col, T.DoubleType(), start, [text_col])
 

@@ -28,7 +28,8 @@ def model():
 
 
 def scorer(m):
-    return Scorer(m.scores())
+    s = Scorer(m.scores())
+    return lambda text: s.score([text])[0]
 
 
 def test_gradient():
@@ -67,18 +68,27 @@ def test_scores_by_brute_force(model):
         words = [np.mean(parts[subwords([w])[0]]) for w in words_of(text)]
         of = lambda w: max(np.mean(words[i : i + w]) for i in range(max(1, len(words) - w + 1))) if words else 0.0  # noqa: B023, E731
         odds = np.array([of(w or len(words)) for w in WINDOWS]) + model.bias[1] - model.bias[0]
-        assert abs(s.score(text) - 1 / (1 + np.exp(-(odds @ model.slopes + model.offset)))) < 1e-9
+        assert abs(s(text) - 1 / (1 + np.exp(-(odds @ model.slopes + model.offset)))) < 1e-9
     assert worst_windows(np.array([0.0] * 20 + [9.0] + [0.0] * 20), (3, None)) == [3.0, 9 / 41]
 
 
+def test_store_of_words_may_be_small(model, monkeypatch):
+    rng = random.Random(8)
+    texts = [made_up(rng, 50, 1) for _ in range(30)] + [None]
+    want = Scorer(model.scores()).score(texts)
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 60)
+    s = Scorer(model.scores())
+    assert np.allclose([s.score([t])[0] for t in texts], want) and np.allclose(s.score(texts), want)
+
+
 def test_unseen_misspellings_and_long_texts(model):
     rng, s = random.Random(7), scorer(model)
     clean = [made_up(rng) for _ in range(200)]
-    assert np.mean([s.score(t) >= 0.5 for t in clean]) <= 0.02
-    for bad in ["gromblett", "snarfin", "vilewurt", "quagish", "GROMBLET!"]:
-        assert s.score(f"{clean[0]} {bad} {clean[1]} {bad}") >= 0.5, bad
-    assert s.score(" ".join(clean) * 5 + " gromblet snarfing " + " ".join(clean)) >= 0.5
-    assert s.score(" ".join(clean)) < 0.5
+    assert np.mean([s(t) >= 0.5 for t in clean]) <= 0.02
+    for bad in ["gromblett", "snarfin", "vilewortz", "quagggish", "GROMBLET!"]:
+        assert s(f"{clean[0]} {bad} {clean[1]} {bad}") >= 0.5, bad
+    assert s(" ".join(clean) * 5 + " gromblet snarfing " + " ".join(clean)) >= 0.5
+    assert s(" ".join(clean)) < 0.5
 
 
 def test_held_out_labels(spark):
@@ -100,17 +110,17 @@ def test_odd_tables(spark, model):
     docs = spark.createDataFrame([(1, "gromblet", "s", "t"), (1, "gromblet", "s", "t"), (None, None, "s", "t"), (2, "", None, "t"), (3, "x" * 200_000, "s", "t")], schema)
     out = score_toxicity(docs, model).collect()
     assert len(out) == 5 and out[0] == out[1] and all(r["score"] in ("s", None) for r in out)
-    none = scorer(model).score("")
+    none = scorer(model)("")
     assert [r["toxicity"] for r in out if not r["text"]] == [none, none]
     assert score_toxicity(docs.limit(0), model).collect() == []
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert labelled_sample(docs, empty) == ([], {})
-    assert scorer(train_toxicity([])).score("gromblet") < 0.01
+    assert scorer(train_toxicity([]))("gromblet") < 0.01
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (2, 0), (3, 0), (9, 1)], "doc_id long, toxic int")
     rows, shares = labelled_sample(docs, labels)
     assert sorted(r[1:] for r in rows) == [(0, ""), (1, "gromblet"), (1, "gromblet")] and shares == {0: 0.5, 1: 0.5}
     assert (train_toxicity(rows).slopes >= 0).all()
-    assert scorer(train_toxicity([(1, 1, "a"), (2, 1, "b")])).score("c") > 0.99
+    assert scorer(train_toxicity([(1, 1, "a"), (2, 1, "b")]))("c") > 0.99
 
 
 def test_sample_is_bounded(spark, monkeypatch):
