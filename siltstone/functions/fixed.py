@@ -57,3 +57,24 @@ NOISE = [
 END_MARKERS = ["Văn bản liên quan", "Lược đồ", "Thông tin văn bản", "Văn bản bị thay thế", "Văn bản được căn cứ", "Văn bản hướng dẫn", "Hỏi đáp pháp luật", "Tin tức pháp luật"]
 GOVERNMENT, DECREE, FIRST_ARTICLE = ["chính phủ", "chinh phu"], ["nghị định", "nghi dinh"], ["điều 1", "dieu 1"]
 LEGAL_MIN, NEWS_MIN, LOOK_AHEAD, SECTION_MIN, LEAD_LINES = 5000, 500, 180, 80, 5
+#: The section on prohibited acts, the farthest that a section goes without an end, and how far after its start an end may begin.
+ARTICLE_START, ARTICLE_ENDS, SECTION_MOST, SECTION_SKIP = "Điều 5. Các hành vi bị nghiêm cấm", ["Chương II", "Điều 6."], 6000, 10
+#: What is searched for in place of a question about prohibited acts or storage, and what is added to one about a crime.
+REWRITTEN = "Điều 5. Các hành vi bị nghiêm cấm Luật Phòng, chống ma túy tàng trữ trái phép chất ma túy tiền chất sản xuất vận chuyển mua bán tổ chức sử dụng trái phép chất ma túy"
+ADDED = "tàng trữ trái phép chất ma túy truy tố khởi tố Luật Phòng chống ma túy Điều 5"
+#: Facts of the two laws that have an overview, as (fact, pattern); the source that each is read from.
+LAW_FACTS = [
+    ("number", r"Luật số:\s*([0-9/]+QH[0-9]+)"),
+    ("scope", r"(Luật này quy định về phòng, chống ma túy;.*?hợp tác quốc tế về phòng, chống ma túy\.)"),
+    ("definition", r"(Phòng, chống ma túy là .*?liên quan đến ma túy\.)"),
+    ("policy", r"(Thực hiện đồng bộ các biện pháp phòng, chống ma túy;.*?tệ nạn xã hội khác\.)"),
+    ("education", r"(Tăng cường hoạt động tuyên truyền, giáo dục .*?phòng, chống ma túy\.)"),
+]
+DECREE_FACTS = [
+    ("number", r"Số:\s*(105/2021/NĐ-CP)"),
+    ("title", r"(NGHỊ ĐỊNH QUY ĐỊNH CHI TIẾT VÀ HƯỚNG DẪN THI HÀNH MỘT SỐ ĐIỀU CỦA LUẬT PHÒNG, CHỐNG MA TÚY)"),
+    ("scope", r"(Nghị định này quy định chi tiết và hướng dẫn thi hành một số điều của Luật Phòng, chống ma túy .*?số 73/2021/QH14 ngày 30 tháng 3 năm 2021\.)"),
+    ("subjects", r"(Nghị định này áp dụng đối với các cơ quan, tổ chức, cá nhân .*?quản lý người sử dụng trái phép chất ma túy\.)"),
+    ("effect", r"(Nghị định này có hiệu lực thi hành kể từ ngày 01 tháng 01 năm 2022\.)"),
+]
+FACT_SOURCES = {"overview": "luat-phong-chong-ma-tuy-2021", "decree_summary": "nghi-dinh-105-2021-nd-cp"}

@@ -109,13 +109,12 @@ def keyword_sentences(text: Column, words: Column, most: int = 3) -> Column:
     return F.slice(F.filter(pieces, lambda s: (F.length(s) > 30) & F.exists(words, lambda w: F.contains(F.lower(s), w))), 1, most)
 
 
-def between_markers(text: Column, start: str, ends: list[str], most: int = 6000) -> Column:
-    """From ``start`` to the nearest of ``ends`` after it, else ``most`` characters; null without ``start``."""
+def between_markers(text: Column, start: str, ends: list[str], most: int = fixed.SECTION_MOST, skip: int = fixed.SECTION_SKIP) -> Column:
+    """From the first ``start`` to the nearest of ``ends`` that begins ``skip`` characters on or later, else ``most`` characters; null without ``start``."""
     at = F.instr(text, start)
-    rest = F.substring(text, at + len(start), F.length(text))
-    stops = [F.nullif(F.instr(rest, e), F.lit(0)) for e in ends]
+    stops = [F.nullif(F.position(F.lit(e), text, at + skip), F.lit(0)) for e in ends]
     stop = F.least(*stops) if len(stops) > 1 else stops[0]
-    return F.when(at > 0, strip(F.concat(F.lit(start), F.left(rest, F.coalesce(stop - 1, F.lit(most))))))
+    return F.when(at > 0, strip(F.substring(text, at, F.coalesce(stop - at, F.lit(most)))))
 
 
 def classify(query: Column, hints: dict[str, list[str]] = fixed.HINTS) -> Column:

@@ -5,13 +5,17 @@ Results have query_id, query, rank, score, text, source and type; few rows a que
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.frames import stored, union
 from ..functions.text import contains_any, keyword_sentences
-from .answer import REFUSAL, best_evidence, format_context, generate_answers, reorder_for_llm
-from .rank import dedupe_prefix, retrieve_hybrid, with_texts
+from .answer import REFUSAL, best_evidence, build_prompt, format_context, generate_answers, reorder_for_llm
+from .facts import PROHIBITED, Section, first_sections
+from .rank import dedupe_prefix, retrieve_hybrid, retrieve_linear, with_texts
 
 INSUFFICIENT = "The penalty can't be verified, as no text of the code was found. Sources at hand: "
 NO_SOURCE = "no fitting source"
@@ -97,36 +101,46 @@ def insufficient_answer(queries: DataFrame, results: DataFrame, most: int = fixe
     return queries.select("query_id").join(known, "query_id", "left").select("query_id", F.concat(F.lit(INSUFFICIENT), F.coalesce(F.nullif("names", F.lit("")), F.lit(NO_SOURCE)), F.lit(".")).alias("answer"))
 
 
-def grounded_answer(queries: DataFrame, results: DataFrame, hints: dict = fixed.INTENTS, code: list[str] = fixed.CODE_EVIDENCE) -> DataFrame:
-    """(query_id, answer): a refusal without results or evidence; one that names its sources for a question about
-    a penalty without the code's text; else the best evidence, each sentence with its source."""
-    bullets = _lines(best_evidence(results), F.concat(F.lit("- "), "sentence", F.lit(" ["), "source", F.lit("]")), ["rank"], "bullets")
+def grounded_answer(queries: DataFrame, results: DataFrame, hints: dict = fixed.INTENTS, code: list[str] = fixed.CODE_EVIDENCE, overviews: DataFrame | None = None, **terms) -> DataFrame:
+    """(query_id, answer), by the first rule that fits: a refusal without results; an overview of facts for a question
+    with its intent; a refusal that names its sources for one about a penalty without the code's text; the best
+    evidence, each sentence with its source; a refusal.
+
+    ``overviews`` has an intent and its overview a row, few in all; the first of the intents in ``hints`` counts.
+    """
+    bullets = _lines(best_evidence(results, **terms), F.concat(F.lit("- "), "sentence", F.lit(" ["), "source", F.lit("]")), ["rank"], "bullets")
     refused = insufficient_answer(queries, results).withColumnRenamed("answer", "refused")
     rows = classify_intent(queries, results, hints, code).join(refused, "query_id").join(bullets, "query_id", "left")
     some = results.select("query_id").distinct().withColumn("some", F.lit(True))
     rows = rows.join(some, "query_id", "left")
+    told = F.lit(None).cast("string")
+    if overviews is not None:
+        names = [k for k in hints if k in rows.columns]
+        wide = overviews.agg(*(F.max(F.when(F.col("intent") == k, F.col("overview"))).alias(f"_{k}") for k in names))
+        rows = rows.crossJoin(F.broadcast(wide))  # one row
+        told = F.coalesce(*(F.when(F.col(k), F.col(f"_{k}")) for k in names))
     whole = F.concat(F.lit(LEAD + "\n"), "bullets", F.lit("\n" + CLOSING))
-    answer = F.when(F.col("some").isNull(), REFUSAL).when(F.col("penalty") & ~F.col("code_evidence"), F.col("refused")).otherwise(F.coalesce(whole, F.lit(REFUSAL)))
+    answer = F.when(F.col("some").isNull(), REFUSAL).when(told.isNotNull(), told).when(F.col("penalty") & ~F.col("code_evidence"), F.col("refused")).otherwise(F.coalesce(whole, F.lit(REFUSAL)))
     return rows.select("query_id", answer.alias("answer"))
 
 
-def generate(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, complete=None, hints: dict = fixed.INTENTS, code: list[str] = fixed.CODE_EVIDENCE, domain: dict = fixed.HINTS, **retrieval) -> DataFrame:
+def generate(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, complete=None, hints: dict = fixed.INTENTS, code: list[str] = fixed.CODE_EVIDENCE, domain: dict = fixed.HINTS, overviews: DataFrame | None = None, **retrieval) -> DataFrame:
     """(query_id, answer, sources, retrieval_source), from retrieval to answer.
 
     At least 8 results are fetched and put in order for a model. ``complete``
     takes a list of prompts and gives their answers; without it the answer is
     by rule. ``sources`` has the results' ids in the order of retrieval.
     """
-    found = retrieve_hybrid(docs, queries, max(k, 8), hints=domain, **retrieval)
+    found = stored(retrieve_hybrid(docs, queries, max(k, 8), hints=domain, **retrieval), "found")
     texts = docs.select("doc_id", "text", "source", F.col("lang").alias("type"))
-    ordered = reorder_for_llm(with_texts(found, texts, queries))
+    ordered = stored(reorder_for_llm(with_texts(found, texts, queries)), "ordered")
     if complete:
         context = format_context(ordered).join(queries, "query_id")
         prompts = context.select("query_id", F.concat(F.lit("Context:\n"), "context", F.lit("\n\n---\n\nQuestion: "), "query").alias("prompt"))
         made = generate_answers(prompts, complete)
         answers = queries.select("query_id").join(made, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
     else:
-        answers = grounded_answer(queries, ordered.withColumn("rank", F.col("position")), hints, code)
+        answers = grounded_answer(queries, ordered.withColumn("rank", F.col("position")), hints, code, overviews)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     kept = found.groupBy("query_id").agg(ids.alias("sources"), F.min_by("retrieval_source", "rank").alias("retrieval_source"))
     out = answers.join(kept, "query_id", "left")
@@ -177,3 +191,55 @@ def replace_refusals(answers: DataFrame, queries: DataFrame, results: DataFrame,
     rows = answers.join(usable, "query_id", "left").join(by_rule, "query_id", "left")
     replaced = F.col("answer").contains(REFUSAL) & F.coalesce("usable", F.lit(False))
     return rows.select("query_id", F.when(replaced, F.col("by_rule")).otherwise(F.col("answer")).alias("answer"), replaced.alias("replaced"))
+
+
+def rewrite_queries(queries: DataFrame, hints: dict = fixed.INTENTS, whole: str = fixed.REWRITTEN, added: str = fixed.ADDED) -> DataFrame:
+    """(query_id, query) to search for: ``whole`` in place of questions about prohibited acts or storage, ``added`` behind those about a crime."""
+    intents = query_intents(F.col("query"), hints)
+    to = F.when(intents["prohibited"] | intents["storage"], F.lit(whole)).when(intents["crime"], F.concat("query", F.lit(" " + added))).otherwise(F.col("query"))
+    return queries.select("query_id", to.alias("query"))
+
+
+def inject_sections(results: DataFrame, queries: DataFrame, sections: DataFrame, hints: dict = fixed.INTENTS) -> DataFrame:
+    """``results`` and, in front of a query's, with rank 0 and score 1, the section of its intents that has the first priority.
+
+    ``sections`` (intent, priority, doc_id, source, type, text) has few rows.
+    Columns of ``results`` that sections don't have are null in them.
+    """
+    intents = query_intents(F.col("query"), hints)
+    names = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in intents.items())), lambda x: x.isNotNull())
+    asked = queries.select("query_id", "query", F.explode(names).alias("intent"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "doc_id"))
+    chosen = asked.join(F.broadcast(sections), "intent").withColumn("_n", first).filter("_n = 1")
+    known = {"score": F.lit(1.0), "rank": F.lit(0).cast("long"), **{c: F.col(c) for c in ("query_id", "query", "doc_id", "source", "type", "text")}}
+    return union(results, chosen.select(*((known[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in results.schema.fields)))
+
+
+def generate_quota(
+    docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, complete=None, *, sections: Iterable[Section] = (PROHIBITED,), hints: dict = fixed.INTENTS,
+    storage: list[str] = fixed.STORAGE_MENTIONS, whole: str = fixed.REWRITTEN, added: str = fixed.ADDED, threshold: float | None = None, **rules,
+) -> DataFrame:
+    """(query_id, answer, sources, model), by intent: rewrite, retrieve, inject, select, order, answer, replace refusals.
+
+    ``docs`` has doc_id, text, source and type. What is searched for may differ
+    from the question, which decides all else. At least 30 results are
+    fetched, of which k are selected by kind, behind the section that the
+    question's intent asks for. ``complete`` takes a list of prompts and gives
+    answers, of which refusals give way to the answer by rule where chunks
+    allow for one; without it all answers are by rule. ``sources`` are those
+    of the chunks, as ordered for the model.
+    """
+    asked = rewrite_queries(queries, hints, whole, added)
+    found = retrieve_linear(docs, asked, max(6 * k, 30), threshold).select("query_id", "doc_id", "score", "rank")
+    results = with_texts(found, docs.select("doc_id", "text", "source", "type"), queries)
+    selected = quota_selection(inject_sections(results, queries, first_sections(docs, sections), hints), k, hints, storage)
+    ordered = stored(reorder_for_llm(selected), "ordered").drop("rank").withColumnRenamed("position", "rank")
+    rules = {"hints": hints, "storage": storage, **rules}
+    by_rule = offline_answer(queries, ordered, **rules)
+    if complete is None:
+        return by_rule
+    prompts = build_prompt(format_context(ordered, "rank"), queries, "combine")
+    made = queries.select("query_id").join(generate_answers(prompts, complete), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
+    answers = replace_refusals(made, queries, ordered, **rules)
+    model = F.when(F.col("replaced") | (F.col("sources") == ""), F.lit("offline_fallback")).otherwise("model")
+    return answers.join(by_rule.select("query_id", "sources"), "query_id").select("query_id", "answer", "sources", model.alias("model"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.frames import union
+from ..functions.frames import stored, union
 from ..functions.text import classify, tokens, token_set, WORD
 from .ranked import ranked
 from .search import bm25, counts_cosine, hash_dense, overlap, vectorless
@@ -45,8 +45,11 @@ def with_texts(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataF
 
 
 def rerank_formula(results: DataFrame, k: int) -> DataFrame:
-    """Overlap, count cosine, old score and old rank, weighed; replaces ``score``. Needs text and query."""
-    rows = results.withColumns({"_d": tokens(F.col("text"), WORD), "_q": tokens(F.col("query"), WORD)})
+    """Overlap, count cosine, old score and old rank, weighed; replaces ``score``. Needs text and query.
+
+    The candidates, a few a query, are written once, as their words are counted from several sides.
+    """
+    rows = stored(results, "candidates").withColumns({"_d": tokens(F.col("text"), WORD), "_q": tokens(F.col("query"), WORD)})
     rows = counts_cosine(rows, "_q", "_d", ["query_id", "doc_id"], "_cosine")
     new = fixed.W_OVERLAP * overlap(F.array_distinct("_q"), F.array_distinct("_d")) + fixed.W_COSINE * F.col("_cosine") + fixed.W_ORIGINAL * F.col("score") + fixed.W_RANK / (fixed.RRF_K + F.col("rank"))
     return ranked(rows.withColumn("score", F.round(new, 6)).drop("_d", "_q", "_cosine"), k)
@@ -126,10 +129,11 @@ def fallback_gate(results: DataFrame, queries: DataFrame, fallback, threshold: f
 def retrieve_hybrid(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.THRESHOLD, reranking: bool = True, hints: dict = fixed.HINTS, type_col: str = "lang") -> DataFrame:
     """Dense and lexical lists fused, boosted, reranked, boosted again and gated."""
     many = k * fixed.OVER_FETCH
-    fused = rrf([hash_dense(docs, queries, many), bm25(docs, queries, many)], many)
+    fused = stored(rrf([hash_dense(docs, queries, many), bm25(docs, queries, many)], many), "fused")
     boosted = domain_boost(with_texts(fused, docs.select("doc_id", "text", F.col(type_col).alias("type")), queries), hints)
     final = rerank_formula(boosted, k) if reranking else boosted.filter(F.col("rank") <= k)
-    return fallback_gate(domain_boost(final, hints), queries, lambda refused: vectorless(docs, refused, k), threshold)
+    final = stored(domain_boost(final, hints).select("query_id", "doc_id", "score", "rank"), "reranked")
+    return fallback_gate(final, queries, lambda refused: vectorless(docs, refused, k, content=False), threshold)
 
 
 def retrieve_linear(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float | None = None) -> DataFrame:
@@ -139,10 +143,11 @@ def retrieve_linear(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, t
     vectorless search, put behind theirs, and the whole is reranked.
     """
     texts, cols = docs.select("doc_id", "text"), ["query_id", "doc_id", "score", "rank"]
-    lexical = bm25(docs, queries, 2 * k)
+    lexical = stored(bm25(docs, queries, 2 * k), "lexical")
     out = rerank_linear(with_texts(merge_dedupe([hash_dense(docs, queries, 2 * k), lexical]), texts, queries), 2 * k).select(*cols)
     if threshold is not None:
         out = out.filter(F.col("score") >= threshold)
+    out = stored(out, "reranked")
     enough = out.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     few = out.join(enough, "query_id", "left_anti")
     more = merge_dedupe([few, lexical.join(enough, "query_id", "left_anti")])
@@ -155,5 +160,5 @@ def retrieve_linear(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, t
 
 def retrieve_maxmerge(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, threshold: float = fixed.THRESHOLD) -> DataFrame:
     lists = max_merge([hash_dense(docs, queries, k), bm25(docs, queries, k)])
-    final = rerank_length_mod(with_texts(lists, docs.select("doc_id", "text"), queries), k)
-    return fallback_gate(final, queries, lambda refused: vectorless(docs, refused, k), threshold)
+    final = stored(rerank_length_mod(with_texts(lists, docs.select("doc_id", "text"), queries), k).select("query_id", "doc_id", "score", "rank"), "reranked")
+    return fallback_gate(final, queries, lambda refused: vectorless(docs, refused, k, content=False), threshold)

@@ -77,13 +77,15 @@ def overlap(query_words: Column, doc_words: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(query_words, doc_words)) / F.nullif(F.size(query_words), F.lit(0)), F.lit(0.0))
 
 
-def vectorless(docs: DataFrame, queries: DataFrame, k: int, snippet: int = fixed.SNIPPET) -> DataFrame:
-    """(query_id, doc_id, score, rank, content) by word overlap over whole texts, without an index."""
+def vectorless(docs: DataFrame, queries: DataFrame, k: int, snippet: int = fixed.SNIPPET, content: bool = True) -> DataFrame:
+    """(query_id, doc_id, score, rank, content) by word overlap over whole texts, without an index; ``content`` may be left out."""
     q = queries.select("query_id", F.explode(token_set(F.col("query"))).alias("term"))
     sizes = q.groupBy("query_id").agg(F.count("*").alias("n"))
     words = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("term"))
     hits = words.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).join(sizes, "query_id")
     top = ranked(hits.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score")), k)
+    if not content:
+        return top
     return top.join(docs.select("doc_id", F.left("text", F.lit(snippet)).alias("content")), "doc_id").select("query_id", "doc_id", "score", "rank", "content")
 
 

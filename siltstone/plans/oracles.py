@@ -6,7 +6,7 @@ from ..functions import fixed
 from ..operators.grounded import BASIS as BASIS_HEAD
 from ..operators.grounded import CASES as CASES_HEAD
 from ..operators.grounded import CLOSING, INSUFFICIENT, LEAD, NEAREST, NO_SOURCE
-from .queries import ARTICLE, BASIS, CASES, CODE, DOMAINS, EVIDENCE as EVIDENCE_RULES, HINTS, INTENTS, K, MANY, NOISE, SECTION, STORAGE, THRESHOLD
+from .queries import ADD, ARTICLE, BASIS, CASES, CODE, DOMAINS, EVIDENCE as EVIDENCE_RULES, FACT_CLOSING, FACT_LEAD, FACTS, HINTS, INTENTS, K, MANY, NOISE, OVERVIEWS, REWRITE, SECTION, SECTIONS, STORAGE, THRESHOLD
 
 _quoted = lambda xs: "(" + ", ".join("'" + x + "'" for x in xs) + ")"
 IW, W = r"'[\p{L}\p{N}_À-ỹ]+'", r"'[\p{L}\p{N}_]+'"
@@ -103,6 +103,15 @@ def fallback(k: int = K) -> str:
 FALLBACK = fallback()
 GATED = f"g as (select query_id from fin group by query_id having max(score) >= {fixed.THRESHOLD}) select query_id, doc_id, score, rank, 'hybrid' retrieval_source from fin where query_id in (from g) union all select query_id, doc_id, score, rank, 'pageindex' from vt where query_id not in (from g)"
 MERGED = "md as (select query_id, doc_id, score, row_number() over (partition by query_id order by list, rank) rank from (select *, row_number() over (partition by query_id, doc_id order by list, rank) n from al) where n = 1)"
+def topped(k: int, threshold: float | None) -> str:
+    """CTEs up to ``fr``, of which f0 and fr make the linear retrieval's rows: ``tp``."""
+    cut_at = "" if threshold is None else f" where score >= {threshold}"
+    return f"""{lists(2 * k)}, {MERGED}, f0 as (select * from ({RANKED(LINEAR(texts('md')), 2 * k)}){cut_at}), en as (select query_id from f0 group by query_id having count(*) >= {k}),
+fa as (select query_id, doc_id, score, rank, 0 list from f0 where query_id not in (from en) union all select query_id, doc_id, score, rank, 1 list from l1 where query_id not in (from en)),
+fm as (select query_id, doc_id, score, list, row_number() over (partition by query_id order by list, rank) rank from (select *, row_number() over (partition by query_id, doc_id order by list, rank) n from fa) where n = 1), fr as ({RANKED(LINEAR(texts('fm')), k)}),
+tp as (select query_id, doc_id, score, rank, 'hybrid' retrieval_source from f0 where rank <= {k} and query_id in (from en) union all select query_id, doc_id, fr.score, fr.rank, case when list = 0 then 'hybrid' else 'pageindex' end from fr join fm using (query_id, doc_id))"""
+
+
 TOP = f"{BASE}, lt as ({RANKED('bs', K)}), tt as (select * from {texts('lt')})"
 CAND = f"{BASE}, lt as ({RANKED('bs', MANY)}), tt as (select * from {texts('lt')})"
 PICK = "select query_id, doc_id, score, rank from"
@@ -171,14 +180,18 @@ def intents(c: str = "query") -> dict[str, str]:
 MIXED = intents()["mixed"]
 INTENT_COLUMNS = ", ".join(f"{c} {k}" for k, c in intents("q.query").items())
 evidence_of_code = lambda src: f"(select query_id, bool_or({has(chr(99) + 'oncat_ws(chr(32), source, text)', CODE)}) code_evidence from {src} group by query_id)"
-QUOTA = f"""{CAND}, q1 as (select *, typ = 'legal' and text <> '' lg, typ = 'news' nw, {MIXED} mx, typ = 'news' and {has('text', STORAGE)} sn from tt),
+def quota(src: str) -> str:
+    """CTEs up to ``q7``, the selection of ``src``."""
+    return f"""q1 as (select *, typ = 'legal' and text <> '' lg, typ = 'news' nw, {MIXED} mx, typ = 'news' and {has('text', STORAGE)} sn from {src}),
 q2 as (select *, min(case when lg then rank end) over (partition by query_id) a, max(sn) over (partition by query_id) an from q1),
 q3 as (select x.*, y.text ft from q2 x left join q2 y on x.query_id = y.query_id and y.rank = x.a),
 q4 as (select *, case when coalesce(lg and (rank = a or not contains(ft, left(text, 300))), false) then 0 when coalesce(mx and case when an then sn else nw end, false) then 1 else 2 end grp from q3),
 q5 as (select *, min(grp) over (partition by query_id) < 2 sm from q4),
 q6 as (select *, row_number() over (partition by query_id order by grp, rank) r2 from q5 where grp < 2 or not sm),
-q7 as (select *, row_number() over (partition by query_id, left(text, 300) order by r2) n from q6 where r2 <= {K})
-select query_id, doc_id, row_number() over (partition by query_id order by r2) rank from q7 where n = 1"""
+q7 as (select *, row_number() over (partition by query_id, left(text, 300) order by r2) n from q6 where r2 <= {K})"""
+
+
+QUOTA = f"{CAND}, {quota('tt')} select query_id, doc_id, row_number() over (partition by query_id order by r2) rank from q7 where n = 1"
 _keyword_sentences = lambda words, most: rf"list_filter(string_split(regexp_replace({collapse('text')}, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 30 and regexp_matches(lower(s), '{'|'.join(words)}'))[1:{most}]"
 _nl = "chr(10) || chr(10)"
 STRUCTURED = f"""sa as (select *, {MIXED} mx, {has('text', STORAGE)} mn from tt),
@@ -207,6 +220,45 @@ gs as (select query_id, string_agg(doc_id, ',' order by rank) sources, min_by(re
 select q.query_id, md5(case when gs.sources is null then {REFUSE} when {intents('q.query')['penalty']} and not code_evidence then i.answer else coalesce('{LEAD}' || chr(10) || a || chr(10) || '{CLOSING}', {REFUSE}) end) digest, coalesce(sources, '') sources, coalesce(retrieval_source, 'none') retrieval_source
 from q left join ga using (query_id) left join gs using (query_id) left join {evidence_of_code('tt')} using (query_id) left join {INSUFFICIENT_SQL('tt', 'pos')} i using (query_id)"""
 
+_least = lambda xs: "least(" + ", ".join(xs) + ")" if len(xs) > 1 else xs[0]
+
+
+def section_sql(name: str, start: str, ends: list[str]) -> str:
+    at = f"instr(text, '{start}')"
+    rest = f"substring(text, {at} + {fixed.SECTION_SKIP})"
+    stop = _least([f"nullif(instr({rest}, '{e}'), 0) + {fixed.SECTION_SKIP} - 1" for e in ends])
+    return f"select doc_id, lang, source, '{name}' section, {at} \"at\", {strip(f'substring(text, {at}, coalesce({stop}, {fixed.SECTION_MOST}))')} \"content\" from documents where {at} > 0"
+
+
+SECTION_TABLE = "sec as (from (" + " union all ".join(section_sql(s.name, s.start, s.ends) for s in SECTIONS) + ") where \"content\" <> '')"
+
+
+def fact_cases(facts: list) -> list[tuple[str, str]]:
+    line = lambda f: f"replace('{f.template}', '{{}}', nullif(regexp_extract({collapse('text')}, '{f.pattern}', 1), ''))"
+    return [(n, "coalesce(" + ", ".join(line(f) for f in sorted(facts, key=lambda f: f.priority) if f.fact == n) + ")") for n in dict.fromkeys(f.fact for f in facts)]
+
+
+def overview_sql(facts: list) -> str:
+    """(doc_id, source, n_facts, overview)"""
+    lines = "list_filter([" + ", ".join(c for _, c in fact_cases(facts)) + "], lambda x: x is not null)"
+    return f"(select doc_id, source, len(ls) n_facts, '{FACT_LEAD}' || chr(10) || array_to_string(list_transform(ls, lambda x: '- ' || x || ' [' || source || ']'), chr(10)) || chr(10) || '{FACT_CLOSING}' overview from (select doc_id, coalesce(source, '') source, {lines} ls from documents) where len(ls) > 0)"
+
+
+_first_overview = lambda k: f"(select min_by(overview, doc_id) from {overview_sql(OVERVIEWS[k].facts)} where contains(lower(source), '{OVERVIEWS[k].source}'))"
+GROUNDED = f"""{TOP}, {EV}, ga as (select query_id, string_agg('- ' || sentence || ' [' || source || ']', chr(10) order by rank) a from ev group by query_id)
+select q.query_id, md5(case when q.query_id not in (select query_id from tt) then {REFUSE} when {intents('q.query')['overview']} and {_first_overview('overview')} is not null then {_first_overview('overview')}
+  when {intents('q.query')['decree_summary']} and {_first_overview('decree_summary')} is not null then {_first_overview('decree_summary')}
+  when {intents('q.query')['penalty']} and not code_evidence then i.answer else coalesce('{LEAD}' || chr(10) || a || chr(10) || '{CLOSING}', {REFUSE}) end) digest
+from q left join ga using (query_id) left join {evidence_of_code('tt')} using (query_id) left join {INSUFFICIENT_SQL('tt', 'rank')} i using (query_id)"""
+_rewritten = lambda c: f"case when {intents(c)['prohibited']} or {intents(c)['storage']} then '{REWRITE}' when {intents(c)['crime']} then {c} || ' {ADD}' else {c} end"
+_wanted = "case " + " ".join(f"when {' or '.join('(' + intents()[i] + ')' for i in s.intents)} then '{s.name}'" for s in SECTIONS) + " end"
+_injected = f"(select query_id, doc_id, 1.0::double score, 0 rank, text, source, typ, query from (select item_id query_id, text query, {_wanted.replace('query', 'text')} w from benchmark) join (select section w, min_by(doc_id, doc_id) doc_id, min_by(\"content\", doc_id) text, min_by(source, doc_id) source, min_by({KIND}, doc_id) typ from sec group by section) using (w))"
+QUOTA_ANSWERS = f"""{topped(30, None)}, {SECTION_TABLE}, q0 as (select item_id query_id, text query from benchmark),
+rt as (select query_id, tp.doc_id, score, rank, d.text, d.source, {KIND} typ, q0.query from tp join documents d using (doc_id) join q0 using (query_id) union all from {_injected}), {quota('rt')},
+q8 as (select query_id, query, doc_id, text, source, typ, row_number() over (partition by query_id order by r2) rank, count(*) over (partition by query_id) c from q7 where n = 1),
+tt as (select * exclude (rank), row_number() over (partition by query_id order by case when c <= 2 or rank % 2 = 1 then rank else 2 * c + 2 - rank end) rank from q8), {STRUCTURED}
+select query_id, md5(answer) digest, coalesce(s, '') sources, 'offline_fallback' model from so left join (select query_id, string_agg(source, ',' order by rank) s from tt group by query_id) using (query_id)""".replace(QUERY, f"q as (select item_id query_id, {_rewritten('text')} query from benchmark)", 1)
+
 clean_text = lambda c: strip(rf"regexp_replace(regexp_replace(regexp_replace({unescape(c)}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 _noise = lambda c: f"(length({c}) <= 2 or regexp_matches({c}, '^[0-9]{{1,3}}$') or {has(c, NOISE)})"
 LINES = f"""ln as (select page_id, i - 1 line_no, {collapse(clean_text('ls[i]'))} line from (select page_id, ls, unnest(range(1, len(ls) + 1)) i from (select page_id, string_split(regexp_replace({CODE_FREE}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)) ls from pages))),
@@ -221,10 +273,7 @@ lt as (select page_id, case when length(c) < 200 and length(f) > length(c) then
 _news_markdown = f"'---' || chr(10) || 'title: ' || {TITLE} || chr(10) || 'source: ' || url || chr(10) || 'type: news' || chr(10) || '---' || chr(10) || chr(10) || '# ' || {TITLE} || chr(10) || chr(10) || body"
 CHUNKED = f"select doc_id || ':' || chunk_index doc_id, doc_id d, chunk_index, \"content\" \"text\" from ({CHUNKS})"
 ON_CHUNKS = lambda sql: sql.replace("from documents)", "from cdocs)").replace(f"with {QUERY}", f"with {QUERY}, cdocs as ({CHUNKED})").replace("from q, documents)", "from q, cdocs)")
-TOPPED = f"""{lists(2 * K)}, {MERGED}, f0 as (select * from ({RANKED(LINEAR(texts('md')), 2 * K)}) where score >= {THRESHOLD}), en as (select query_id from f0 group by query_id having count(*) >= {K}),
-fa as (select query_id, doc_id, score, rank, 0 list from f0 where query_id not in (from en) union all select query_id, doc_id, score, rank, 1 list from l1 where query_id not in (from en)),
-fm as (select query_id, doc_id, score, list, row_number() over (partition by query_id order by list, rank) rank from (select *, row_number() over (partition by query_id, doc_id order by list, rank) n from fa) where n = 1), fr as ({RANKED(LINEAR(texts('fm')), K)})
-select query_id, doc_id, score, rank, 'hybrid' retrieval_source from f0 where rank <= {K} and query_id in (from en) union all select query_id, doc_id, fr.score, fr.rank, case when list = 0 then 'hybrid' else 'pageindex' end from fr join fm using (query_id, doc_id)"""
+TOPPED = f"{topped(K, THRESHOLD)} from tp"
 
 RETRIEVED_MAX = f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}"
 
@@ -276,6 +325,12 @@ ORACLES = {
     "offline_answer": f"{TOP}, {STRUCTURED} select query_id, md5(answer) digest, coalesce(s, '') sources, 'offline_fallback' model from so left join (select query_id, string_agg(source, ',' order by rank) s from tt group by query_id) using (query_id)",
     "replace_refusals": f"{TOP}, {STRUCTURED}, us as (select query_id, bool_or(mx or mn or (typ = 'legal' and contains(text, '{ARTICLE}'))) u from sa group by query_id) select query_id, md5(case when query_id % 2 = 0 and coalesce(u, false) then answer when query_id % 2 = 0 then {REFUSE} else 'It is so.' end) digest, query_id % 2 = 0 and coalesce(u, false) replaced from so left join us using (query_id)",
     "generate": GENERATED,
+    "section_between_markers": f"with {SECTION_TABLE} select doc_id, section, \"at\", length(\"content\") n, md5(\"content\") digest from sec",
+    "fact_table": "from (" + " union all ".join(f"select doc_id, '{n}' fact, {c} line from documents" for n, c in fact_cases(FACTS)) + ") where line is not null",
+    "fact_overview": f"select doc_id, n_facts, md5(overview) digest from {overview_sql(FACTS)}",
+    "grounded_overview": GROUNDED,
+    "rewrite_queries": f"select item_id query_id, {_rewritten('text')} query from benchmark",
+    "generate_quota": QUOTA_ANSWERS,
     "conversion_report": f"with {BODIES} select 'news' kind, method, status, count(*) n, cast(sum(chars) as bigint) chars, cast(sum(bytes) as bigint) bytes from (select case when body <> '' then 'paragraphs' else 'html_text' end \"method\", length(t) chars, strlen(t) bytes, case when length(t) >= {fixed.NEWS_MIN} then 'ok' else 'short_content_warning' end status from (select *, case when body <> '' then body else {clean_text(plain(CODE_FREE))} end t from bodies)) group by all",
     "dedupe_consecutive_lines": f"with {LINES} from lc",
     "noise_lines": f"select page_id, cast(sum(case when {_noise('line')} then 1 else 0 end) as bigint) noise, count(*) n from (select page_id, {collapse(clean_text('r'))} line from (select page_id, unnest(string_split(html, chr(10))) r from pages)) group by page_id",

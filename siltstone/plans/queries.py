@@ -6,8 +6,6 @@ document's language stands in for its type.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..functions.frames import union
-from ..operators import answer, chunk, dense, grounded, index, rank, search
+from ..functions.frames import shared_folder, union
+from ..operators import answer, chunk, dense, facts, grounded, index, rank, search
+from ..operators.facts import Fact, Overview, Section
 from ..sources import ingest
 from ..sources.ingest import table
 
@@ -32,18 +31,14 @@ SECTION = {"government": ["the"], "decree": ["and"], "first": ["of"], "ends": ["
 THRESHOLD = 0.25
 DOMAINS = {"legal": [" the ", " and "], "news": [" der ", " les "]}
 
-REGISTRY: dict = {}
-
+#: Sections, facts and rewritten questions that the test tables' texts have.
+SECTIONS = [Section("first", "Licensed under", ["The ", "the "], ("prohibited",)), Section("second", "The ", [". ", "tion"], ("storage", "crime")), Section("rest", "the ", [";", "no such end"], ("overview",))]
+FACTS = [Fact("licence", 1, r"Licensed under the ([A-Za-z0-9 .,-]+)\.", "under the {}"), Fact("licence", 2, r"(MIT License)"), Fact("contact", 2, r"(\+[0-9][0-9 ()-]+[0-9])", "call {}"), Fact("contact", 1, r"([a-z0-9._]+@[a-z0-9-]+\.[a-z]+)", "write to {}"), Fact("opening", 1, r"^([A-Z]\w+ \w+)", "begins with {}")]
+FACT_LEAD, FACT_CLOSING = "What it says:", "No more than that."
+OVERVIEWS = {"overview": Overview("src1", FACTS, FACT_LEAD, FACT_CLOSING), "decree_summary": Overview("src2", FACTS[:2], FACT_LEAD, FACT_CLOSING)}
+REWRITE, ADD = "the thing and of der les que ment", "tion and the"
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where all runs in this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+REGISTRY: dict = {}
 
 
 def query(f):
@@ -435,6 +430,41 @@ def generate(spark, d):
     return out.select("query_id", F.md5("answer").alias("digest"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "retrieval_source")
 
 
+@query
+def section_between_markers(spark, d):
+    return facts.section_table(docs_of(spark, d), SECTIONS).select("doc_id", "section", "at", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+@query
+def fact_table(spark, d):
+    return facts.fact_table(docs_of(spark, d), FACTS)
+
+
+@query
+def fact_overview(spark, d):
+    return facts.fact_overview(docs_of(spark, d), OVERVIEWS["overview"]).select("doc_id", "n_facts", F.md5("overview").alias("digest"))
+
+
+@query
+def grounded_overview(spark, d):
+    q, top = _top(spark, d)
+    made = facts.overviews(docs_of(spark, d), OVERVIEWS)
+    return grounded.grounded_answer(q, top, INTENTS, CODE, made, **EVIDENCE).select("query_id", F.md5("answer").alias("digest"))
+
+
+@query
+def rewrite_queries(spark, d):
+    return grounded.rewrite_queries(queries_of(spark, d), INTENTS, REWRITE, ADD)
+
+
+@query
+def generate_quota(spark, d):
+    docs = docs_of(spark, d).select("doc_id", "text", "source", _kind().alias("type"))
+    rules = {k: v for k, v in _rules().items() if k not in ("hints", "storage")}
+    out = grounded.generate_quota(docs, queries_of(spark, d), K, sections=SECTIONS, hints=INTENTS, storage=STORAGE, whole=REWRITE, added=ADD, **rules)
+    return out.select("query_id", F.md5("answer").alias("digest"), "sources", "model")
+
+
 @query
 def reorder_for_llm(spark, d):
     return answer.reorder_for_llm(_top(spark, d)[1]).select("query_id", "doc_id", "rank", "position")
