@@ -32,7 +32,7 @@ THRESHOLD = 0.25
 DOMAINS = {"legal": [" the ", " and "], "news": [" der ", " les "]}
 
 #: Sections, facts and rewritten questions that the test tables' texts have.
-SECTIONS = [Section("first", "Licensed under", ["The ", "the "], ("prohibited",)), Section("second", "The ", [". ", "tion"], ("storage", "crime")), Section("rest", "the ", [";", "no such end"], ("overview",))]
+SECTIONS = [Section("first", "Licensed under", [".", "!"], ("prohibited",)), Section("second", "The ", [". ", "tion"], ("storage", "crime")), Section("rest", "the ", [";", "no such end"], ("overview",))]
 FACTS = [Fact("licence", 1, r"Licensed under the ([A-Za-z0-9 .,-]+)\.", "under the {}"), Fact("licence", 2, r"(MIT License)"), Fact("contact", 2, r"(\+[0-9][0-9 ()-]+[0-9])", "call {}"), Fact("contact", 1, r"([a-z0-9._]+@[a-z0-9-]+\.[a-z]+)", "write to {}"), Fact("opening", 1, r"^([A-Z]\w+ \w+)", "begins with {}")]
 FACT_LEAD, FACT_CLOSING = "What it says:", "No more than that."
 OVERVIEWS = {"overview": Overview("src1", FACTS, FACT_LEAD, FACT_CLOSING), "decree_summary": Overview("src2", FACTS[:2], FACT_LEAD, FACT_CLOSING)}

@@ -25,7 +25,7 @@ def test_text(spark):
     assert one(spark, "Hình phạt theo luật", T.classify) == "legal"
     assert one(spark, "ca sĩ", T.classify) == "news"
     assert one(spark, "x", T.classify) is None
-    assert one(spark, "a START b END c", lambda c: T.between_markers(c, "START", ["END", "c"])) == "START b"
+    assert one(spark, "a START b and more END c", lambda c: T.between_markers(c, "START", ["END", "c"])) == "START b and more"
     assert one(spark, "---\ntitle: a: b\nx: 1\n---\nbody", T.front_matter) == {"title": "a: b", "x": "1"}
 
 
