@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -269,34 +269,34 @@ def similar_documents(
     type that sorts: only texts link. Other columns of ``docs`` aren't read; an
     empty table gives no rows.
     """
-    found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
+    found = _matched(docs.select(id_col, text_col), id_col, text_col, shingle, similar, points, shingles_in)
     component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
     return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: int, points: int, shingles_in: int) -> DataFrame:
-    """(id, th, n, least, n_links) for each row; least is the first (none, id, th) of its component, null ids last.
+    """(id, th, rh, n, least, n_links) for each row; least is the first (none, id, th, rh) of its component, null ids last.
 
-    th is the text's hash. A class of equal sets is a point, whatever the ids
-    of its rows, which only say which row comes first.
+    th is the text's hash, rh that of all columns. A class of equal sets is a
+    point, whatever the ids of its rows, which only say which row comes first.
     """
     spark = docs.sparkSession
     python_ready(spark)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _row_hash(docs).alias("rh"), F.col(text_col).alias("text"))
     known = append_column(source, "point", POINT, lambda: lambda texts, k=WordHashes(): describe(texts, k, shingle, similar), ["text"])
-    known = written(known.select("id", "th", "point.*"), "points")
+    known = written(known.select("id", "th", "rh", "point.*"), "points")
     key = ["n", "h1", "h2"]
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh")
     classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # small numbers take less room in the shuffles than hashes
     dealt = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
     # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
     firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("points")).filter("points > 1").drop("points")  # a point has a part once; counts of 1 take no room
     ties = dealt.join(firsts, "part").filter("id <> first")
     regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.id").alias("at"), F.col("least.th").alias("rth")), "rep")
+    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.th").alias("th"), F.col("least.rh").alias("rh")), "rep")
     regions = written(regions, "regions")
     # the class's first row gives the text; by sorting at any size
-    again = source.join(regions.hint("merge"), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("at"))).select("rep", "cell", "text").dropDuplicates(["rep"])
+    again = source.select("th", "rh", "text").join(regions.hint("merge"), ["th", "rh"]).dropDuplicates(["th", "rh"]).select("rep", "cell", "text")
     again = again.withColumnRenamed("rep", "id")
     sets = append_column(again, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
     cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
@@ -308,25 +308,32 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar:
     reached = linked.join(reached, "component").select("rep", "reached")
     degree = links.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
     classes = classes.join(reached, "rep", "left").join(degree, "rep", "left").select(*key, F.coalesce("reached", "least").alias("least"), "n_links")
-    return known.select("id", "th", *key).join(classes, key, "left")
+    return known.select("id", "th", "rh", *key).join(classes, key, "left")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """Of all columns; maps count by their entries."""
+    return F.xxhash64(*(F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema.fields))
 
 
 def one_of_each(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR,
     points: int = CELL_POINTS, shingles_in: int = CELL_SHINGLES,
 ) -> DataFrame:
-    """The first row of each component, by id, null ids last, then by text; rows of the same id and text count as one.
+    """The first row of each component: by id, null ids last, then by the hashes of the text and of the whole row.
 
     Rows with the same id or none stay if their texts don't link. Null and
-    empty texts link with nothing and stay. Columns pass through.
+    empty texts, and those of white space only, link with nothing and stay,
+    with all that their rows say. Rows that are equal in all columns count as
+    one. Columns pass through. What goes is decided without texts, which are
+    shuffled once, to meet the decision.
     """
     found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
-    first = F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.th") == F.col("th"))
-    th, drop, drop_id = fresh(docs, "_th", "_gone", "_id")
-    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("id").alias(drop_id), F.col("th").alias(drop)).distinct()
-    rows = docs.withColumn(th, F.xxhash64(text_col))
-    rows = rows.join(gone, (F.col(th) == F.col(drop)) & F.col(id_col).eqNullSafe(F.col(drop_id)), "left_anti")
-    return rows.dropDuplicates([id_col, th]).drop(th)
+    first = (F.col("least.th") == F.col("th")) & (F.col("least.rh") == F.col("rh"))
+    th, rh = fresh(docs, "_th", "_rh")
+    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("th").alias(th), F.col("rh").alias(rh)).distinct()
+    rows = docs.withColumns({th: F.xxhash64(text_col), rh: _row_hash(docs)})
+    return rows.join(gone, [th, rh], "left_anti").dropDuplicates([th, rh]).drop(th, rh)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
