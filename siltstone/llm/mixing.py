@@ -18,6 +18,8 @@ from .common import fresh, table, written
 
 #: Part of the largest possible entropy that the mix is to have.
 TARGET_ENTROPY = 0.98
+#: The query's own: nearly even, and a budget that repeats sources and cuts a permutation of each.
+QUERY_ENTROPY, TIMES = 0.999, 1.7
 #: Times that a source may be repeated at most.
 MAX_REPEATS = 4.0
 #: Blocks of a permutation, by hash.
@@ -73,14 +75,15 @@ def find_exponent(sources: DataFrame, budget: float, target_entropy: float = TAR
 
 
 def mix_sources(
-    docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", budget: float | None = None,
+    docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", budget: float | None = None, times: float = 1.0,
     target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, blocks: int = BLOCKS, seed: str = "mix", prefix: str = "mix_",
 ) -> DataFrame:
     """A row of ``docs`` for each time that the mix holds it, with ``mix_*`` columns.
 
     Those are tokens, weight (of the source), epoch (permutation), block and
     key (place within the block): ordering by (epoch, block, key) walks the
-    mix. ``budget`` is in tokens; by default all tokens of ``docs``. A source
+    mix. ``budget`` is in tokens; by default all tokens of ``docs`` so many
+    ``times``. A source
     whose share of the budget is e whole epochs and a rest has every row e
     times, and those rows of one more permutation before which less than the
     rest is used up, so it's passed by less than one document. A null source
@@ -103,7 +106,7 @@ def mix_sources(
     total, n = sources.agg(F.sum("tokens"), F.count("*")).first()
     if not n:
         return out.limit(0).select(*docs.columns, *(F.lit(0).alias(names[x]) for x in ("tokens", "weight", "epoch", "block", "key")))
-    budget = float(total) if budget is None else float(budget)
+    budget = float(total) * times if budget is None else float(budget)
     power = find_exponent(sources, budget, target_entropy, max_repeats)
     raised = F.pow(F.col("tokens") / F.lit(total), F.lit(power))
     norm = sources.agg(F.sum(raised)).first()[0]
@@ -136,5 +139,10 @@ def _placed(df: DataFrame, epoch: Column, id_col: str, seed: str, blocks: int, n
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each time that a nearly even mix of all sources, of TIMES their tokens, holds a document.
+
+    A null source is one of its own; rows with null or empty texts come with
+    their source's permutations; see ``mix_sources``.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_key")
+    return mix_sources(docs, times=TIMES, target_entropy=QUERY_ENTROPY).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_key")

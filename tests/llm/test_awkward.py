@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import jaccard, pii
+from siltstone.llm import jaccard, mixing, pii
 from siltstone.llm.decontaminate import find_contamination, is_contaminated, n_hit
 from siltstone.llm.jaccard import WordHashes, shingles, similar_documents
 from siltstone.llm.language import identify_language, learn_languages
@@ -371,3 +371,56 @@ def test_pipeline_keeps_its_stages_whole(spark):
     assert all(r in three for r in four) and len({r["source"] for r in four}) == len({r["source"] for r in three})
     five = stages["sharding"](spark, spark.createDataFrame(four, docs.schema), SF).collect()
     assert sorted(str(tuple(r)[: len(docs.columns)]) for r in five) == sorted(str(tuple(r)) for r in four)
+
+
+def test_licences_not_in_prose(spark):
+    """Lines of prose in four languages, with the words that licences share with them, hold no notice; short notices still do."""
+    prose = [
+        "ER GING MIT DER KATZE NACH HAUS!! MIT UND OHNE HUT!!", "Mit der Zeit kam MIT auch der Rat.", "It stays as is, and that is as it is.", "THE HOUSE IS SOLD AS IS BY THE OWNER TODAY!!", "LE CHAT EST LA, AS IS DE COEUR ET DE PIQUE",
+        "La casa se queda as is para todos.", "as is", "MIT", "MIT MIT MIT MIT MIT", "Er kam mit, wie er war: as-is.", "the and with of as is in the thion MIT er the in",
+    ]
+    notices = {"Released under the MIT License.": "mit", "This file is under MIT.": "mit", "Licensed under the Apache License, Version 2.0.": "apache"}
+    docs = spark.createDataFrame([(t,) for t in [*prose, *notices]], "text string")
+    model = train_classifier(labelled_paragraphs(spark))
+    got = {r["text"]: [p["family"] for p in r["paragraphs"]] for r in classify_paragraphs(docs, model).collect()}
+    assert [t for t in prose if got[t]] == [] and {t: got[t] for t in notices} == {t: [f] for t, f in notices.items()}
+
+
+def test_one_of_each_loses_no_row(spark):
+    """Rows that share id and text, but not the rest: those without words all stay, of those with words one does, always the same."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, None, "a"), (None, None, "b"), (None, None, "b"), (1, "", "a"), (1, "", "b"), (2, text, "a"), (2, text, "b"), (3, text, "c"), (2, text, "a"), (None, text + " x", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(tuple, jaccard.one_of_each(x).collect()), key=str) for x in (docs, docs.repartition(7, "source"))]
+    assert kept[0] == kept[1] and [r for r in kept[0] if not r[1]] == sorted({r for r in rows if not r[1]}, key=str)
+    (one,) = (r for r in kept[0] if r[1])
+    assert one[:2] == (2, text)
+
+
+def test_mix_query_mixes(spark):
+    """On the test table the exponent is below 1, sources repeat and permutations are cut; the weights have the entropy asked for."""
+    rows = mixing.op8_mix(spark, "/root/testdata/sf0.01").collect()
+    by, docs = {}, {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+        docs.setdefault(r["source"], set()).add(r["doc_id"])
+    weights = {s: x[0]["mix_weight"] for s, x in by.items()}
+    entropy = -sum(w * math.log(w) for w in weights.values()) / math.log(len(weights))
+    assert abs(sum(weights.values()) - 1) < 1e-9 and mixing.QUERY_ENTROPY <= entropy + 1e-9 < mixing.QUERY_ENTROPY + 1e-3
+    given = {r["source"]: r["n"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").groupBy("source").agg(F.sum(mixing.token_count()).alias("n")).collect()}
+    total = sum(given.values())
+    assert any(abs(weights[s] - given[s] / total) > 1e-3 for s in weights)
+    for s, x in by.items():
+        used, want = sum(r["mix_tokens"] for r in x), mixing.TIMES * total * weights[s]
+        assert want - 1 <= used <= want + max(r["mix_tokens"] for r in x) + 1
+        assert {r["mix_epoch"] for r in x} >= {0, 1}
+        last = max(r["mix_epoch"] for r in x)
+        assert len({r["doc_id"] for r in x if r["mix_epoch"] == last}) < len(docs[s])  # cut
+
+
+def test_jaccard_and_mix_of_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, long + " more", "s"), (3, "short text", "s"), (4, "x" * 300_000, "t")], "doc_id long, text string, source string")
+    got = {r["id"]: (r["component_id"], r["n_links"]) for r in similar_documents(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    assert {r["doc_id"] for r in mix_sources(docs, times=2.0).collect()} == {1, 2, 3, 4}
