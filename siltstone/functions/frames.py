@@ -38,6 +38,16 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.coalesce(MOST) for f in frames])
 
 
+def attempt(work, value, keep: bool):
+    """(result, None) of ``work(value)``, or (None, cause) if it fails and errors are kept."""
+    try:
+        return work(value), None
+    except Exception as e:
+        if not keep:
+            raise
+        return None, f"{type(e).__name__}: {e}"[:300]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where all runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .entities import unescape
 
 WORD, INDEX_WORD = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}_À-ỹ]+"
 _SPACE = r"(?U)\s+"
@@ -59,12 +60,6 @@ def safe_filename(url: Column, most: int = fixed.SLUG_MAX) -> Column:
     return F.left(F.regexp_replace(last, r"[^A-Za-z0-9]+", "_"), F.lit(most))
 
 
-def unescape(text: Column) -> Column:
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
 def clean_markup_text(text: Column) -> Column:
     """Entities resolved, one kind of line end, single blanks, at most one empty line in a row."""
     lines = F.regexp_replace(F.regexp_replace(unescape(text), r"\r\n?", "\n"), r"[ \t]+", " ")

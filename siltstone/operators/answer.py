@@ -158,6 +158,19 @@ def worst(evaluated: DataFrame, n: int = 3) -> DataFrame:
     return evaluated.orderBy("average", "query_id").limit(n)
 
 
+def compare(evaluated: DataFrame, first: str, second: str) -> DataFrame:
+    """(metric, first, second, delta): the means of two configs, named as they are, and how much the first has more; null for one without rows."""
+    names = ["faithfulness", "relevance", "recall", "precision", "average"]
+    long = evaluated.filter(F.col("config").isin(first, second)).select("config", F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in names))).alias("m"))
+    wide = long.groupBy("m.metric").pivot("config", [first, second]).agg(F.avg("m.value"))
+    return wide.select("metric", *(F.round(x, 5).alias(x) for x in (first, second)), F.round(F.col(first) - F.col(second), 5).alias("delta"))
+
+
+def worst_of(evaluated: DataFrame, config: str, n: int = 3) -> DataFrame:
+    """The n lowest rows of one config, by the average, then by query."""
+    return worst(evaluated.filter(F.col("config") == config), n)
+
+
 def report(evaluated: DataFrame) -> DataFrame:
     """(line_no, line): means by ``config`` and the worst queries, as Markdown; both are few rows."""
     cells = lambda first, names: F.concat(F.lit("| "), first, *(F.concat(F.lit(" | "), F.format_string("%.3f", F.col(x))) for x in names), F.lit(" |"))

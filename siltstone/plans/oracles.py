@@ -36,9 +36,10 @@ def words(expr: str) -> str:
 
 
 def unescape(c: str) -> str:
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    """The references that the test tables have; the ampersand last and in one pass, as what it gives isn't read again."""
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·")):
         c = f"replace({c}, '{a}', '{b}')"
-    return c
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
 
 
 plain = lambda c: collapse(unescape(f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"))
@@ -275,6 +276,12 @@ CHUNKED = f"select doc_id || ':' || chunk_index doc_id, doc_id d, chunk_index, \
 ON_CHUNKS = lambda sql: sql.replace("from documents)", "from cdocs)").replace(f"with {QUERY}", f"with {QUERY}, cdocs as ({CHUNKED})").replace("from q, documents)", "from q, cdocs)")
 TOPPED = f"{topped(K, THRESHOLD)} from tp"
 
+_pages_text = lambda ts: strip(f"array_to_string(list_filter(list_transform(range(1, len({ts}) + 1), lambda i: case when {ts}[i] <> '' then '## Page ' || i || chr(10) || chr(10) || {ts}[i] end), lambda t: t is not null), chr(10) || chr(10))")
+EXTRACTED = f"""with {BODIES}, {LINES}, x0 as (select page_id, 'paragraphs' m, 1 p, list_transform(list_filter(range(1, len(ps) + 1), lambda i: list_position(ps, ps[i]) = i), lambda i: ps[i]) ts from body_parts union all select page_id, 'lines', 2, [string_agg(line, chr(10) order by line_no)] from lc group by page_id union all select page_id, 'whole', 3, [{plain(CODE_FREE)}] from pages),
+x1 as (select page_id, m, p, list_transform(ts, lambda t: {clean_text('t')}) ts from x0), x2 as (select *, {_pages_text('ts')} t from x1),
+x3 as (select *, row_number() over (partition by page_id order by length(t) desc, p) n, string_agg(m || ':' || len(ts) || ':' || length(t), ',') over (partition by page_id order by p rows between unbounded preceding and unbounded following) a from x2)
+select page_id, m "method", len(ts) pages, length(t) chars, array_to_string(list_transform(range(1, len(ts) + 1), lambda i: i || ':' || length(ts[i])), ',') page_stats, md5(t) digest, a attempts from x3 where n = 1"""
+
 RETRIEVED_MAX = f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}"
 
 ORACLES = {
@@ -358,6 +365,9 @@ ORACLES = {
 rl as (select 0 p, '' k, '| config | faithfulness | relevance | recall | precision | average |' line union all select 1, '', '|---|---|---|---|---|---|' union all select 2, config, '| ' || config || {_cells} from mean
   union all select 3, '', '' union all select 4, '', '| query | faithfulness | relevance | recall | precision | average |' union all select 5, '', '|---|---|---|---|---|---|' union all select 6, printf('%.6f %012d', average, query_id), '| ' || query_id || {_cells} from low)
 select row_number() over (order by p, k) line_no, line from rl""",
+    "best_extraction": EXTRACTED,
+    "config_deltas": f"{COMPARED}, means as (select config, {MEANS.replace('round(', '(').replace(', 5)', ')')} from evals group by config), long as (unpivot means on faithfulness, relevance, recall, \"precision\", average into name metric value v) select metric, round(max(case when config = 'lexical' then v end), 5) lexical, round(max(case when config = 'dense' then v end), 5) dense, round(max(case when config = 'lexical' then v end) - max(case when config = 'dense' then v end), 5) delta from long group by metric",
+    "config_worst": f"{COMPARED} select query_id, faithfulness, relevance, recall, \"precision\", average from evals where config = 'dense' order by average, query_id limit 3",
     "worst_performers": f"select conv_id, turn, average from ({EM}) order by average, conv_id * 1000 + turn limit 3",
     "chat_history": "select conv_id, turn, role, row_number() over w place, lag(role) over w \"before\", length(text) n from conversations window w as (partition by conv_id order by turn)",
 }

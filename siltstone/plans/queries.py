@@ -164,6 +164,21 @@ def preferred_sources(spark, d):
     return ingest.preferred(good, rest, "page_id").select("page_id", "method", F.md5("text").alias("digest"))
 
 
+@query
+def best_extraction(spark, d):
+    """Of paragraphs, clean lines and the whole text of each page the longest, with statistics of all."""
+    pages = table(spark, d, "pages")
+    lines = ingest.clean_lines(pages, "page_id", "html", NOISE)
+    lines = lines.groupBy("page_id").agg(F.array(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("texts"))
+    of = lambda method, texts: pages.select("page_id", F.lit(method).alias("method"), texts.alias("texts"))
+    whole = F.array(ingest.plain(ingest.without_code(F.col("html"))))
+    each = union(of("paragraphs", ingest.page_paragraphs(F.col("html"))), lines.withColumn("method", F.lit("lines")), of("whole", whole))
+    best = ingest.best_extraction(each.withColumn("priority", F.array_position(F.array(*map(F.lit, ("paragraphs", "lines", "whole"))), F.col("method")).cast("int")))
+    count = lambda x: F.array_join(F.transform(x, lambda a: F.concat_ws(":", a["method"], a["pages"].cast("string"), a["chars"].cast("string"))), ",")
+    stats = F.array_join(F.transform("page_stats", lambda p: F.concat_ws(":", p["page"].cast("string"), p["chars"].cast("string"))), ",")
+    return best.select("page_id", "method", "pages", "chars", stats.alias("page_stats"), F.md5("text").alias("digest"), count(F.col("attempts")).alias("attempts"))
+
+
 @query
 def load_documents(spark, d):
     rows = ingest.load_documents(table(spark, d, "documents"))
@@ -539,6 +554,16 @@ def evaluation_report(spark, d):
     return answer.report(_evaluated(spark, d))
 
 
+@query
+def config_deltas(spark, d):
+    return answer.compare(_evaluated(spark, d), "lexical", "dense")
+
+
+@query
+def config_worst(spark, d):
+    return answer.worst_of(_evaluated(spark, d), "dense").select("query_id", "faithfulness", "relevance", "recall", "precision", "average")
+
+
 @query
 def worst_performers(spark, d):
     rows = eval_metrics(spark, d).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.frames import ship, union
+from ..functions.frames import attempt, ship, stored, union
 from ..functions.text import clean_markup_text, collapse, contains_any, metadata_header, strip, unescape
 
 #: Texts shorter than this are reported.
@@ -42,6 +42,23 @@ def load_news(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(NEWS).option("multiLine", True).json(folder)
 
 
+def load_news_checked(spark: SparkSession, folder: str, needed: tuple[str, ...] = ("url",)) -> DataFrame:
+    """``load_news`` with ``path`` and ``error``: null, ``not JSON: `` and what the file begins with, or ``missing `` and the keys of ``needed`` without a value.
+
+    One bad file is one row with its cause and stops no other.
+    """
+    rows = spark.read.schema(f"{NEWS}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(folder)
+    absent = F.array_join(F.filter(F.array(*(F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(c)) for c in needed)), lambda c: c.isNotNull()), ", ")
+    cause = F.when(F.col("_broken").isNotNull(), F.concat(F.lit("not JSON: "), F.left("_broken", F.lit(100)))).when(absent != "", F.concat(F.lit("missing "), absent))
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), cause.alias("error")).drop("_broken")
+
+
+def good_and_bad(rows: DataFrame, error_col: str = "error") -> tuple[DataFrame, DataFrame]:
+    """The rows without an error, whose column goes, and those with one; written once, so that both are of one reading."""
+    once = stored(rows, "checked")
+    return once.filter(F.col(error_col).isNull()).drop(error_col), once.filter(F.col(error_col).isNotNull())
+
+
 def legal_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of the PDF and Word files below ``folder``; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -130,28 +147,32 @@ class _Regions(HTMLParser):
         return ["\n".join(self.parts[a:b]) for a, b in sorted(self.found)]
 
 
-def longest_region(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = SHORT, classes: list[str] = REGIONS) -> DataFrame:
+def longest_region(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = SHORT, classes: list[str] = REGIONS, errors: bool = False) -> DataFrame:
     """(id, region): the longest text of an article, a content element or the body if over ``least`` characters, else all text.
 
-    Elements may be nested. A page without text, or null, gives an empty region.
+    Elements may be nested. A page without text, or null, gives an empty
+    region. A page that can't be read stops the job, or with ``errors`` has a
+    null region and a column ``error`` with the cause; null for the others.
     """
 
+    def regions_of(html: str | None) -> list[str]:
+        page = _Regions(classes)
+        page.feed(html or "")
+        page.close()
+        return page.regions() + ["\n".join(page.parts)]
+
     def run(batches):
         for b in batches:
-            out = []
-            for html in b.column(1).to_pylist():
-                page = _Regions(classes)
-                page.feed(html or "")
-                page.close()
-                out.append(page.regions() + ["\n".join(page.parts)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [id_col, "regions"])
+            found = [attempt(regions_of, html, errors) for html in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([e for _, e in found], pa.string())], [id_col, "regions", "error"])
 
     ship(pages.sparkSession)
-    found = pages.select(id_col, html_col).mapInArrow(run, T.StructType([pages.schema[id_col], T.StructField("regions", T.ArrayType(T.StringType()))]))
+    found = pages.select(id_col, html_col).mapInArrow(run, T.StructType([pages.schema[id_col], T.StructField("regions", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]))
     texts = F.transform("regions", clean_markup_text)
     some = F.filter(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda r: F.length(r) > least)
     best = F.array_max(F.transform(some, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r"))))["r"]
-    return found.select(id_col, F.coalesce(best, F.element_at(texts, -1)).alias("region"))
+    region = F.when(F.col("error").isNull(), F.coalesce(best, F.element_at(texts, -1)))
+    return found.select(id_col, region.alias("region"), *(["error"] if errors else []))
 
 
 def is_noise(line: Column, patterns: list[str] = fixed.NOISE) -> Column:
@@ -233,6 +254,34 @@ def standardize_news(news: DataFrame) -> DataFrame:
     return news.withColumn("markdown", F.concat_ws("\n\n", header, F.concat(F.lit("# "), F.coalesce("title", F.lit("Unknown title"))), told, F.nullif(strip(F.coalesce("content_markdown", F.lit(""))), F.lit(""))))
 
 
+def extraction_attempts(extractions: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, method, priority, pages, chars, page_stats, text) of several extractions a document, a row each.
+
+    ``extractions`` has the id, ``method``, ``priority`` and ``texts``, an
+    array of its pages' texts, null if it failed. Texts are cleaned; page_stats
+    counts each page's characters; the whole has a heading for each page that
+    has any.
+    """
+    clean = F.transform(F.coalesce("texts", F.array().cast("array<string>")), lambda t: clean_markup_text(F.coalesce(t, F.lit(""))))
+    rows = extractions.select(id_col, "method", "priority", clean.alias("_texts"))
+    parts = F.filter(F.transform("_texts", lambda t, i: F.when(t != "", F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), t))), lambda t: t.isNotNull())
+    stats = F.transform("_texts", lambda t, i: F.struct((i + 1).cast("long").alias("page"), F.length(t).cast("long").alias("chars")))
+    rows = rows.select(id_col, "method", "priority", F.size("_texts").cast("long").alias("pages"), stats.alias("page_stats"), strip(F.array_join(parts, "\n\n")).alias("text"))
+    return rows.withColumn("chars", F.length("text").cast("long"))
+
+
+def best_extraction(extractions: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, method, pages, chars, page_stats, text, attempts): the longest of a document's extractions, of equally long ones the first by priority, which tells methods apart.
+
+    attempts lists method, pages and chars of all, by priority; a document has as many as there are methods.
+    """
+    rows = extraction_attempts(extractions, id_col)
+    order = F.struct("chars", (-F.col("priority")).alias("p"))
+    best = F.max_by(F.struct("method", "pages", "chars", "page_stats", "text"), order)
+    tried = F.array_sort(F.collect_list(F.struct("priority", "method", "pages", "chars")))
+    return rows.groupBy(id_col).agg(best.alias("b"), F.transform(tried, lambda a: a.dropFields("priority")).alias("attempts")).select(id_col, "b.*", "attempts")
+
+
 def conversion_status(pages: DataFrame, least: int = SHORT) -> DataFrame:
     """(page_id, method, chars, bytes, status): ``ok``, or a warning for short texts; a page without paragraphs gives all its text."""
     body, whole = F.nullif(page_body(F.col("html")), F.lit("")), clean_markup_text(plain(without_code(F.col("html"))))
