@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,16 +73,40 @@ def embedded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     return _hashed(docs, id_col, text_col, dim, blake2b, rows_of, [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
 
+TABLES = ("chunks", "postings", "vectors", "stats")
+
+
 def write_index(chunks: DataFrame, folder: str, id_col: str = "chunk_id", text_col: str = "content", blake2b: bool = False) -> None:
-    """The four tables of the index, as Parquet; postings are laid out by the term that searches join on."""
-    chunks.write.parquet(f"{folder}/chunks")
-    postings(chunks, id_col, text_col).repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    embedded(chunks, id_col, text_col, blake2b=blake2b).write.parquet(f"{folder}/vectors")
-    corpus_stats(chunks, text_col).write.parquet(f"{folder}/stats")
+    """The four tables of the index, as Parquet, in a folder of its own below ``folder``; postings are laid out by the term that searches join on.
+
+    The commit, which names that folder, is written last: an index without it
+    counts as absent, and several builders don't get in each other's way.
+    """
+    spark, build = chunks.sparkSession, f"build-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{folder}/{build}/chunks")
+    written = spark.read.schema(chunks.schema).parquet(f"{folder}/{build}/chunks")
+    postings(written, id_col, text_col).repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/{build}/postings")
+    embedded(written, id_col, text_col, blake2b=blake2b).write.parquet(f"{folder}/{build}/vectors")
+    corpus_stats(written, text_col).write.parquet(f"{folder}/{build}/stats")
+    spark.range(1).select(F.lit(build).alias("build"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{folder}/commits")
+
+
+def committed_build(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the first index that was written as a whole; None if there's none."""
+    try:
+        first = spark.read.parquet(f"{folder}/commits").orderBy("at", "build").select("build").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        first = []
+    return f"{folder}/{first[0][0]}" if first else None
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "vectors", "stats")}
+    build = committed_build(spark, folder)
+    if build is None:
+        raise FileNotFoundError(f"no whole index in {folder}")
+    return {name: spark.read.parquet(f"{build}/{name}") for name in TABLES}
 
 
 def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
@@ -89,6 +116,13 @@ def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return read_index(docs.sparkSession, folder)
 
 
+def ensure_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
+    """The index in ``folder``; built first if there's none, or if an earlier build didn't come to its end."""
+    if committed_build(docs.sparkSession, folder) is None:
+        return build_index(docs, folder, id_col, text_col)
+    return read_index(docs.sparkSession, folder)
+
+
 def index_join(index: dict[str, DataFrame], id_col: str = "chunk_id") -> DataFrame:
     """Chunks with their vectors, by id."""
     return index["chunks"].join(index["vectors"], id_col)

@@ -347,6 +347,7 @@ ORACLES = {
     "convert_all": f"with {BODIES}, {SECTIONS} select 'legal' kind, page_id, md5('---' || chr(10) || 'title: ' || {TITLE_REGEX} || chr(10) || 'source: ' || url || chr(10) || 'type: legal' || chr(10) || '---' || chr(10) || chr(10) || text) digest from lt join pages using (page_id) where page_id % 3 = 0 union all select 'news', page_id, md5({_news_markdown}) from bodies where page_id % 3 <> 0",
     "preferred_sources": f"with {BODIES}, {SECTIONS} select page_id, case when length(body) >= {fixed.NEWS_MIN} then 'paragraphs' else 'lines' end \"method\", md5(case when length(body) >= {fixed.NEWS_MIN} then body else text end) digest from bodies join lt using (page_id)",
     "index_join": f"with cdocs as ({CHUNKED}), {TOK.replace('from documents)', 'from cdocs)')}, {vecs('dv', '(select doc_id, unnest(t) term from tk)', 'doc_id')} select c.doc_id chunk_id, d doc_id, chunk_index, coalesce(n, 0) n, md5(text) digest from cdocs c left join (select doc_id, count(*) n from dv group by doc_id) using (doc_id)",
+    "index_upserts": f"with udocs as (select doc_id, case when doc_id % 4 = 0 then 'Changed. ' || text else text end text from documents where doc_id % 10 <> 1), cdocs as ({CHUNKED.replace('from documents)', 'from udocs)')}), {TOK.replace('from documents)', 'from cdocs)')}, {vecs('dv', '(select doc_id, unnest(t) term from tk)', 'doc_id')} select c.doc_id chunk_id, d doc_id, chunk_index, coalesce(n, 0) n, md5(text) digest from cdocs c left join (select doc_id, count(*) n from dv group by doc_id) using (doc_id)",
     "embed_chunks": f"with cdocs as ({CHUNKED}), {TOK.replace('from documents)', 'from cdocs)')}, {vecs('dv', '(select doc_id, unnest(t) term from tk)', 'doc_id')} select c.doc_id chunk_id, coalesce(greatest(m, case when n < {fixed.EMBEDDING_DIM} then 0 else m end), 0) most, coalesce(n, 0) n from cdocs c left join (select doc_id, count(*) n, max(round(weight, 6)) m from dv group by doc_id) using (doc_id)",
     "bm25_indexed": ON_CHUNKS(f"{BASE} select query_id, doc_id chunk_id, score, rank from ({RANKED('bs', K)})"),
     "dense_indexed": ON_CHUNKS(f"{BOTH} select query_id, doc_id chunk_id, score, rank from ({RANKED('ds', K)})"),

@@ -18,6 +18,7 @@ from ..operators import answer, chunk, dense, facts, grounded, index, rank, sear
 from ..operators.facts import Fact, Overview, Section
 from ..sources import ingest
 from ..sources.ingest import table
+from ..streaming import incremental
 
 #: Words that tell the driver tables' languages apart, in place of the hints of a legal corpus.
 HINTS = {"en": [" the ", " and "], "fr": [" les ", " des "], "de": [" der ", " und "], "es": [" los ", " que "]}
@@ -236,10 +237,31 @@ def embed_chunks(spark, d):
     return v.select("chunk_id", most.alias("most"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n"))
 
 
+_INDEXES: dict = {}
+
+
 def _index(spark, d):
-    """An index in the shared folder, written and read back."""
-    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    return index.build_index(docs_of(spark, d), folder)
+    """An index in the shared folder, built by the first query of the application that asks for it."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), d)
+    if key not in _INDEXES:
+        _INDEXES[key] = f"{key[1]}/index-{uuid.uuid4().hex}"
+    return index.ensure_index(docs_of(spark, d), _INDEXES[key])
+
+
+@query
+def index_upserts(spark, d):
+    """Chunks of an index after batches of new, changed and removed documents and a compaction between them."""
+    folder = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    docs = docs_of(spark, d).select("doc_id", "text")
+    changed = docs.filter("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("Changed. "), "text").alias("text"))
+    incremental.index_batch(docs.filter("doc_id % 3 <> 0"), 0, folder)
+    incremental.index_batch(changed, 1, folder)
+    incremental.compact(spark, folder)
+    late = docs.filter("doc_id % 3 = 0 and doc_id % 4 <> 0").withColumn("deleted", F.lit(False))
+    incremental.index_batch(union(late, docs.filter("doc_id % 10 = 1").withColumn("deleted", F.lit(True))), 2, folder, deleted_col="deleted")
+    found = incremental.read_stream_index(spark, folder)
+    rows = found["chunks"].join(found["vectors"], "chunk_id")
+    return rows.select("chunk_id", "doc_id", "chunk_index", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n"), F.md5("content").alias("digest"))
 
 
 @query
