@@ -24,7 +24,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 400, 100_000, 20_000
 #: A language is rejected if its phrases are shorter than this on average.
 MIN_PHRASE = 2.0
 #: Words whose counts a worker keeps.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS = 40  # of one language's count in a packed sum
@@ -101,7 +101,7 @@ class Parser(dict):
         return counts
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """A worker builds it once."""
     return Parser(samples)
