@@ -89,6 +89,11 @@ def vectorless(docs: DataFrame, queries: DataFrame, k: int, snippet: int = fixed
     return top.join(docs.select("doc_id", F.left("text", F.lit(snippet)).alias("content")), "doc_id").select("query_id", "doc_id", "score", "rank", "content")
 
 
+def vectorless_lexical(docs: DataFrame, queries: DataFrame, k: int, fallback: str = "local_lexical") -> DataFrame:
+    """The lexical list under the name of the vectorless search: retrieval_source says so, and ``fallback`` what stood in for it."""
+    return bm25(docs, queries, k).withColumns({"retrieval_source": F.lit("pageindex"), "fallback": F.lit(fallback)})
+
+
 def counts_cosine(results: DataFrame, a: str, b: str, keys: list[str], out: str) -> DataFrame:
     """``results`` with the cosine of the word counts of two list columns; 0 if either is empty. ``keys`` tell rows apart.
 

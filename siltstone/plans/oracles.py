@@ -282,6 +282,12 @@ x1 as (select page_id, m, p, list_transform(ts, lambda t: {clean_text('t')}) ts
 x3 as (select *, row_number() over (partition by page_id order by length(t) desc, p) n, string_agg(m || ':' || len(ts) || ':' || length(t), ',') over (partition by page_id order by p rows between unbounded preceding and unbounded following) a from x2)
 select page_id, m "method", len(ts) pages, length(t) chars, array_to_string(list_transform(range(1, len(ts) + 1), lambda i: i || ':' || length(ts[i])), ',') page_stats, md5(t) digest, a attempts from x3 where n = 1"""
 
+_law = lambda title, method, text: f"'# ' || {title} || chr(10) || chr(10) || '- Source URL: ' || url || chr(10) || '- Source name: archive' || chr(10) || '- Crawl date: ' || chr(10) || '- Category: legal' || chr(10) || '- Extraction method: ' || {method} || chr(10) || '- Extracted characters: ' || length({text}) || case when {text} <> '' then chr(10) || chr(10) || {text} else '' end"
+EVERYTHING = f"""{BODIES}, {SECTIONS}, la as (select page_id, url, {TITLE_REGEX} title, case when page_id % 2 = 0 and length(body) >= 1000 then 'paragraphs' else 'html_text_cleaned' end "method", case when page_id % 2 = 0 and length(body) >= 1000 then body else {strip('text')} end tx from lt join bodies using (page_id) where page_id % 3 = 0),
+al2 as (select 'legal' kind, page_id, "method", length(tx) chars, case when length(tx) >= 1000 then 'ok' else 'too_short' end status, {_law('title', '"method"', 'tx')} md from la union all
+  select 'news', page_id, case when body <> '' then 'paragraphs' else 'html_text' end, length(t), case when length(t) >= {fixed.NEWS_MIN} then 'ok' else 'short_content_warning' end, {_news_markdown} from (select *, case when body <> '' then body else {clean_text(plain(CODE_FREE))} end t from bodies) where page_id % 3 <> 0),
+ev9 as (select kind, page_id, "method", chars, strlen(md) bytes, status, md from al2)"""
+
 RETRIEVED_MAX = f"{lists(K)}, mm as (select query_id, doc_id, max(score) score from al group by all), fin as ({RANKED(LENGTH(texts('mm')), K)}), {FALLBACK}, {GATED}"
 
 ORACLES = {
@@ -367,6 +373,10 @@ rl as (select 0 p, '' k, '| config | faithfulness | relevance | recall | precisi
   union all select 3, '', '' union all select 4, '', '| query | faithfulness | relevance | recall | precision | average |' union all select 5, '', '|---|---|---|---|---|---|' union all select 6, printf('%.6f %012d', average, query_id), '| ' || query_id || {_cells} from low)
 select row_number() over (order by p, k) line_no, line from rl""",
     "best_extraction": EXTRACTED,
+    "vectorless_relabel": f"{BASE} select *, 'pageindex' retrieval_source, 'local_lexical' fallback from ({RANKED('bs', K)})",
+    "legal_markdown": f"with {SECTIONS} select page_id, length({strip('text')}) chars, md5({_law(TITLE_REGEX, chr(39) + 'html_text_cleaned' + chr(39), strip('text'))}) digest from lt join pages using (page_id) where page_id % 3 = 0",
+    "convert_everything": f"with {EVERYTHING} select kind, page_id, \"method\", chars, bytes, status, md5(md) digest from ev9",
+    "everything_report": f"with {EVERYTHING} select kind, \"method\", status, count(*) n, cast(sum(chars) as bigint) chars, cast(sum(bytes) as bigint) bytes from ev9 group by kind, \"method\", status",
     "config_deltas": f"{COMPARED}, means as (select config, {MEANS.replace('round(', '(').replace(', 5)', ')')} from evals group by config), long as (unpivot means on faithfulness, relevance, recall, \"precision\", average into name metric value v) select metric, round(max(case when config = 'lexical' then v end), 5) lexical, round(max(case when config = 'dense' then v end), 5) dense, round(max(case when config = 'lexical' then v end) - max(case when config = 'dense' then v end), 5) delta from long group by metric",
     "config_worst": f"{COMPARED} select query_id, faithfulness, relevance, recall, \"precision\", average from evals where config = 'dense' order by average, query_id limit 3",
     "worst_performers": f"select conv_id, turn, average from ({EM}) order by average, conv_id * 1000 + turn limit 3",

@@ -165,6 +165,30 @@ def preferred_sources(spark, d):
     return ingest.preferred(good, rest, "page_id").select("page_id", "method", F.md5("text").alias("digest"))
 
 
+def _laws(spark, d):
+    """Legal texts of a third of the pages by lines, and for a part of them by paragraphs."""
+    pages = table(spark, d, "pages").filter("page_id % 3 = 0")
+    told = [ingest.page_title_regex(F.col("html")).alias("title"), F.col("url"), F.lit("archive").alias("source_name"), F.lit(None).cast("string").alias("crawl_date")]
+    by_lines = _legal(spark, d).select("page_id", "text").join(pages, "page_id").select("page_id", *told, F.lit("html_text_cleaned").alias("method"), "text")
+    return by_lines, pages.filter("page_id % 2 = 0").select("page_id", *told, F.lit("paragraphs").alias("method"), ingest.page_body(F.col("html")).alias("text"))
+
+
+@query
+def legal_markdown(spark, d):
+    return ingest.legal_markdown(_laws(spark, d)[0]).select("page_id", "chars", F.md5("markdown").alias("digest"))
+
+
+@query
+def convert_everything(spark, d):
+    rows, _ = ingest.convert_everything(*_laws(spark, d), table(spark, d, "pages").filter("page_id % 3 <> 0"), least=1000)
+    return rows.select("kind", "page_id", "method", "chars", "bytes", "status", F.md5("markdown").alias("digest"))
+
+
+@query
+def everything_report(spark, d):
+    return ingest.convert_everything(*_laws(spark, d), table(spark, d, "pages").filter("page_id % 3 <> 0"), least=1000)[1]
+
+
 @query
 def best_extraction(spark, d):
     """Of paragraphs, clean lines and the whole text of each page the longest, with statistics of all."""
@@ -305,6 +329,11 @@ def vectorless_search(spark, d):
     return search.vectorless(docs_of(spark, d), queries_of(spark, d), K)
 
 
+@query
+def vectorless_relabel(spark, d):
+    return search.vectorless_lexical(docs_of(spark, d), queries_of(spark, d), K)
+
+
 def _vectors(spark, d):
     v = table(spark, d, "embeddings")
     return v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))

@@ -307,6 +307,38 @@ def convert_all(legal: DataFrame, news: DataFrame) -> DataFrame:
     return union(laws, standardize(news).select(F.lit("news").alias("kind"), "page_id", "markdown"))
 
 
+#: The lines above a legal text, each with what it tells.
+LEGAL_HEADER = {"Source URL": "url", "Source name": "source_name", "Crawl date": "crawl_date", "Category": "category", "Extraction method": "method", "Extracted characters": "chars"}
+
+
+def legal_markdown(laws: DataFrame) -> DataFrame:
+    """``laws`` (title, url, source_name, crawl_date, method, text) with category, chars and ``markdown``: title, a list of LEGAL_HEADER, text.
+
+    Null fields are told as empty.
+    """
+    text = strip(F.coalesce("text", F.lit("")))
+    rows = laws.withColumns({"category": F.lit("legal"), "chars": F.length(text).cast("long")})
+    told = [F.concat(F.lit(f"- {k}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in LEGAL_HEADER.items()]
+    return rows.withColumn("markdown", strip(F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.concat_ws("\n", *told), text)))
+
+
+def convert_everything(laws: DataFrame, overrides: DataFrame, news: DataFrame, key: str = "page_id", least: int = fixed.LEGAL_MIN) -> tuple[DataFrame, DataFrame]:
+    """(kind, key, method, chars, bytes, status, markdown) of all laws and news, and their report by kind, method and status.
+
+    ``laws`` and ``overrides`` are as ``legal_markdown`` takes them, with
+    ``key``; a law is taken from ``overrides`` if it is there with ``least``
+    characters or more. ``news`` are pages (page_id, url, html).
+    """
+    good = overrides.filter(F.length(strip("text")) >= least)
+    told = legal_markdown(preferred(good.select(laws.columns), laws, key))
+    size = F.octet_length("markdown").cast("long").alias("bytes")
+    legal = told.select(F.lit("legal").alias("kind"), key, "method", "chars", size, F.when(F.col("chars") >= least, "ok").otherwise("too_short").alias("status"), "markdown")
+    made = standardize(news).select("page_id", "markdown").join(conversion_status(news).drop("bytes"), "page_id")
+    articles = made.select(F.lit("news").alias("kind"), F.col("page_id").alias(key), "method", "chars", size, "status", "markdown")
+    rows = union(legal, articles)
+    return rows, conversion_summary(rows)
+
+
 def write_markdown(standardized: DataFrame, folder: str) -> None:
     """Markdown texts, with the page's id, as Parquet; a file for each row doesn't scale."""
     standardized.select("page_id", "markdown").write.parquet(folder)
