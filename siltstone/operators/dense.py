@@ -1,13 +1,15 @@
 """Exact top-k by dense scores for a batch of queries.
 
-Queries go to the executors in blocks of bounded size; a block's matrix meets
-each batch of rows in one product, and a partition hands on its k best rows of
-each query only, so neither rows nor vectors are shuffled.
+Queries go to the executors in blocks of bounded size, several of them at a
+time; each batch of rows is made into vectors once and meets every block's
+matrix in one product. A partition hands on its k best rows of each query only,
+so neither rows nor vectors are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from ..functions.frames import ship, union
 from ..functions.text import tokens
 from .ranked import ranked
 
-#: Queries of a block.
-QUERY_BLOCK = 2048
+#: Queries of a block, blocks that meet the rows in one pass, and rows that meet a block at once.
+QUERY_BLOCK, PASS_BLOCKS, ROWS_AT_ONCE = 2048, 8, 2000
 #: Words whose places a worker keeps.
 KNOWN_WORDS = 500_000
 
@@ -79,7 +81,23 @@ class Vectors:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first k of (rows, queries), by falling score, then id."""
+    """The first k of some rows for each query, by falling score, then id, in any order; ``scores`` is (rows, queries)."""
+    n, m = scores.shape
+    if n <= k:
+        return np.repeat(ids[:, None], m, 1), scores
+    least = np.partition(scores, n - k, axis=0)[n - k]
+    at = np.empty((k, m), np.int64)
+    for q in range(m):
+        good = np.flatnonzero(scores[:, q] >= least[q])
+        at[:, q] = good if len(good) == k else good[np.lexsort((ids[good], -scores[good, q]))[:k]]
+    return ids[at], np.take_along_axis(scores, at, 0)
+
+
+def _merged(a: tuple | None, b: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k of two lists of each query."""
+    if a is None:
+        return b
+    ids, scores = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
     order = np.lexsort((ids, -scores), axis=0)[:k]
     return np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
 
@@ -87,35 +105,35 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def topk(rows: DataFrame, blocks, k: int, *, id_col: str, value: Column, prepare) -> DataFrame:
     """(query_id, id, score, rank): the k best rows of each query.
 
-    ``blocks`` are (query ids, block); ``prepare(block)`` gives a function from
-    an Arrow column of ``value`` to scores (rows, queries), rounded here to 6
-    places. Every row counts, also with scores of 0 and below; ties go by id.
+    ``blocks`` are (query ids, block); ``prepare(blocks)`` gives a function
+    from an Arrow column of ``value`` to the scores (rows, queries) of each
+    block in turn, rounded here to 6 places. Every row counts, also with scores
+    of 0 and below; ties go by id.
     """
     spark, kind = rows.sparkSession, rows.schema[id_col].dataType
     ship(spark)
     narrow = rows.select(F.col(id_col).alias("id"), value.alias("value"))
-    out = None
-    for ids, block in blocks:
-        sent = spark.sparkContext.broadcast((ids, block))
+    out, blocks = None, iter(blocks)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        sent = spark.sparkContext.broadcast(some)
 
         def run(batches, sent=sent):
-            names, block = sent.value
-            score, best, values = prepare(block), None, None
+            names = [ids for ids, _ in sent.value]
+            score, best = prepare([block for _, block in sent.value]), [None] * len(names)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                s = np.round(score(b.column(1)), 6) + 0.0
-                i = np.repeat(b.column(0).to_numpy(zero_copy_only=False)[:, None], len(names), 1)
-                if best is not None:
-                    i, s = np.concatenate([best, i]), np.concatenate([values, s])
-                best, values = _best(i, s, k)
-            if best is not None and len(names):
-                n = len(best)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(names, n)), id_col: pa.array(best.T.ravel().tolist()), "score": pa.array(values.T.ravel())})
+                for start in range(0, b.num_rows, ROWS_AT_ONCE):
+                    part = b.slice(start, ROWS_AT_ONCE)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    for i, s in enumerate(score(part.column(1))):
+                        best[i] = _merged(best[i], _best(ids, np.round(s, 6) + 0.0, k), k)
+            for queries, found in zip(names, best, strict=True):
+                if found is not None and len(queries):
+                    ids, scores = found
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(queries, len(ids))), id_col: pa.array(ids.T.ravel().tolist()), "score": pa.array(scores.T.ravel())})
 
         fields = [T.StructField("query_id", T.LongType()), T.StructField(id_col, kind), T.StructField("score", T.DoubleType())]
-        some = narrow.mapInArrow(run, T.StructType(fields))
-        out = some if out is None else union(out, some)
+        part = narrow.mapInArrow(run, T.StructType(fields))
+        out = part if out is None else union(out, part)
     if out is None:
         out = narrow.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     return ranked(out, k, id_col=id_col)
@@ -138,9 +156,14 @@ def hash_topk(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc
     words = queries.select("query_id", tokens(F.col("query")).alias("words"))
     blocks = ((ids, Hasher(blake2b=blake2b)(pa.array([r[0] for r in rows], pa.list_(pa.string())))) for ids, rows in blocks_of(words, "words"))
 
-    def prepare(matrix):
+    def prepare(matrices):
         known = Hasher(blake2b=blake2b)
-        return lambda column: known(column) @ matrix.T
+
+        def scores(column):
+            vectors = known(column)
+            return (vectors @ m.T for m in matrices)
+
+        return scores
 
     return topk(docs, blocks, k, id_col=id_col, value=tokens(F.col(text_col)), prepare=prepare)
 
@@ -155,9 +178,14 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
                 at = np.flatnonzero(sizes == dim)
                 yield ids[at], unit(np.array([rows[i][0] or () for i in at], float).reshape(len(at), dim))
 
-    def prepare(matrix):
-        known = Vectors(matrix.shape[1])
-        return lambda column: known(column) @ matrix.T
+    def prepare(matrices):
+        known = {d: Vectors(d) for d in {m.shape[1] for m in matrices}}
+
+        def scores(column):
+            vectors = {d: v(column) for d, v in known.items()}
+            return (vectors[m.shape[1]] @ m.T for m in matrices)
+
+        return scores
 
     return topk(vectors, blocks(), k, id_col=id_col, value=F.col(vec_col).cast("array<double>"), prepare=prepare)
 
@@ -167,7 +195,7 @@ def substring_topk(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     terms = F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")
     rows = queries.select("query_id", terms.alias("terms"))
 
-    def prepare(lists):
+    def one(lists):
         import ahocorasick
 
         number = {t: i for i, t in enumerate(dict.fromkeys(t for (ts,) in lists for t in ts or ()))}
@@ -189,6 +217,10 @@ def substring_topk(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str =
 
         return score
 
+    def prepare(blocks):
+        each = [one(lists) for lists in blocks]
+        return lambda column: (score(column) for score in each)
+
     found = topk(docs, blocks_of(rows, "terms", size=256), k, id_col=id_col, value=F.lower(text_col), prepare=prepare)
     return found.withColumn("_best", F.max("score").over(Window.partitionBy("query_id"))).filter("score > 0 or _best = 0").drop("_best")
 
