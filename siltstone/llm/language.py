@@ -21,6 +21,8 @@ from .common import append_column, python_ready, remainder, table
 
 #: Bounds of the labelled sample: documents (on average) and characters a language; rows of more characters aren't drawn if the language has others.
 SAMPLE_DOCS, SAMPLE_CHARS, ROW_CHARS = 400, 100_000, 20_000
+#: Labels that are learned, the most frequent ones; a label column with more isn't one of languages.
+LANGUAGES = 256
 #: A language is rejected if its phrases are shorter than this on average.
 MIN_PHRASE = 2.0
 #: Words whose counts a worker keeps.
@@ -119,7 +121,7 @@ def identify(text: str | None, known: Parser) -> dict:
 
 
 def learn_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
-    """(language, sample of its words) from labelled rows; rows without label or letters are passed over.
+    """(language, sample of its words) of the LANGUAGES most frequent labels; rows without label or letters are passed over.
 
     Whole rows are drawn by a hash of their id and text, at a rate that follows
     the language's row count, so the sample is as large at any input size. Rows
@@ -128,10 +130,10 @@ def learn_languages(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     short = F.length(text_col) <= ROW_CHARS
-    rates = {r[0]: (min(1.0, SAMPLE_DOCS / r[1]) if r[1] else 0.0) for r in labelled.groupBy(lang_col).agg(F.count_if(short)).collect()}
+    rates = {r[0]: (min(1.0, SAMPLE_DOCS / r[1]) if r[1] else 0.0) for r in labelled.groupBy(lang_col).agg(F.count_if(short), F.count("*").alias("_rows")).orderBy(F.desc("_rows"), lang_col).limit(LANGUAGES).collect()}
     if not rates:
         return ()
-    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col(lang_col)]
+    rate = F.try_element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col(lang_col))
     h = F.xxhash64(id_col, text_col)
     rows = labelled.filter(short & (F.pmod(h, F.lit(1 << 30)) < rate * (1 << 30))).select(lang_col, h.alias("h"), F.col(text_col).alias("t")).collect()
     if long := [lang for lang, r in rates.items() if not r]:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import jaccard, mixing, pii
+from siltstone.llm import jaccard, language, mixing, pii
 from siltstone.llm.decontaminate import find_contamination, is_contaminated, n_hit
 from siltstone.llm.jaccard import WordHashes, shingles, similar_documents
 from siltstone.llm.language import identify_language, learn_languages
@@ -424,3 +424,10 @@ def test_jaccard_and_mix_of_very_long_texts(spark):
     got = {r["id"]: (r["component_id"], r["n_links"]) for r in similar_documents(docs).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
     assert {r["doc_id"] for r in mix_sources(docs, times=2.0).collect()} == {1, 2, 3, 4}
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(k, "alpha beta gamma", "x") for k in range(6)] + [(k, "delta epsilon", "y") for k in range(10, 14)] + [(k, "zeta eta", f"dirty {k}") for k in range(20, 30)]
+    samples = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [k for k, _ in samples] == ["x", "y"]
