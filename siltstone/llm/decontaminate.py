@@ -188,6 +188,7 @@ def is_contaminated(found: str = "contamination"):
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its words, those that stand in benchmark windows, and the items that these are of. Null and empty texts have no words; null items hold none; repeated rows come one by one; see ``find_contamination``."""
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("contamination.items", lambda x: x.cast("string")))
     return found.select(

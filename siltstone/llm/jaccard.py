@@ -337,6 +337,7 @@ def one_of_each(
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its set's size, its component and how many other sets it links with; see ``similar_documents`` for nulls, empty texts and repeats."""
     return similar_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 

@@ -172,6 +172,7 @@ def is_rejected(found: str = "language", min_phrase: float = MIN_PHRASE) -> Colu
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with the language predicted by what the other fold's labels taught. A null id isn't held out; ``und`` for null texts and those without letters; without labels all are ``und``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))  # a null id isn't held out
     samples = learn_languages(docs.filter(~F.col("held_out")))
     found = identify_language(docs.select("doc_id", "text", "held_out"), samples)

@@ -253,6 +253,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: personal data by kind, their digest, and all spans with those that the trees add. Null texts count as empty; repeated rows and ids come one by one; see ``find_personal_data``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, train_trees(labelled_candidates(spark)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

@@ -154,6 +154,7 @@ def quality(found: str = "repetition", max_covered: int = MAX_COVERED, max_longe
 
 
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: counts of words, symbols and repeats, and whether it is kept. Null and empty texts have no words and fail; repeated rows come one by one; see ``measure_repetition``."""
     found = measure_repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed, kept = quality()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered"]

@@ -121,6 +121,7 @@ def find_secrets(docs: DataFrame, models: Models, *, text_col: str = "text", bas
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: base secrets by kind, their digest, and all spans with those that the models add. Null texts count as empty; repeated rows and ids come one by one; see ``find_secrets``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_secrets(docs, train_models(labelled_samples(spark)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

@@ -91,6 +91,7 @@ def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard") -> Non
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its shard, the shard's bytes and its own. Null and empty texts have no bytes; null and repeated ids are dealt by their texts; see ``assign_shards``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return assign_shards(docs).select("doc_id", "shard", "shard_bytes", "doc_bytes")
 
