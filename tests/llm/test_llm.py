@@ -313,3 +313,36 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     found = similar_documents(docs)
     assert found.count() == len(rows)
     assert sorted((r["component_id"], r["n_links"]) for r in found.collect() if r["id"] in (7, 8)) == [(7, 0), (7, 1), (7, 1)]
+
+
+def test_lm_attention_scores_every_subword(spark):
+    """Each subword's probability, inside words too, is attention's over all ids and depends on the words before; a text's score is their sum."""
+    docs = spark.createDataFrame([*lm_rows(spark)[:60], (900, "the zebrafish"), (901, "12 zebrafish"), (902, "")], "doc_id long, text string")
+    counts = lm.count_subwords(lm.split_words(lm.count_words(lm.coded_texts(docs, lm.VOCABULARY, id_col="doc_id", text_col="text")), lm.VOCABULARY))
+    vocabulary = lm.Vocabulary(counts, counts)
+    python_ready(spark)
+    (w, topics), _ = lm.train_model(lm.joined_parts(lm.coded_texts(docs, lm.VOCABULARY, id_col="doc_id", text_col="text"), 2, 1 << 16), vocabulary)
+    word_ids = lambda text: [i for x in lm.words_of(text) for i in ids_of(x)]
+
+    def parts(text):
+        """log10 of each subword's and the end's probability, one by one."""
+        ids, out, x = [lm.END, *word_ids(text)], [], []
+        for t, target in enumerate([*ids[1:], lm.END]):
+            x.append(w["first"][vocabulary.first[ids[t]]] + w["last"][vocabulary.last[ids[t - 1] if t else lm.END]] + w["place"][t])
+            q, k, v = np.split(np.array(x) @ w["qkv"], 3, 1)
+            a = np.exp(k @ q[t] / np.sqrt(lm.WIDTH))
+            g = np.exp((x[t] + a @ v / a.sum() @ w["o"]) @ w["gate"] + w["gate_bias"])
+            of_class = g / g.sum() @ topics
+            p = of_class[vocabulary.class_of] * 10**vocabulary.within
+            assert p.sum() == pytest.approx(1, abs=1e-5)
+            out.append(np.log10(p[target]))
+        return out
+
+    known = {r["doc_id"]: r["lm"]["score"] for r in lm.score_texts(docs, docs, part_bytes=1 << 20)[0].filter("doc_id >= 900").collect()}
+    assert set(known) == {900, 901, 902} and all(np.isfinite(x) for x in known.values())
+    for text in ("the zebrafish", "12 zebrafish", "", "zebras zebrafish the"):
+        ids = np.array(word_ids(text), np.uint16)
+        got = lm.score((w, topics), vocabulary, lm.marked(ids, np.array([len(ids)]), lm.END), np.array([len(ids) + 1]))
+        assert got[0] == pytest.approx(sum(parts(text)), rel=1e-4)
+    inner = len(ids_of(b"zebrafish")) - 1
+    assert inner > 0 and all(abs(a - b) > 1e-6 for a, b in zip(parts("the zebrafish")[-1 - inner : -1], parts("12 zebrafish")[-1 - inner : -1], strict=True))
