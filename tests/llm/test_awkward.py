@@ -431,3 +431,12 @@ def test_languages_are_bounded(spark, monkeypatch):
     rows = [(k, "alpha beta gamma", "x") for k in range(6)] + [(k, "delta epsilon", "y") for k in range(10, 14)] + [(k, "zeta eta", f"dirty {k}") for k in range(20, 30)]
     samples = learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [k for k, _ in samples] == ["x", "y"]
+
+
+def test_licenses_without_general_words(spark):
+    """Notices without any word that licences have in common are classified, wrapped ones too."""
+    notice = "The information contained herein is the property of the Company and may not be disclosed."
+    texts = [notice, "Some prose.\n\n" + notice.replace("property", "\nproperty") + "\n\nMore prose.", "word " * 500 + notice + " word" * 500, "The property of the old house may not be sold."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(p["line"], p["family"]) for p in r["paragraphs"] if p["confirmed"]] for r in classify_paragraphs(docs, train_classifier(labelled_paragraphs(spark))).collect()}
+    assert got == {0: [(0, "proprietary")], 1: [(2, "proprietary")], 2: [(0, "proprietary")], 3: []}
