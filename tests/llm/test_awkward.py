@@ -18,7 +18,7 @@ from siltstone.llm import jaccard, language, mixing, pii
 from siltstone.llm.decontaminate import find_contamination, is_contaminated, n_hit
 from siltstone.llm.jaccard import WordHashes, shingles, similar_documents
 from siltstone.llm.language import identify_language, learn_languages
-from siltstone.llm.licenses import HELD_OUT, TEMPLATES, classify_paragraphs, labelled_paragraphs, train_classifier
+from siltstone.llm.licenses import CONFIRMED, HELD_OUT, TEMPLATES, classify_paragraphs, labelled_paragraphs, telling_words, train_classifier
 from siltstone.llm.mixing import find_exponent, mix_sources
 from siltstone.llm.secrets import find_secrets, labelled_samples, mean_ratio, train_models
 from siltstone.llm.sharding import OP10_SQL, SHARD_BYTES, assign_shards
@@ -440,3 +440,18 @@ def test_licenses_without_general_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [(p["line"], p["family"]) for p in r["paragraphs"] if p["confirmed"]] for r in classify_paragraphs(docs, train_classifier(labelled_paragraphs(spark))).collect()}
     assert got == {0: [(0, "proprietary")], 1: [(2, "proprietary")], 2: [(0, "proprietary")], 3: []}
+
+
+def test_licenses_models_run_once_a_piece(spark):
+    """No filter goes below the models with copies of them: each of both judgements has its three functions once."""
+    docs = spark.createDataFrame([(1, "released under the MIT license")], "doc_id long, text string")
+    plan = classify_paragraphs(docs, train_classifier(labelled_paragraphs(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 6
+
+
+def test_licenses_telling_words():
+    """A text without a telling word can't hold enough of any template's bigrams."""
+    bigrams = [list(dict.fromkeys(" ".join(w) for w in zip(t.split(), t.split()[1:]))) for f, ts in TEMPLATES.items() if f != "none" for t in ts]
+    telling = set(telling_words(bigrams))
+    assert 0 < len(telling) < 100
+    assert all(sum(not telling & set(g.split()) for g in t) < CONFIRMED * len(t) for t in bigrams)
