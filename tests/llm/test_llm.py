@@ -346,3 +346,20 @@ def test_lm_attention_scores_every_subword(spark):
         assert got[0] == pytest.approx(sum(parts(text)), rel=1e-4)
     inner = len(ids_of(b"zebrafish")) - 1
     assert inner > 0 and all(abs(a - b) > 1e-6 for a, b in zip(parts("the zebrafish")[-1 - inner : -1], parts("12 zebrafish")[-1 - inner : -1], strict=True))
+
+
+def test_lm_counts_are_added_for_several_steps_at_once(monkeypatch):
+    """Expected counts go into the topics' counts once every RENEW steps, and none is lost at the end."""
+    rng = np.random.default_rng(5)
+    share = rng.random(lm.CLASSES)
+    share /= share.sum()
+    ids = rng.integers(0, lm.ROWS, 40_000)
+    lengths = np.array([lm.WINDOW * lm.WINDOWS * (lm.RENEW + 1)])
+    ids, calls, count = ids[: int(lengths.sum()) + 1], [], np.bincount
+    monkeypatch.setattr(lm.np, "bincount", lambda x, *a: (a[-1:] == (lm.CLASSES,) and calls.append(len(x))) or count(x, *a))
+    trainer = lm.Trainer(lm.first_weights(), lm.first_topics(share), share, 0.01)
+    trainer.take(ids, ids, ids, lengths)
+    step = lm.WINDOW * lm.WINDOWS
+    assert trainer.t == lm.RENEW + 1 and calls == [lm.RENEW * step] * lm.TOPICS + [step] * lm.TOPICS
+    assert trainer.counts.sum() == pytest.approx(trainer.seen, rel=1e-4)
+    assert trainer.topics.sum(0) == pytest.approx(1, abs=1e-4)
