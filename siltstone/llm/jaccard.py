@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import union
-from .common import append_column, fresh, python_ready, table, written
+from .common import append_column, fresh, may_be_among, python_ready, table, written
 from .components import components
 
 SHINGLE = 4
@@ -40,7 +40,7 @@ CELL_POINTS, CELL_SHINGLES = 2048, 2_000_000
 #: Pivots a cell, and times that it's divided at most before blocks are paired.
 PIVOTS, DEPTH = 8, 3
 #: Words whose hashes a worker keeps.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 
 #: A part's key has 48 bits: keys that clash only add a tie between regions, and two bytes less are shuffled.
 PART_KEY = np.uint64((1 << 48) - 1)
@@ -199,6 +199,34 @@ def _join_cells(batches, similar: int):
         yield done()
 
 
+def _join_texts(batches, similar: int, shingle: int):
+    """Batches sorted by cell, of cell, id, text: links within whole cells. Texts take less room on their way here than their points."""
+    known = WordHashes()
+
+    def described(batch):
+        n = batch.num_rows
+        points = pa.array([shingles(t, known, shingle).view(np.int64) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+        zero, all_count = pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))
+        return pa.RecordBatch.from_arrays([batch.column(0), zero, zero, batch.column(1), all_count, zero, points], ["cell", "low", "high", "id", "counted", "block", "points"])
+
+    yield from _join_cells(map(described, batches), similar)
+
+
+def _ties(batches):
+    """Batches sorted by part, of part, id: each id with the first of its part, but for that itself."""
+    last = first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.r_[part[0] != last, part[1:] != part[:-1]]  # nothing equals None
+        start = np.maximum.accumulate(np.where(new, np.arange(len(part)), -1))
+        firsts = np.where(start < 0, at[0] if first is None else first, at[start])
+        tied = firsts != at
+        last, first = part[-1], firsts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(firsts[tied]), pa.array(at[tied])], ["a", "b"])
+
+
 def _sized(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell").agg(F.count("*").alias("points_in"), F.sum("n").alias("shingles_in"))
 
@@ -284,24 +312,35 @@ def _matched(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar:
     python_ready(spark)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _row_hash(docs).alias("rh"), F.col(text_col).alias("text"))
     known = append_column(source, "point", POINT, lambda: lambda texts, k=WordHashes(): describe(texts, k, shingle, similar), ["text"])
-    known = written(known.select("id", "th", "rh", "point.*"), "points")
+    known = written(known.select("id", "th", "rh", "point.*").withColumn("row", F.monotonically_increasing_id()), "points")  # small numbers take less room in the shuffles than hashes
     key = ["n", "h1", "h2"]
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh")
-    classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.first("parts").alias("parts")).withColumn("rep", F.monotonically_increasing_id()), "classes")  # small numbers take less room in the shuffles than hashes
-    dealt = classes.select(F.col("rep").alias("id"), F.explode("parts").alias("part"))
-    # the first point of all that hold a part is the one that the others are tied to; minima are taken before the shuffle, and a join can split a common part
-    firsts = dealt.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("points")).filter("points > 1").drop("points")  # a point has a part once; counts of 1 take no room
-    ties = dealt.join(firsts, "part").filter("id <> first")
-    regions = components(ties.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    regions = regions.select(F.col("id").alias("rep"), F.xxhash64("component").alias("cell")).join(classes.select("rep", F.col("least.th").alias("th"), F.col("least.rh").alias("rh")), "rep")
+    classes = written(known.filter("n > 0").groupBy(key).agg(F.min(first).alias("least"), F.min("row").alias("own")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # parts are shuffled once, by themselves; only rows that may be copies meet the classes first
+    deal = lambda rows: rows.select(F.explode("parts").alias("part"), F.col("row").alias("id"))
+    copies = written(known.filter("n > 0").select(*key, "row").join(classes.select(*key, "own"), key).filter("row <> own").select("row"), "copies")
+    some, others = may_be_among(known.filter("n > 0").select("row", "parts"), "row", copies)
+    dealt = union(deal(others), deal(some.join(copies, "row", "left_anti")))
+    ties = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_ties, "a long, b long")
+    regions = components(ties)
+    regions = regions.select(F.col("id").alias("own"), F.xxhash64("component").alias("cell")).join(classes.select("own", "rep", "n", F.col("least.th").alias("th"), F.col("least.rh").alias("rh")), "own").drop("own")
     regions = written(regions, "regions")
+    over = written(_sized(regions).filter((F.col("points_in") > points) | (F.col("shingles_in") > shingles_in)).select("cell"), "large-regions")
     # the class's first row gives the text; by sorting at any size
-    again = source.select("th", "rh", "text").join(regions.hint("merge"), ["th", "rh"]).dropDuplicates(["th", "rh"]).select("rep", "cell", "text")
-    again = again.withColumnRenamed("rep", "id")
-    sets = append_column(again, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
-    cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
-    ready = divided(cells, similar, points, shingles_in).repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-    links = written(ready.mapInArrow(lambda batches: _join_cells(batches, similar), "a long, b long, links long"), "links")
+    again, _ = may_be_among(source.select("th", "rh", "text"), "th", regions.select("th"))
+    again = again.join(regions.drop("n").hint("merge"), ["th", "rh"]).dropDuplicates(["th", "rh"]).select("cell", F.col("rep").alias("id"), "text")
+    some_large = bool(over.head(1))
+    if some_large:
+        again = written(again, "texts")
+    small = again.join(over, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell")
+    links = small.mapInArrow(lambda batches: _join_texts(batches, similar, shingle), "a long, b long, links long")
+    if some_large:
+        large = again.join(over, "cell", "left_semi")
+        sets = append_column(large, "points", T.ArrayType(T.LongType()), lambda: lambda texts, k=WordHashes(): [shingles(t, k, shingle).view(np.int64).tolist() for t in texts], ["text"])
+        cells = written(sets.select("cell", "id", F.size("points").alias("n"), "points"), "sets")
+        ready = divided(cells, similar, points, shingles_in).repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+        links = union(links, ready.mapInArrow(lambda batches: _join_cells(batches, similar), "a long, b long, links long"))
+    links = written(links, "links")
     groups = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     linked = written(groups.join(classes.select("rep", "least"), "rep"), "linked")
     reached = linked.groupBy("component").agg(F.min("least").alias("reached"))
@@ -325,15 +364,19 @@ def one_of_each(
     Rows with the same id or none stay if their texts don't link. Null and
     empty texts, and those of white space only, link with nothing and stay,
     with all that their rows say. Rows that are equal in all columns count as
-    one. Columns pass through. What goes is decided without texts, which are
-    shuffled once, to meet the decision.
+    one. Columns pass through. What goes is decided without texts; of these
+    only those that may go, or have an equal, are shuffled to meet the decision.
     """
     found = _matched(docs, id_col, text_col, shingle, similar, points, shingles_in)
     first = (F.col("least.th") == F.col("th")) & (F.col("least.rh") == F.col("rh"))
     th, rh = fresh(docs, "_th", "_rh")
-    gone = found.filter((F.col("n") > 0) & ~first).select(F.col("th").alias(th), F.col("rh").alias(rh)).distinct()
+    gone = F.max((F.col("n") > 0) & ~first).alias("gone")
+    # rows that stay and have no equal aren't shuffled
+    told = written(found.groupBy(F.col("th").alias(th), F.col("rh").alias(rh)).agg(gone, F.count("*").alias("rows")).filter("gone or rows > 1").drop("rows"), "told")
     rows = docs.withColumns({th: F.xxhash64(text_col), rh: _row_hash(docs)})
-    return rows.join(gone, [th, rh], "left_anti").dropDuplicates([th, rh]).drop(th, rh)
+    some, others = may_be_among(rows, rh, told.select(rh))
+    kept = some.join(told.filter("gone").drop("gone"), [th, rh], "left_anti").dropDuplicates([th, rh])
+    return union(others.select(rows.columns), kept.select(rows.columns)).drop(th, rh)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,12 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import jaccard, language, mixing, pii
+from siltstone.llm import common, jaccard, language, mixing, pii
 from siltstone.llm.decontaminate import find_contamination, is_contaminated, n_hit
 from siltstone.llm.jaccard import WordHashes, shingles, similar_documents
 from siltstone.llm.language import identify_language, learn_languages
@@ -292,6 +293,38 @@ def test_jaccard_pivots_act(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == root
 
 
+def test_jaccard_moves_little(spark, monkeypatch):
+    """Parts are kept once and points of ordinary regions never; texts that stay aren't shuffled. Same rows where the coarse filter rules nothing out."""
+    text = [" ".join(f"w{g}.{k}" for k in range(50)) for g in range(40)]
+    rows = [(k, t) for k, t in enumerate(text)] + [(100, text[0]), (101, text[1] + " x"), (102, text[2]), (102, text[2]), (103, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, write = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    got = jaccard.one_of_each(docs)
+    assert "sets" not in kept and [x for x, df in kept.items() if "parts" in df.columns] == ["points"]
+    assert kept["told"].count() == 3 and sorted(map(tuple, got.collect()), key=str) == sorted(rows[:40] + rows[-2:], key=str)
+    monkeypatch.undo()
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    assert sorted(map(tuple, jaccard.one_of_each(docs).collect()), key=str) == sorted(rows[:40] + rows[-2:], key=str)
+
+
+def test_coarse_filter_loses_no_row(spark):
+    keys, rows = spark.range(0, 3000, 7), spark.range(-50, 3000).withColumn("h", F.xxhash64("id"))
+    some, others = common.may_be_among(rows, "h", keys.select(F.xxhash64("id")))
+    n = (some.count(), others.join(keys, "id").count(), some.unionByName(others).distinct().count(), others.count())
+    assert n[1:3] == (0, 3050) and n[0] < 450 and n[3] > 2600
+    assert common.may_be_among(rows, "h", keys.limit(0))[0].count() == 0
+
+
+def test_ties_across_batches():
+    part, at = [1, 1, 1, 2, 3, 3, 3, 3], [5, 6, 7, 8, 9, 1, 2, 9]
+    whole = pa.RecordBatch.from_arrays([pa.array(part), pa.array(at)], ["part", "id"])
+    want = [(5, 6), (5, 7), (9, 1), (9, 2)]
+    for size in (1, 2, 3, 8):
+        pieces = [whole.slice(k, size) for k in range(0, 8, size)] + [whole.slice(0, 0)]
+        assert [(r["a"], r["b"]) for b in jaccard._ties(pieces) for r in b.to_pylist()] == want
+
+
 def test_jaccard_text_ids(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([("b", text, "kept"), ("a", text + " x", "kept"), ("c", "else", "kept"), (None, None, "kept")], "doc_id string, text string, _th string")
