@@ -256,3 +256,50 @@ def test_report(spark, tmp_path):
     answer.write_report(rows, str(tmp_path / "report"))
     text = spark.read.text(str(tmp_path / "report"), wholetext=True).first()[0]
     assert "| a | 0.500 |" in text and "| b | 1.000 |" in text and text.index("| a |") < text.index("| b |")
+
+
+def test_lexical_lists_by_brute_force(spark, monkeypatch):
+    """Also where few words meet few queries at a time, with equal scores, empty and null texts; neither words nor hits are shuffled by document."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{int(rng.integers(0, 30)) ** 2 // 30}"
+    texts = [" ".join(word() for _ in range(int(rng.integers(1, 30)))) for _ in range(150)]
+    texts += [texts[3], texts[3], "", None, "other"]
+    asked = [" ".join(word() for _ in range(int(rng.integers(1, 9)))) for _ in range(12)] + ["unknown", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    monkeypatch.setattr(dense, "HITS_AT_ONCE", 7)
+    monkeypatch.setattr(dense, "ROWS_AT_ONCE", 11)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    bags = [(t or "").split() for t in texts]
+    n, mean = len(bags), sum(map(len, bags)) / len(bags)
+    df = {w: sum(w in b for b in bags) for b in bags for w in b}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    weak = 0.25 * sum(raw.values()) / len(raw)
+    idf = {False: {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}, True: {w: x if x >= 0 else weak for w, x in raw.items()}}
+    for okapi, weights in idf.items():
+        found = search.bm25(docs, queries, 8, okapi=okapi)
+        assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+        want = []
+        for q, text in enumerate(asked):
+            scores = []
+            for d, bag in enumerate(bags):
+                terms = [w for w in (text or "").split() if w in bag]
+                if terms:
+                    scores.append((-round(sum(weights[w] * bag.count(w) * 2.5 / (bag.count(w) + 1.5 * (0.25 + 0.75 * len(bag) / mean)) for w in terms), 6), d))
+            want += [(q, d, -s, r) for r, (s, d) in enumerate(sorted(scores)[:8], 1)]
+        got = sorted(map(tuple, found.collect()), key=lambda r: (r[0], r[3]))
+        assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9)
+
+
+def test_index_takes_little_room(spark, tmp_path):
+    """A chunk's postings are one row, vectors whole numbers; of them the same vectors are made."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(30)] + [(30, "..."), (31, None)], "doc_id long, text string")
+    found = index.build_index(docs, str(tmp_path / "index"))
+    assert found["postings"].count() == found["chunks"].count() > 31
+    assert {f.name for f in spark.read.parquet(str(tmp_path / "index" / "build-*" / "vectors")).schema} == {"chunk_id", "counts"}
+    want = {r["chunk_id"]: r["embedding"] for r in index.embedded(found["chunks"], "chunk_id", "content").collect()}
+    assert {r["chunk_id"]: r["embedding"] for r in index.index_join(found).collect()} == want
+    words = {r["chunk_id"]: (r["dl"], [tuple(w) for w in r["words"]]) for r in found["postings"].collect()}
+    for r in found["chunks"].collect():
+        count = Counter(r["content"].replace(".", " ").split())
+        assert words[r["chunk_id"]] == (sum(count.values()), list(count.items()))
