@@ -41,7 +41,8 @@ def dedupe_prefix(results: DataFrame, length: int = 300) -> DataFrame:
 
 
 def with_texts(results: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    return results.join(docs, "doc_id").join(queries, "query_id")
+    """The results, a few a query, are written once: of their real size Spark can tell that the texts needn't be shuffled to meet them."""
+    return stored(results, "results").join(docs, "doc_id").join(queries, "query_id")
 
 
 def rerank_formula(results: DataFrame, k: int) -> DataFrame:
